@@ -13,3 +13,265 @@ def majority_vote(grid: DataFrame, comp: str, cls: str) -> DataFrame:
     n = neighbours(grid.withColumn("_s", F.struct(comp, cls)), "_s", FOUR).where(F.col(f"_s.{comp}") != F.col(f"near.{comp}"))
     n = n.groupBy(F.col(f"_s.{comp}").alias(comp), F.col(f"near.{cls}").alias("vote")).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(comp).agg(F.max(F.struct("n", "vote")).alias("b")).select(comp, "b.vote", "b.n")
+
+
+def _shared(df: DataFrame, what: str) -> DataFrame:
+    """Stores df in the folder that executors share and reads it again, so that a loop's lineage stays short."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root}/grids/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, comp): comp is the smallest id that edges(a, b) reach. Each round takes the smallest label nearby and then the label's own label, so rounds grow as the logarithm of a component's reach."""
+    both = _shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now = _shared(nodes.select("id", F.col("id").alias("comp")), "labels")
+    while True:
+        near = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("comp").alias("m"))
+        least = now.join(near, now["id"] == near["a"], "left").select("id", F.col("comp").alias("was"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
+        # Hooking the label itself lets whole trees move at once.
+        hook = least.where("comp < was").groupBy(F.col("was").alias("h")).agg(F.min("comp").alias("to"))
+        hooked = least.join(hook, least["comp"] == hook["h"], "left").select("id", "was", F.least("comp", F.coalesce("to", "comp")).alias("comp"))
+        own = hooked.select(F.col("id").alias("i"), F.col("comp").alias("c"))
+        new = _shared(hooked.join(own, hooked["comp"] == own["i"], "left").select("id", "was", F.least("comp", F.coalesce("c", "comp")).alias("comp")), "labels")
+        if new.where("comp <> was").isEmpty():
+            return new.select("id", "comp")
+        now = new.select("id", "comp")
+
+
+def cell_id(width: int) -> F.Column:
+    return (F.col("row").cast("long") * width + F.col("col")).alias("id")
+
+
+def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31) -> DataFrame:
+    """Adds comp: connected cells of equal class share the id (row * width + col) of their first cell.
+
+    Runs of equal cells along a row are joined first, by a window over the row, so that only runs are labelled.
+    """
+    from pyspark.sql import Window as W
+
+    along = W.partitionBy("row").orderBy("col")
+    g = grid.select("row", "col", cls)
+    start = (F.lag(cls).over(along).eqNullSafe(F.col(cls)) & (F.lag("col").over(along) == F.col("col") - 1)) == F.lit(True)
+    g = g.withColumn("_start", F.when(start, None).otherwise(F.col("row").cast("long") * width + F.col("col")))
+    g = _shared(g.withColumn("run", F.last("_start", ignorenulls=True).over(along)).drop("_start"), "runs")
+    below = tuple(s for s in steps if s[0] == 1)
+    n = neighbours(g.withColumn("_s", F.struct("run", cls)), "_s", below).where(F.col(f"_s.{cls}") == F.col(f"near.{cls}"))
+    comps = components(n.select(F.col("_s.run").alias("a"), F.col("near.run").alias("b")), g.select(F.col("run").alias("id")).distinct())
+    return grid.join(g.join(comps, g["run"] == comps["id"]).select("row", "col", "comp"), ["row", "col"])
+
+
+def patches(grid: DataFrame, cls: str, steps=FOUR, cell_area: float = 1.0) -> DataFrame:
+    """(comp, cls, cells, area): a class map's polygons, as sets of cells."""
+    return cell_components(grid, cls, steps).groupBy("comp", cls).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
+
+
+def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int = 30, forced: tuple[int, ...] = (), group: str | None = None) -> DataFrame:
+    """(row, col, cls): components of fewer than min_cells cells take the class most of their border edges touch.
+
+    First only neighbours that are large enough vote. Where no small component has such a neighbour, a small one joins
+    the senior of its small neighbours (more cells; then the smaller label). forced: classes that are always small.
+    group: only cells of the same group vote. Ties: the larger class code. Stops when nothing changes.
+    """
+    now = _shared(grid.select("row", "col", cls, *([group] if group else [])), "sieve")
+    for _ in range(rounds):
+        comps = cell_components(now, cls, steps)
+        sizes = comps.groupBy("comp", cls).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.withColumn("_small", (F.col("_n") < min_cells) | F.col(cls).isin(list(forced)) if forced else F.col("_n") < min_cells)
+        if sizes.where("_small").isEmpty():
+            break
+        c = _shared(comps.join(sizes, ["comp", cls]), "sized")
+        info = F.struct("comp", cls, "_n", "_small", *([F.col(group).alias("_g")] if group else []))
+        n = neighbours(c.withColumn("_s", info), "_s", FOUR).where((F.col("_s.comp") != F.col("near.comp")) & F.col("_s._small"))
+        if group:
+            n = n.where(F.col("_s._g") == F.col("near._g"))
+        n = _shared(n.groupBy(F.col("_s.comp").alias("comp"), F.col("_s._n").alias("n"), F.col("near.comp").alias("to"), F.col(f"near.{cls}").alias("vote"), F.col("near._n").alias("m"), F.col("near._small").alias("small")).agg(F.count(F.lit(1)).alias("edges")), "votes")
+        vote = n.where("NOT small").groupBy("comp", "vote").agg(F.sum("edges").alias("e")).groupBy("comp").agg(F.max(F.struct("e", "vote")).alias("b")).select("comp", F.col("b.vote").alias("new"))
+        if vote.isEmpty():
+            senior = n.where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("to") < F.col("comp"))))
+            vote = senior.groupBy("comp", "vote").agg(F.sum("edges").alias("e")).groupBy("comp").agg(F.max(F.struct("e", "vote")).alias("b")).select("comp", F.col("b.vote").alias("new"))
+            if vote.isEmpty():
+                break
+        now = _shared(c.join(vote, "comp", "left").select("row", "col", F.coalesce("new", cls).alias(cls), *([group] if group else [])), "sieve")
+    return now.select("row", "col", cls)
+
+
+def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: int = 1000) -> DataFrame:
+    """(row, col, value): grid, and holes(row, col) filled from the nearest valued cell, ring by ring; ties: the smaller value."""
+    from .joins import EIGHT
+
+    now = _shared(grid.where(F.col(value).isNotNull()).select("row", "col", value), "filled")
+    left = _shared(holes.join(now, ["row", "col"], "left_anti").select("row", "col"), "holes")
+    for _ in range(reach):
+        near = neighbours(left.withColumn("_v", F.lit(0)).join(now.select("row", "col"), ["row", "col"], "left_anti").withColumn("_v", F.lit(None).cast(now.schema[value].dataType)).unionByName(now.withColumnRenamed(value, "_v")), "_v", EIGHT)
+        got = near.where(F.col("_v").isNull() & F.col("near").isNotNull()).withColumn("_d", F.abs("dr") + F.abs("dc"))
+        got = _shared(got.groupBy("row", "col").agg(F.min(F.struct("_d", "near")).alias("b")).select("row", "col", F.col("b.near").alias(value)), "ring")
+        if got.isEmpty():
+            break
+        now = _shared(now.unionByName(got), "filled")
+        left = _shared(left.join(got, ["row", "col"], "left_anti"), "holes")
+    return now
+
+
+def dissolve(grid: DataFrame, cls: str, mapping: dict[int, int], steps=FOUR) -> DataFrame:
+    """Patches after all codes are replaced at once."""
+    from ..functions.codes import replace_codes
+
+    return patches(grid.withColumn(cls, replace_codes(F.col(cls), mapping)), cls, steps)
+
+
+def overlay(targets: list[DataFrame], base: DataFrame, cls: str) -> DataFrame:
+    """(row, col, cls, src): the first target that covers a cell wins; base where none does; src says which (0: base)."""
+    from functools import reduce
+
+    layers = [t.select("row", "col", cls, F.lit(i + 1).alias("src"), F.lit(i).alias("_p")) for i, t in enumerate(targets)]
+    layers.append(base.select("row", "col", cls, F.lit(0).alias("src"), F.lit(len(targets)).alias("_p")))
+    u = reduce(DataFrame.unionByName, layers)
+    return u.groupBy("row", "col").agg(F.min_by(F.struct(cls, "src"), F.struct("_p", cls)).alias("b")).select("row", "col", f"b.{cls}", "b.src")
+
+
+def no_overlap(cells: DataFrame, key: str, is_target: str, area: str) -> DataFrame:
+    """Of the objects that claim a cell, a target wins, then the larger, then the smaller key."""
+    return cells.groupBy("row", "col").agg(F.min_by(key, F.struct(~F.col(is_target), -F.col(area), F.col(key))).alias(key))
+
+
+def dilate(cells: DataFrame, radius: int = 1) -> DataFrame:
+    """Cells within radius (a square window) of a cell of the set."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    r = cells.select("row", "col", F.explode(span).alias("_d")).select((F.col("row") + F.col("_d")).alias("row"), "col").distinct()
+    return r.select("row", "col", F.explode(span).alias("_d")).select("row", (F.col("col") + F.col("_d")).alias("col")).distinct()
+
+
+def erode(cells: DataFrame, radius: int = 1) -> DataFrame:
+    """Cells whose whole square window is in the set."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    n = 2 * radius + 1
+    r = cells.select("row", "col", F.explode(span).alias("_d")).select((F.col("row") + F.col("_d")).alias("row"), "col").groupBy("row", "col").count().where(F.col("count") == n).drop("count")
+    return r.select("row", "col", F.explode(span).alias("_d")).select("row", (F.col("col") + F.col("_d")).alias("col")).groupBy("row", "col").count().where(F.col("count") == n).drop("count")
+
+
+def close_gaps(cells: DataFrame, radius: int = 1) -> DataFrame:
+    """Morphological closing: gaps narrower than the window are filled."""
+    return erode(dilate(cells, radius), radius).unionByName(cells.select("row", "col")).distinct()
+
+
+def slivers(grid: DataFrame, comp: str, radius: int = 1) -> DataFrame:
+    """Components that vanish when eroded."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    k = (2 * radius + 1) ** 2
+    spread = grid.select(comp, "row", "col", F.explode(span).alias("_a")).select(comp, (F.col("row") + F.col("_a")).alias("row"), "col", F.explode(span).alias("_b")).select(comp, "row", (F.col("col") + F.col("_b")).alias("col"))
+    core = spread.groupBy(comp, "row", "col").count().where(F.col("count") == k).select(comp).distinct()
+    return grid.select(comp).distinct().join(core, comp, "left_anti")
+
+
+def fill_holes(mask: DataFrame, max_cells: int) -> DataFrame:
+    """A mask (row, col, m) of 0 and 1: components of fewer than max_cells cells take the other value, holes first. Components at the frame's edge count like others."""
+    def flip(g: DataFrame, value: int) -> DataFrame:
+        c = cell_components(g, "m")
+        small = c.where(F.col("m") == value).groupBy("comp").count().where(F.col("count") < max_cells).select("comp", F.lit(True).alias("_f"))
+        return _shared(c.join(small, "comp", "left").select("row", "col", F.when(F.col("_f"), 1 - F.col("m")).otherwise(F.col("m")).alias("m")), "mask")
+
+    return flip(flip(mask, 0), 1)
+
+
+def segments(grid: DataFrame, cls: str) -> DataFrame:
+    """(row, col, cls, case, x1, y1, x2, y2): marching squares at one half for each class, over the 2 by 2 quads that hold it.
+
+    A quad's four corners make a case of 1 to 14; each case has one or two segments between edge midpoints.
+    """
+    # Edges 0 top, 1 right, 2 bottom, 3 left of a quad whose corners are bits 8 4 2 1 clockwise from top left.
+    cases = {1: ((3, 2),), 2: ((2, 1),), 3: ((3, 1),), 4: ((1, 0),), 5: ((3, 0), (1, 2)), 6: ((2, 0),), 7: ((3, 0),), 8: ((0, 3),), 9: ((0, 2),), 10: ((0, 1), (2, 3)), 11: ((0, 1),), 12: ((1, 3),), 13: ((1, 2),), 14: ((2, 3),)}
+    mid = {0: (0.5, 0.0), 1: (1.0, 0.5), 2: (0.5, 1.0), 3: (0.0, 0.5)}
+    corners = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(w).alias("w")) for a, b, w in ((0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1))])
+    q = grid.select("row", "col", cls, F.explode(corners).alias("k")).select((F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"), cls, "k.w")
+    q = q.groupBy("row", "col", cls).agg(F.sum("w").alias("case")).where("case < 15")
+    rows = F.array(*[F.struct(F.lit(c).alias("c"), *[F.lit(v).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (*mid[a], *mid[b]))]) for c, s in cases.items() for a, b in s])
+    out = q.withColumn("s", F.explode(F.filter(rows, lambda x: x["c"] == F.col("case"))))
+    return out.select("row", "col", cls, "case", (F.col("col") + F.col("s.ax")).alias("x1"), (F.col("row") + F.col("s.ay")).alias("y1"), (F.col("col") + F.col("s.bx")).alias("x2"), (F.col("row") + F.col("s.by")).alias("y2"))
+
+
+def structural_sieve(grid: DataFrame, cls: str, structure: dict[int, int], min_cells: int) -> DataFrame:
+    """Sieves structural classes, then gives each cell whose structure changed the nearest type of its new structure."""
+    table = F.create_map(*[F.lit(x) for kv in structure.items() for x in kv])
+    g = _shared(grid.select("row", "col", cls, F.element_at(table, F.col(cls)).alias("_st")), "structure")
+    new = sieve(g.select("row", "col", F.col("_st")), "_st", min_cells).withColumnRenamed("_st", "_new")
+    both = _shared(g.join(new, ["row", "col"]), "structure")
+    kept = both.where("_st = _new").select("row", "col", cls)
+    out = kept
+    for s in sorted(set(structure.values())):  # a handful of structures
+        holes = both.where((F.col("_new") == s) & (F.col("_st") != s)).select("row", "col")
+        inside = both.where(F.col("_new") == s).select("row", "col")
+        near = nearest_fill(kept.join(inside, ["row", "col"], "left_semi"), holes, cls)
+        out = out.unionByName(near.join(holes, ["row", "col"], "left_semi"))
+    return out
+
+
+def correct(targets: list[DataFrame], base: DataFrame, extent: DataFrame, cls: str) -> DataFrame:
+    """Targets by priority over base, then what of the extent is still void from the nearest cell."""
+    laid = overlay(targets, base, cls).select("row", "col", cls)
+    return nearest_fill(laid, extent, cls)
+
+
+def report(cells: DataFrame, extent: DataFrame) -> DataFrame:
+    """(what, n): cells that several objects claim, and cells of the extent that none does."""
+    over = cells.groupBy("row", "col").count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
+    gap = extent.join(cells, ["row", "col"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return over.select(F.lit("overlap").alias("what"), "n").unionByName(gap.select(F.lit("gap").alias("what"), "n"))
+
+
+def split_by_points(cells: DataFrame, points: DataFrame, reach: int = 6) -> DataFrame:
+    """(row, col, id): each cell's nearest point, ties by the smaller id. A cell looks in blocks of `reach` cells around its own; cells that find none within reach look at all points, a block's points at a time."""
+    d = F.round((F.col("col") + 0.5 - F.col("x")) ** 2 + (F.col("row") + 0.5 - F.col("y")) ** 2, 6)
+    span = F.sequence(F.lit(-1), F.lit(1))
+    p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("_bx"), F.floor(F.col("y") / reach).alias("_by"))
+    spread = p.select("id", "x", "y", "_bx", "_by", F.explode(span).alias("_i")).select("id", "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), "_by", F.explode(span).alias("_j")).select("id", "x", "y", "_bx", (F.col("_by") + F.col("_j")).alias("_by"))
+    c = cells.select("row", "col", F.floor(F.col("col") / reach).cast("long").alias("_bx"), F.floor(F.col("row") / reach).cast("long").alias("_by"))
+    near = c.join(spread, ["_bx", "_by"]).withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
+    near = _shared(near.where(F.col("b._d") <= float(reach * reach)).select("row", "col", F.col("b.id").alias("id")), "near")
+    rest = cells.join(near, ["row", "col"], "left_anti")
+    # The rest against all points, in 16 blocks whose minima are compared.
+    blocks = rest.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    far = blocks.join(points.select("id", "x", "y", F.pmod(F.hash("id"), F.lit(16)).alias("_b")), "_b").withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
+    return near.unionByName(far.select("row", "col", F.col("b.id").alias("id")))
+
+
+def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4) -> DataFrame:
+    """(tile_r, tile_c, row, col, cls): each tile with its margin is cleaned on its own by Arrow-fed NumPy code, and its inner cells are kept.
+
+    A cell is repeated for the tiles whose margin it is in; a group is one tile and its margin.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def lo(c: str):
+        return F.floor((F.col(c) - margin) / tile)
+
+    def hi(c: str):
+        return F.floor((F.col(c) + margin) / tile)
+
+    spread = grid.select("row", "col", cls, F.explode(F.sequence(lo("row"), hi("row"))).alias("tile_r"), lo("col").alias("_a"), hi("col").alias("_b")).select("row", "col", cls, "tile_r", F.explode(F.sequence("_a", "_b")).alias("tile_c"))
+
+    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Cells that fewer than min_cells of their 3 by 3 window agree with take the window's commonest class, the larger on ties."""
+        r0, c0 = pdf.row.min(), pdf.col.min()
+        a = np.full((pdf.row.max() - r0 + 3, pdf.col.max() - c0 + 3), -1, np.int64)
+        a[pdf.row - r0 + 1, pdf.col - c0 + 1] = pdf[cls]
+        near = np.stack([np.roll(np.roll(a, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        codes = np.unique(pdf[cls])
+        votes = np.stack([(near == c).sum(0) for c in codes])
+        own = (near == a).sum(0)
+        best = codes[len(codes) - 1 - votes[::-1].argmax(0)]
+        out = np.where(own < min_cells, best, a)
+        pdf = pdf.assign(**{cls: out[pdf.row - r0 + 1, pdf.col - c0 + 1]})
+        tr, tc = pdf.tile_r.iloc[0], pdf.tile_c.iloc[0]
+        return pdf[(pdf.row // tile == tr) & (pdf.col // tile == tc)][["tile_r", "tile_c", "row", "col", cls]]
+
+    return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
