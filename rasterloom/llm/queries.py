@@ -11,6 +11,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .html_text import op2_html_text
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .passages import op4_passages
 from .quality import op9_quality
 from .secrets import op7_secrets
 from .simhash import op8_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_text": op2_html_text,
     "op3_line_dedup": op3_line_dedup,
+    "op4_passages": op4_passages,
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_secrets": op7_secrets,
