@@ -1 +1 @@
-
+"""Resumable work as ledgers and streams."""
