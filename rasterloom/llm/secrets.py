@@ -3,7 +3,7 @@
 A token of 20 or more signs with letters and digits gets an encoding from its alphabet. Chi-squared uniformity over
 the alphabet, a runs test about its middle and the lag-1 serial correlation give three p-values under randomness,
 combined by Fisher's method; a token that they reject isn't random. For the others, the p-value of having so many
-changes of character class if it were wordlike (changes at 15% of places) depends on the length; in each length class
+changes between letters and digits if it were wordlike (changes at 5% of places) depends on the length; in each length class
 of the whole corpus, Benjamini-Hochberg holds the share of false discoveries. Histograms of p-values, a few thousand
 numbers, are all that is gathered.
 """
@@ -29,7 +29,7 @@ KEYWORDS = ("passw", "secret", "token", "api")
 #: The smallest alphabet that has all signs of a token is its encoding.
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 PLACES = [{c: i for i, c in enumerate(a)} for a in ALPHABETS]
-WORDLIKE, RANDOM_LEVEL, FDR, STEPS = 0.15, 0.001, 0.01, 10
+WORDLIKE, RANDOM_LEVEL, FDR, STEPS = 0.05, 0.001, 0.01, 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,14 +82,11 @@ def randomness(token: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def sign_class(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
-
-
 def wordlike(token: str) -> float:
-    """The chance of so many changes of character class, or more, in a wordlike token of this length."""
-    n = len(token) - 1
-    x = sum(sign_class(p) != sign_class(q) for p, q in zip(token, token[1:]))
+    """The chance of so many changes between letters and digits, or more, in a wordlike token of as many of them."""
+    digits = [c.isdigit() for c in token if c.isalnum()]
+    n = len(digits) - 1
+    x = sum(p != q for p, q in zip(digits, digits[1:]))
     return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(WORDLIKE) + (n - i) * math.log1p(-WORDLIKE)) for i in range(x, n + 1)))
 
 
