@@ -276,7 +276,8 @@ def brute_spans(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
-def test_secrets_by_brute_force(spark, sf):
+def test_secrets_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = secrets.op7_secrets(spark, sf).collect()
     assert len(got) == len(docs)
@@ -294,6 +295,14 @@ def test_secrets_hard_cases(spark):
     assert got == {i: brute_spans(t or "") for i, t in enumerate(texts)}
 
 
+def test_secrets_of_several_kinds_in_one_text(spark, tmp_path):
+    text = "é AKIA" + "Q" * 16 + " and " + "0a" * 12 + ", token: " + "z" * 9 + " " + "1b" * 13 + " secret='" + "9f" * 20 + "'"
+    spark.createDataFrame([(1, text), (2, text * 2), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in secrets.op7_secrets(spark, str(tmp_path)).collect():
+        want = brute_spans({1: text, 2: text * 2, 3: ""}[r["doc_id"]])
+        assert r["spans"] == want and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(want.count(k) for k in ("assign:", "access:", "hex:"))
+
+
 def secrets_of(r):
     return ",".join(f"{secrets.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in sorted(r["base"], key=lambda s: (s["start"], s["kind"])))
 
