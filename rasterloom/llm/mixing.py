@@ -73,7 +73,7 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
         "budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     )
     # exp(-key) falls from 1 to 0 as the key grows, so 1 - exp(-key) orders as the key does.
-    buckets = max(16, -(-rows.count() // rows_per_bucket))
+    buckets = max(128, -(-rows.count() // rows_per_bucket))
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
