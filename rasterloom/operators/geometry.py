@@ -144,3 +144,12 @@ def decode_rle(c: Column) -> Column:
     """Column-major run lengths, off and on in turn, as an array of (start, length) of the on runs."""
     sums = F.transform(c, lambda x, i: F.struct(F.aggregate(F.slice(c, F.lit(1), i), F.lit(0), lambda a, b: a + b).alias("start"), x.alias("length")))
     return F.transform(F.filter(sums, lambda x, i: i % 2 == 1), lambda x: x)
+
+
+def align(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two grids of one resolution on the intersection of their extents, counted from its corner."""
+    ends = lambda df, n: df.agg(*[f(c).alias(f"_{n}{k}{c}") for c in ("row", "col") for f, k in ((F.min, "lo"), (F.max, "hi"))])
+    box = ends(a, "a").crossJoin(ends(b, "b"))  # one row each
+    box = box.select(*[F.greatest(f"_alo{c}", f"_blo{c}").alias(f"_lo{c}") for c in ("row", "col")], *[F.least(f"_ahi{c}", f"_bhi{c}").alias(f"_hi{c}") for c in ("row", "col")])
+    both = a.join(b, ["row", "col"]).crossJoin(F.broadcast(box)).where(F.col("row").between(F.col("_lorow"), F.col("_hirow")) & F.col("col").between(F.col("_locol"), F.col("_hicol")))
+    return both.withColumns({c: F.col(c) - F.col(f"_lo{c}") for c in ("row", "col")}).drop("_lorow", "_locol", "_hirow", "_hicol")

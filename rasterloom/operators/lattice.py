@@ -15,19 +15,24 @@ def majority_vote(grid: DataFrame, comp: str, cls: str) -> DataFrame:
     return n.groupBy(comp).agg(F.max(F.struct("n", "vote")).alias("b")).select(comp, "b.vote", "b.n")
 
 
-def _shared(df: DataFrame, what: str) -> DataFrame:
-    """Stores df in the folder that executors share and reads it again, so that a loop's lineage stays short."""
+def _shared_root(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     import tempfile
-    import uuid
 
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/grids/{what}-{uuid.uuid4().hex}"
+    return root
+
+
+def _shared(df: DataFrame, what: str) -> DataFrame:
+    """Stores df in that folder and reads it again, so that a loop's lineage stays short."""
+    import uuid
+
+    path = f"{_shared_root(df.sparkSession)}/grids/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,10 +52,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = new.select("id", "comp")
 
 
-def cell_id(width: int) -> F.Column:
-    return (F.col("row").cast("long") * width + F.col("col")).alias("id")
-
-
 def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31) -> DataFrame:
     """Adds comp: connected cells of equal class share the id (row * width + col) of their first cell.
 
@@ -275,3 +276,13 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
         return pdf[(pdf.row // tile == tr) & (pdf.col // tile == tc)][["tile_r", "tile_c", "row", "col", cls]]
 
     return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
+
+
+def stored_parts(grid: DataFrame, part: str) -> DataFrame:
+    """Writes one folder per part to the shared folder and reads them all; parts that are there already stay."""
+    import uuid
+
+    spark = grid.sparkSession
+    path = f"{_shared_root(spark)}/parts/{uuid.uuid4().hex}"
+    grid.write.mode("ignore").partitionBy(part).parquet(path)
+    return spark.read.parquet(path)

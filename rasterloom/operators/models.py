@@ -177,3 +177,24 @@ def fit_logistic(df: DataFrame, cols: list[str], label: str, weight: str | None
     v = VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
     model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, elasticNetParam=l1, maxIter=50, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", **({"weightCol": weight} if weight else {})).fit(v)
     return model, model.transform(v).withColumn("p", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_y")
+
+
+def smooth_fit(df: DataFrame, knots: int = 8, penalty: float = 1.0, points: int = 50) -> DataFrame:
+    """(x, fit, se): a linear spline of y on x with a second-difference penalty, at evenly spaced points."""
+    e = df.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    lo, step = e["lo"], (e["hi"] - e["lo"]) / (knots - 1) or 1.0
+    hat = [F.greatest(F.lit(0.0), 1 - F.abs(F.col("x") - (lo + i * step)) / step) for i in range(knots)]
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") ** 2).alias("yy"), *[F.sum(hat[i] * hat[j]).alias(f"b{i}_{j}") for i in range(knots) for j in range(i, min(i + 2, knots))], *[F.sum(hat[i] * F.col("y")).alias(f"t{i}") for i in range(knots)]).first()
+    b = np.zeros((knots, knots))
+    for i in range(knots):
+        for j in range(i, min(i + 2, knots)):
+            b[i, j] = b[j, i] = r[f"b{i}_{j}"]
+    t, diff = np.array([r[f"t{i}"] for i in range(knots)]), np.diff(np.eye(knots), 2, axis=0)
+    inv = np.linalg.inv(b + penalty * diff.T @ diff + 1e-9 * np.eye(knots))
+    w = inv @ t
+    var = max(r["yy"] - 2 * w @ t + w @ b @ w, 0.0) / max(r["n"] - np.trace(inv @ b), 1.0)
+    rows = []
+    for x in np.linspace(e["lo"], e["hi"], points):
+        h = np.maximum(0, 1 - np.abs(x - (lo + np.arange(knots) * step)) / step)
+        rows.append((float(x), float(h @ w), float(np.sqrt(max(var * h @ inv @ b @ inv @ h, 0.0)))))
+    return df.sparkSession.createDataFrame(rows, "x double, fit double, se double")
