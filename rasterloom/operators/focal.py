@@ -29,10 +29,11 @@ def box(grid: DataFrame, radius: int, sums: dict[str, Column], how: str = "sum")
 
 
 def _lattice(grid: DataFrame) -> DataFrame:
-    rows, cols = grid.select("row").distinct(), grid.select("col").distinct()
+    """All cells between the grid's first and last column, for each of its rows."""
+    ends = grid.agg(F.min("col").alias("_lo"), F.max("col").alias("_hi"))
     here = grid.select("row", "col", F.lit(True).alias("_here"))
-    # All cells of the grid's rows and columns: as many as the raster has.
-    return rows.crossJoin(cols).join(here, ["row", "col"], "left")
+    rows = grid.select("row").distinct().crossJoin(F.broadcast(ends))  # the other side is one row
+    return rows.select("row", F.explode(F.sequence("_lo", "_hi")).alias("col")).join(here, ["row", "col"], "left")
 
 
 def focal_mean(grid: DataFrame, value: str, radius: int, out: str = "mean") -> DataFrame:
