@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,22 +54,68 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = new.select("id", "comp")
 
 
-def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31) -> DataFrame:
+TILE = 512
+
+
+def label_tile(row: np.ndarray, col: np.ndarray, cls: np.ndarray, steps) -> np.ndarray:
+    """For each cell, the place of the first cell of its component; cells come ordered by row and column."""
+    n = len(row)
+    r, c = row - row.min(), col - col.min()
+    at = np.full((r.max() + 1, c.max() + 1), -1, np.int64)
+    at[r, c] = np.arange(n)
+    h, w = at.shape
+    edges = []
+    for dr, dc in steps:
+        if dr < 0 or dr == 0 and dc < 0:
+            continue  # the opposite step finds the same edges
+        u = at[: h - dr, max(0, -dc) : w - max(0, dc)]
+        v = at[dr:, max(0, dc) : w + min(0, dc)]
+        both = (u >= 0) & (v >= 0)
+        u, v = u[both], v[both]
+        same = cls[u] == cls[v]
+        edges.append((u[same], v[same]))
+    u, v = (np.concatenate(x) for x in zip(*edges))
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        new = label.copy()
+        np.minimum.at(new, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31, tile: int = TILE) -> DataFrame:
     """Adds comp: connected cells of equal class share the id (row * width + col) of their first cell.
 
-    Runs of equal cells along a row are joined first, by a window over the row, so that only runs are labelled.
+    Cells are labelled tile by tile in NumPy (a group is one tile); labels that touch across tile borders are joined by
+    components(), which sees border labels only. Nulls of the class are a class of their own.
     """
-    from pyspark.sql import Window as W
-
-    along = W.partitionBy("row").orderBy("col")
-    g = grid.select("row", "col", cls)
-    start = (F.lag(cls).over(along).eqNullSafe(F.col(cls)) & (F.lag("col").over(along) == F.col("col") - 1)) == F.lit(True)
-    g = g.withColumn("_start", F.when(start, None).otherwise(F.col("row").cast("long") * width + F.col("col")))
-    g = _shared(g.withColumn("run", F.last("_start", ignorenulls=True).over(along)).drop("_start"), "runs")
-    below = tuple(s for s in steps if s[0] == 1)
-    n = neighbours(g.withColumn("_s", F.struct("run", cls)), "_s", below).where(F.col(f"_s.{cls}") == F.col(f"near.{cls}"))
-    comps = components(n.select(F.col("_s.run").alias("a"), F.col("near.run").alias("b")), g.select(F.col("run").alias("id")).distinct())
-    return grid.join(g.join(comps, g["run"] == comps["id"]).select("row", "col", "comp"), ["row", "col"])
+    cells = grid.select("row", "col", F.col(cls).alias("_cls"), F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc"))
+    kind = cells.schema["_cls"].dataType.simpleString()
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        ids = pdf["row"].to_numpy(np.int64) * width + pdf["col"].to_numpy(np.int64)
+        codes = pd.factorize(pdf["_cls"], use_na_sentinel=False)[0]
+        first = label_tile(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), codes, steps)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "_cls": pdf["_cls"], "_run": ids[first]})
+
+    marked = _shared(cells.groupBy("_tr", "_tc").applyInPandas(label, f"row int, col int, _cls {kind}, _run long"), "labels")
+    last = lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1
+    rim = marked.where(last("row") | last("col") | (F.pmod(F.col("row"), F.lit(tile)) == 0) | (F.pmod(F.col("col"), F.lit(tile)) == 0))
+    forward = tuple(s for s in steps if s > (0, 0))
+    info = F.struct(F.col("_run").alias("run"), F.col("_cls").alias("cls"))
+    met = neighbours(rim.withColumn("_s", info), "_s", forward).where(F.col("_s.cls").eqNullSafe(F.col("near.cls")) & (F.col("_s.run") != F.col("near.run")))
+    edges = _shared(met.select(F.col("_s.run").alias("a"), F.col("near.run").alias("b")).distinct(), "borders")
+    if edges.isEmpty():
+        return grid.join(marked.select("row", "col", F.col("_run").alias("comp")), ["row", "col"])
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    roots = components(edges, nodes)
+    comp = marked.join(roots, marked["_run"] == roots["id"], "left").select("row", "col", F.coalesce("comp", "_run").alias("comp"))
+    return grid.join(comp, ["row", "col"])
 
 
 def patches(grid: DataFrame, cls: str, steps=FOUR, cell_area: float = 1.0) -> DataFrame:
@@ -249,9 +297,6 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
 
     A cell is repeated for the tiles whose margin it is in; a group is one tile and its margin.
     """
-    import numpy as np
-    import pandas as pd
-
     def lo(c: str):
         return F.floor((F.col(c) - margin) / tile)
 

@@ -40,8 +40,8 @@ def test_components_by_flood_fill(spark):
     text = "1122112 1211221 2211212 1122121 2121211 1112221"
     g = grid(spark, text)
     cells = {(r["row"], r["col"]): r["cls"] for r in g.collect()}
-    for steps in (FOUR, EIGHT):
-        got = {(r["row"], r["col"]): (r["comp"] // 100, r["comp"] % 100) for r in lattice.cell_components(g, "cls", steps, width=100).collect()}
+    for steps, tile in ((FOUR, 512), (EIGHT, 512), (FOUR, 3), (EIGHT, 2)):
+        got = {(r["row"], r["col"]): (r["comp"] // 100, r["comp"] % 100) for r in lattice.cell_components(g, "cls", steps, width=100, tile=tile).collect()}
         assert got == flood(cells, steps)
 
 
