@@ -143,3 +143,47 @@ def test_whole_groups_pass_over_what_does_not_fit(spark):
 
     g = spark.createDataFrame([(1, 5), (2, 9), (3, 4), (4, 1)], "chip int, n int")
     assert sorted(r["chip"] for r in windows.whole_groups(g, "n", [F.col("chip")], 10).collect()) == [1, 3, 4]
+
+
+def brute_sieve(cells: dict, min_cells: int) -> dict:
+    """The sieve's rule, cell by cell."""
+    for _ in range(30):
+        comp = flood(cells, FOUR)
+        size = Counter(comp.values())
+        small = {c for c, n in size.items() if n < min_cells}
+        if not small:
+            break
+        edges: dict = {}
+        for (r, c), own in comp.items():
+            if own in small:
+                for a, b in FOUR:
+                    n = comp.get((r + a, c + b))
+                    if n is not None and n != own:
+                        edges.setdefault(own, Counter())[n] += 1
+
+        def votes(ok):
+            out = {}
+            for own, near in edges.items():
+                v = Counter()
+                for n, k in near.items():
+                    if ok(own, n):
+                        v[cells[n]] += k
+                if v:
+                    out[own] = max(v, key=lambda x: (v[x], x))
+            return out
+
+        new = votes(lambda own, n: n not in small) or votes(lambda own, n: (size[n], tuple(-x for x in n)) > (size[own], tuple(-x for x in own)))
+        if not new:
+            break
+        cells = {p: new.get(comp[p], v) for p, v in cells.items()}
+    return cells
+
+
+def test_sieve_by_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    cells = {(i, j): r.choice((1, 1, 2, 3)) for i in range(14) for j in range(11) if r.random() > 0.05}
+    g = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "row int, col int, cls int")
+    got = {(x["row"], x["col"]): x["cls"] for x in lattice.sieve(g, "cls", 5).collect()}
+    assert got == brute_sieve(cells, 5)
