@@ -16,7 +16,9 @@ BITMAP_BITS = 32768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that is in fewer parts than half the cores, so a small one, is dealt over the cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
 
 
 def ascii_lower(text: Column) -> Column:

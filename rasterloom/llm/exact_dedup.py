@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, member_filter, passing, row_keys, salted_join, stored, without
+from .common import ascii_lower, member_filter, passing, row_keys, salted_join, stored, table, without
 
 
 def sha256(text: Column) -> Column:
@@ -88,8 +88,7 @@ def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """op10: rows of documents with equal texts (A-Z lower-cased); the row with the largest doc_id stays."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_groups(docs, keep="largest").select(
+    return exact_groups(table(spark, sf_dir, "documents"), keep="largest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
