@@ -43,7 +43,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def diagonals(index: DataFrame, items: DataFrame, window: int, slop: int = 0) -> DataFrame:
     """(iid, k1, k2, diag): where the two rarest terms of some window of the item stand in their places (give or take slop)."""
-    frequency = index.where("tid > 0").groupBy("tid").agg(F.count(F.lit(1)).alias("freq"))
+    frequency = stored(index.where("tid > 0").groupBy("tid").agg(F.count(F.lit(1)).alias("freq")), "frequency")
     known = items.join(small(frequency), "tid", "left")
     last = F.greatest(F.col("n") - window, F.lit(0))
     spans = known.withColumn("w", F.explode(F.sequence(F.greatest(F.col("p") - (window - 1), F.lit(0)), F.least("p", last))))
@@ -51,6 +51,7 @@ def diagonals(index: DataFrame, items: DataFrame, window: int, slop: int = 0) ->
     # A window with a term that the corpus lacks can't occur.
     spans = spans.withColumn("lacking", F.max(F.col("freq").isNull()).over(each)).where(~F.col("lacking"))
     rarest = spans.withColumn("rank", F.row_number().over(each.orderBy("freq", "p"))).where("rank <= 2").select("iid", "p", "tid", "n").distinct()
+    rarest = stored(rarest, "rarest")
     lists = index.join(small(rarest), "tid").select("iid", "n", "k1", "k2", (F.col("pos") - F.col("p")).alias("diag"), "p")
     if slop:
         lists = lists.withColumn("diag", F.explode(F.sequence(F.col("diag") - slop, F.col("diag") + slop)))
