@@ -190,7 +190,7 @@ def _(s, d):
 # Dynamics
 
 
-@query("a21_area_by_threshold", sql("suit", "SELECT year, count(*) FILTER (WHERE suit >= 0.5) * 0.09::DOUBLE AS ha, round(avg(suit), 6) AS mean_suit FROM suit GROUP BY year"))
+@query("a21_area_by_threshold", sql("suit", "SELECT year, round(count(*) FILTER (WHERE suit >= 0.5) * 0.09::DOUBLE, 6) AS ha, round(avg(suit), 6) AS mean_suit FROM suit GROUP BY year"))
 def _(s, d):
     return D.area_by_threshold(T.suit(s, d), 0.5, 0.09).select("year", r6("ha"), r6("mean_suit"))
 

@@ -175,11 +175,11 @@ def _(s, d):
     return p.select("v", F.coalesce(F.col("`1-URGENT`"), F.lit(0)).alias("urgent"), F.coalesce(F.col("`5-LOW`"), F.lit(0)).alias("low"), total.alias("total"))
 
 
-@query("a5_matrix_of_codes", sql("legend", "+ c AS (SELECT CAST(code AS VARCHAR) AS t, area FROM legend), p AS (SELECT CASE WHEN length(t) > 1 THEN substr(t, 1, 1) END AS v, CASE WHEN length(t) > 1 THEN CAST(CAST(substr(t, 2) AS BIGINT) AS VARCHAR) END AS h, area FROM c) SELECT v, h, count(*) AS n, round(sum(area), 1) AS area FROM p WHERE v IS NOT NULL GROUP BY v, h"))
+@query("a5_matrix_of_codes", sql("legend", "+ c AS (SELECT CAST(code AS VARCHAR) AS t, area FROM legend), p AS (SELECT CASE WHEN length(t) > 1 THEN substr(t, 1, 1) END AS v, CASE WHEN length(t) > 1 THEN CAST(CAST(substr(t, 2) AS BIGINT) AS VARCHAR) END AS h, area FROM c) SELECT v, h, count(*) AS n, round(sum(area), 2) AS area FROM p WHERE v IS NOT NULL GROUP BY v, h"))
 def _(s, d):
     v, h = C.parse_code(F.col("code"), "first", 1)
     m = A.matrix(T.legend(s, d).select(v.alias("v"), h.alias("h"), "area").where("v IS NOT NULL"), "v", "h", "area")
-    return m.select("v", "h", "n", r6("area", 1))
+    return m.select("v", "h", "n", r6("area", 2))
 
 
 # Geometry
