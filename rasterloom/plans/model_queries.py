@@ -86,11 +86,11 @@ def _(s, d):
     return t.select("x", "y", C.quadkey(F.col("x"), F.col("y"), F.lit(6)).alias("quadkey"))
 
 
-@query("st11_categorical_layers", "SELECT c AS layer, regexp_matches(c, '(?i)(class|type|code|landcover|lulc|geomorph|brand|segment|status)') AS categorical, n FROM (SELECT unnest(['p_type', 'p_brand', 'p_size', 'p_retailprice', 'p_name']) AS c), (SELECT count(*) AS n FROM part)")
+@query("st11_categorical_layers", f"SELECT p_name AS name, lower(p_brand) || CASE p_partkey % 4 WHEN 0 THEN '_LULC' WHEN 1 THEN '_cat' WHEN 2 THEN '_slope' ELSE '_category_2' END AS layer, regexp_matches(lower(p_brand) || CASE p_partkey % 4 WHEN 0 THEN '_LULC' WHEN 1 THEN '_cat' WHEN 2 THEN '_slope' ELSE '_category_2' END, '{C.CATEGORICAL}') AS categorical FROM part")
 def _(s, d):
-    p = T.read(s, d, "part")
-    names = F.array(*[F.lit(c) for c in p.columns if c != "p_partkey"])
-    return p.agg(F.count(F.lit(1)).alias("n")).select(F.explode(names).alias("layer"), "n").select("layer", C.is_categorical(F.col("layer")).alias("categorical"), "n")
+    k = F.col("p_partkey") % 4
+    layer = F.concat(F.lower("p_brand"), F.when(k == 0, "_LULC").when(k == 1, "_cat").when(k == 2, "_slope").otherwise("_category_2"))
+    return T.read(s, d, "part").select(F.col("p_name").alias("name"), layer.alias("layer")).withColumn("categorical", C.is_categorical(F.col("layer")))
 
 
 _COLOUR = "c AS (SELECT p_partkey, '#' || upper(substr(md5(p_brand), 1, 6)) AS colour FROM part)"
