@@ -435,6 +435,17 @@ def test_passages_by_brute_force(spark):
     assert same >= 0.98 * len(docs)
 
 
+def test_passages_around_a_stock_phrase(spark, prose):
+    """Pairs share a passage whose minima mostly fall into a phrase that all texts have."""
+    stock = prose(25, 900)
+    texts = []
+    for i in range(40):
+        passage = prose(15, 1000 + i) + " " + stock + " " + prose(15, 1100 + i)
+        texts += [f"{prose(60, 1200 + 4 * i + j)} {passage} {prose(60, 1400 + 4 * i + j)}" for j in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
+
+
 def test_passages_of_odd_rows(odd, none):
     assert passages.near_passages(odd).count() == odd.count()
     assert passages.near_passages(none).count() == 0
