@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -446,6 +447,18 @@ def test_passages_around_a_stock_phrase(spark, prose):
     assert all(got[i] == i - i % 2 for i in got)
 
 
+def test_functions_agree_on_passages_at_the_threshold():
+    """Texts of 50 words with one of them changed: 41 of 51 shingles."""
+    r, lost = random.Random(1), 0
+    for _ in range(2000):
+        words = [f"{r.getrandbits(24):06x}" for _ in range(50)]
+        edited = list(words)
+        edited[r.randrange(5, 45)] = "edited"
+        keys = [[set(k.tolist()) for k, _ in passages._keys(" ".join(t).encode(), passages.FUNCTIONS, 46)] for t in (words, edited)]
+        lost += sum(bool(a & b) for a, b in zip(*keys)) < passages.ENOUGH
+    assert lost <= 2
+
+
 def test_passages_of_odd_rows(odd, none):
     assert passages.near_passages(odd).count() == odd.count()
     assert passages.near_passages(none).count() == 0
