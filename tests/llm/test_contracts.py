@@ -375,6 +375,17 @@ def test_repeated_boilerplate_goes_from_open_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_runs_are_counted_over_a_whole_large_host(spark, prose):
+    notice = "This notice is on ten of the pages only"
+    rows = [(i, f"http://h.example/{i}", f"<body><p>{notice if i % 6 == 0 else prose(9, 300 + i)}</p><p>{prose(30, i)}</p></body>") for i in range(60)]
+    rows += [(100 + i, f"http://small.example/{i}", f"<body><p>{notice}</p><p>{prose(8, 500 + i)}</p></body>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df, slice_pages=3).collect()}
+    assert got == want and len(got) == 62
+    assert not any(notice in t for i, t in got.items() if i < 100) and all(notice in got[i] for i in (100, 101))
+
+
 def test_html_query_keeps_every_page(spark, sf):
     got = html_text.op2_html_text(spark, sf).toPandas()
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
