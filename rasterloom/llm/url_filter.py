@@ -23,6 +23,10 @@ BLOCKED = "casino poker slots bets betting jackpot lottery pills viagra pharma c
 ALLOWED = "news daily-post blog wiki docs manual library museum science history garden recipes weather sports travel school university research journal health city council music film books art forum photos maps code data help about nature ocean theatre market kitchen therapy thinking nation station ontario reading".split()
 #: (host pattern, path): the same for both labels, so that only the words tell them apart.
 PLACES = (("www.{}.example.com", "/en/12"), ("{}.example.org", "/de/340.html"), ("blog.{}.example.net", "/fr/7/"), ("m.{}.example.com", "/es/99"), ("{}.com", "/index.html"))
+#: The same with the word in the path of a neutral host.
+PATHS = (("www.example.com", "/en/{}/12"), ("example.org", "/{}"), ("blog.example.net", "/fr/7/{}.html"), ("m.example.com", "/{}/index.html"), ("shop.com", "/de/{}/99"))
+#: A word to be blocked in the path of an allowed host, a word to be allowed in the path of an allowed host.
+MIXED = (("{}.example.org", "/{}/340.html"), ("www.{}.com", "/en/{}"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,12 +54,14 @@ def grams(host: Column, path: Column) -> Column:
         return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
 
     host, path = F.concat(F.lit("^"), host, F.lit("$")), F.concat(path, F.lit("$"))
-    return F.concat(*[of(host, "h", n) for n in GRAMS], of(path, "p", GRAMS[0]))
+    return F.concat(*[of(host, "h", n) for n in GRAMS], *[of(path, "p", n) for n in GRAMS])
 
 
 def labelled(spark: SparkSession) -> DataFrame:
     """(host, path, label): label 1 is to be blocked."""
     rows = [(place.format(w), path, float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for w in words for place, path in PLACES]
+    rows += [(host, path.format(w), float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for w in words for host, path in PATHS]
+    rows += [(host.format(ALLOWED[(i + 7 * k) % len(ALLOWED)]), path.format(w), float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for i, w in enumerate(words) for k, (host, path) in enumerate(MIXED)]
     return spark.createDataFrame(rows, "host string, path string, label double").coalesce(1)
 
 

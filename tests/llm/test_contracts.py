@@ -337,6 +337,13 @@ def test_url_rules_and_verdicts(spark, sf):
     spam = seen.host.str.contains("spam|pills|casino|bets|ads-")
     assert ((seen.verdict == "block") == spam).mean() > 0.97
 
+def test_url_words_in_the_path_are_judged(spark):
+    block = ["http://news.example.org/casino/free-money", "http://www.example.com/a/viagra-pills.html", "https://pages.example.edu/2021/poker-jackpot/", "http://example.org/x/cheap-pills?id=3", "http://health.com/en/warez"]
+    allow = ["http://news.example.org/science/history", "http://www.example.com/a/garden-recipes.html", "https://pages.example.edu/2021/museum-art/", "http://example.org/x/weather?id=3", "http://health.com/en/research"]
+    pages = spark.createDataFrame(list(enumerate(block + allow)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.fit(url_filter.labelled(spark)), ()).collect()}
+    assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+
 
 # Html
 
