@@ -4,7 +4,8 @@ A token of 20 or more signs with letters and digits gets an encoding from its al
 the alphabet, a runs test about its middle and the lag-1 serial correlation give three p-values under randomness,
 combined by Fisher's method; a token that they reject isn't random. For the others, the p-value of having so many
 changes between letters and digits if it were wordlike (changes at 5% of places) depends on the length; in each length class
-of the whole corpus, Benjamini-Hochberg holds the share of false discoveries. Histograms of p-values, a few thousand
+(20 to 31 signs, 32 to 63, and so on by doubling) of the whole corpus, Benjamini-Hochberg holds the share of false
+discoveries. The battery itself only rejects. Histograms of p-values, a few thousand
 numbers, are all that is gathered.
 """
 
@@ -97,7 +98,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         t = m[0]
         if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(a < m.end() and b > m.start() for _, a, b in base):
             step = -1 if randomness(t) < RANDOM_LEVEL else int(-STEPS * math.log10(max(wordlike(t), 1e-300)))
-            out.append((*m.span(), min(5, len(t).bit_length()), step))
+            out.append((*m.span(), len(t).bit_length(), step))
     return out
 
 
@@ -122,7 +123,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def thresholds(rows: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """By length class, the least step whose tokens are discoveries."""
-    tested = rows.select(F.inline("found")).groupBy("size", "step").count().collect()  # at most 6 classes of 3001 steps
+    tested = rows.select(F.inline("found")).groupBy("size", "step").count().collect()  # a few classes, one for each doubling of the length, of 3001 steps
     out = {}
     for size in {r["size"] for r in tested}:
         steps = sorted(((r["step"], r["count"]) for r in tested if r["size"] == size), reverse=True)

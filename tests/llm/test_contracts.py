@@ -319,6 +319,17 @@ def test_randomness_finds_keys_and_leaves_words(spark, odd, none):
     assert secrets.secrets(odd).count() == odd.count() and secrets.secrets(none).count() == 0
 
 
+def test_secrets_of_a_length_are_held_against_tokens_of_that_length(spark):
+    """Long wordlike tokens don't raise the threshold of short keys."""
+    key = "a1b2c3d4e5f6g7h8jk9mnp"
+    found = lambda size, step, n: [(i, [{"start": 0, "end": 1, "size": size, "step": step}]) for i in range(n)]
+    (start, end, short, step), = secrets.candidates(key, [])
+    (_, _, long, _), = secrets.candidates("this-is-the-path-of-a-page-in-2024-and-more-of-it-here", [])
+    assert short != long and secrets.candidates("k1" * 40, [])[0][2] != long
+    rows = spark.createDataFrame(found(short, 30, 3) + found(long, 0, 2000), "doc_id long, found array<struct<start:long,end:long,size:int,step:int>>")
+    assert secrets.thresholds(rows) == {short: 30}
+
+
 # Urls
 
 
