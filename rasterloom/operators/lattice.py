@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -123,15 +125,16 @@ def patches(grid: DataFrame, cls: str, steps=FOUR, cell_area: float = 1.0) -> Da
     return cell_components(grid, cls, steps).groupBy("comp", cls).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 
-def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int = 30, forced: tuple[int, ...] = (), group: str | None = None) -> DataFrame:
+def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int | None = None, forced: tuple[int, ...] = (), group: str | None = None) -> DataFrame:
     """(row, col, cls): components of fewer than min_cells cells take the class most of their border edges touch.
 
     First only neighbours that are large enough vote. Where no small component has such a neighbour, a small one joins
     the senior of its small neighbours (more cells; then the smaller label). forced: classes that are always small.
-    group: only cells of the same group vote. Ties: the larger class code. Stops when nothing changes.
+    group: only cells of the same group vote. Ties: the larger class code. Stops when nothing changes: each round
+    joins components, so there are fewer than at first; rounds: stop after so many.
     """
     now = _shared(grid.select("row", "col", cls, *([group] if group else [])), "sieve")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         comps = cell_components(now, cls, steps)
         sizes = comps.groupBy("comp", cls).agg(F.count(F.lit(1)).alias("_n"))
         sizes = sizes.withColumn("_small", (F.col("_n") < min_cells) | F.col(cls).isin(list(forced)) if forced else F.col("_n") < min_cells)
@@ -153,13 +156,13 @@ def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int = 3
     return now.select("row", "col", cls)
 
 
-def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: int = 1000) -> DataFrame:
-    """(row, col, value): grid, and holes(row, col) filled from the nearest valued cell, ring by ring; ties: the smaller value."""
+def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: int | None = None) -> DataFrame:
+    """(row, col, value): grid, and holes(row, col) filled from the nearest valued cell, ring by ring; ties: the smaller value. reach: stop after so many rings."""
     from .joins import EIGHT
 
     now = _shared(grid.where(F.col(value).isNotNull()).select("row", "col", value), "filled")
     left = _shared(holes.join(now, ["row", "col"], "left_anti").select("row", "col"), "holes")
-    for _ in range(reach):
+    for _ in count() if reach is None else range(reach):
         near = neighbours(left.withColumn("_v", F.lit(0)).join(now.select("row", "col"), ["row", "col"], "left_anti").withColumn("_v", F.lit(None).cast(now.schema[value].dataType)).unionByName(now.withColumnRenamed(value, "_v")), "_v", EIGHT)
         got = near.where(F.col("_v").isNull() & F.col("near").isNotNull()).withColumn("_d", F.abs("dr") + F.abs("dc"))
         got = _shared(got.groupBy("row", "col").agg(F.min(F.struct("_d", "near")).alias("b")).select("row", "col", F.col("b.near").alias(value)), "ring")

@@ -70,6 +70,12 @@ def test_sieve_of_small_ones_only_stops(spark):
     assert got.count() == 4
 
 
+def test_sieve_goes_on_while_small_ones_border_a_large_one(spark):
+    rows = [(0, c, 1 if c < 3 else 10 + c) for c in range(36)]
+    got = lattice.sieve(spark.createDataFrame(rows, "row long, col long, cls long"), "cls", 3).collect()
+    assert len(got) == 36 and {r["cls"] for r in got} == {1}
+
+
 def test_nearest_fill(spark):
     g = grid(spark, "1...2", "v")
     holes = spark.createDataFrame([(0, c) for c in range(5)], "row int, col int")
