@@ -499,15 +499,16 @@ def test_passages_by_brute_force(spark):
     assert all((r["n_links"] > 0 or r["n_copies"] > 1) == (size[r["class_id"]] > 1) for r in got.values())
 
 
-def test_passages_around_a_stock_phrase(spark, prose):
-    """Pairs share a passage whose minima mostly fall into a phrase that all texts have."""
-    stock = prose(25, 900)
+@pytest.mark.parametrize(("n_stock", "whole"), [(25, 4096), (25, 4), (44, 4096), (44, 4)])
+def test_passages_around_a_stock_phrase(spark, prose, n_stock, whole):
+    """Pairs share a passage whose minima mostly fall into a phrase that all texts have, in few tasks and in many."""
+    stock = prose(n_stock, 900)
     texts = []
     for i in range(40):
-        passage = prose(15, 1000 + i) + " " + stock + " " + prose(15, 1100 + i)
+        passage = prose(3 if i % 2 else 25, 1000 + i) + " " + stock + " " + prose(25 if i % 2 else 3, 1100 + i)
         texts += [f"{prose(60, 1200 + 4 * i + j)} {passage} {prose(60, 1400 + 4 * i + j)}" for j in range(2)]
-    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(got[i] == i - i % 2 for i in got)
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), whole=whole).collect()}
+    assert got == dict(enumerate(brute_passages(texts))) and all(got[i] == i - i % 2 for i in got)
 
 
 def test_functions_agree_on_all_passages_at_the_threshold():
