@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import shared_folder, ship
+from ..ship import stored as _shared
 from .joins import FOUR, neighbours
 
 
@@ -19,26 +21,6 @@ def majority_vote(grid: DataFrame, comp: str, cls: str) -> DataFrame:
     return n.groupBy(comp).agg(F.max(F.struct("n", "vote")).alias("b")).select(comp, "b.vote", "b.n")
 
 
-def _shared_root(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def _shared(df: DataFrame, what: str) -> DataFrame:
-    """Stores df in that folder and reads it again, so that a loop's lineage stays short."""
-    import uuid
-
-    path = f"{_shared_root(df.sparkSession)}/grids/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, comp): comp is the smallest id that edges(a, b) reach. Each round takes the smallest label nearby and then the label's own label, so rounds grow as the logarithm of a component's reach."""
     both = _shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -105,6 +87,7 @@ def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31,
         first = label_tile(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), codes, steps)
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "_cls": pdf["_cls"], "_run": ids[first]})
 
+    ship(cells.sparkSession)
     marked = _shared(cells.groupBy("_tr", "_tc").applyInPandas(label, f"row int, col int, _cls {kind}, _run long"), "labels")
     last = lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1
     rim = marked.where(last("row") | last("col") | (F.pmod(F.col("row"), F.lit(tile)) == 0) | (F.pmod(F.col("col"), F.lit(tile)) == 0))
@@ -323,6 +306,7 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
         tr, tc = pdf.tile_r.iloc[0], pdf.tile_c.iloc[0]
         return pdf[(pdf.row // tile == tr) & (pdf.col // tile == tc)][["tile_r", "tile_c", "row", "col", cls]]
 
+    ship(spread.sparkSession)
     return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
 
 
@@ -331,6 +315,6 @@ def stored_parts(grid: DataFrame, part: str) -> DataFrame:
     import uuid
 
     spark = grid.sparkSession
-    path = f"{_shared_root(spark)}/parts/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/parts/{uuid.uuid4().hex}"
     grid.write.mode("ignore").partitionBy(part).parquet(path)
     return spark.read.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .lattice import _shared, components
 
 
@@ -74,6 +75,7 @@ def simplified(chains: DataFrame, tolerance: float) -> DataFrame:
         keep = peucker(line, tolerance)
         return pd.DataFrame({"chain": pdf.chain.iloc[0], "left": pdf.left.iloc[0], "right": pdf.right.iloc[0], "seq": range(len(keep)), "x": [float(p[0]) for p in keep], "y": [float(p[1]) for p in keep]})
 
+    ship(chains.sparkSession)
     return chains.groupBy("chain").applyInPandas(walk, f"chain long, left {chains.schema['left'].dataType.simpleString()}, right {chains.schema['right'].dataType.simpleString()}, seq int, x double, y double")
 
 

@@ -1,23 +1,23 @@
-"""Makes this package importable on the executors."""
+"""What a cluster needs: this package on the executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a zip file to the session, once, unless the workers find it by their path already."""
+    """Adds the package as a zip file to the session, once. Operators whose functions run in Python workers call it."""
     sc = spark.sparkContext
-    found = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if str(ROOT.parent) in found or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{ROOT.name}.zip")
     with zipfile.ZipFile(path, "w") as z:
@@ -25,3 +25,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, the warehouse, which driver and executors share too; with a local master, a temporary folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stored"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root
+
+
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{what}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -44,14 +44,19 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def _arriving(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
+    """The rows of files that arrive in a folder. An event time without a zone counts as of the session's: watermarks want one."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def stream_tumbling(spark: SparkSession, path: str, schema, width: str, late: str, *aggs) -> DataFrame:
     """The streaming form of tumbling() over Parquet files that arrive in a folder."""
-    return tumbling(spark.readStream.schema(schema).parquet(path).withWatermark("ts", late), width, *aggs)
+    return tumbling(_arriving(spark, path, schema, late), width, *aggs)
 
 
 def stream_last_status(spark: SparkSession, path: str, schema, late: str = "1 hour") -> DataFrame:
     """Status rows as they come, each (token, sig) once within the watermark."""
-    return spark.readStream.schema(schema).parquet(path).withWatermark("ts", late).dropDuplicatesWithinWatermark(["token", "sig"])
+    return _arriving(spark, path, schema, late).dropDuplicatesWithinWatermark(["token", "sig"])
 
 
 def run_new_tiles(spark: SparkSession, inbox: str, schema, out: str, checkpoint: str, clean) -> None:

@@ -19,6 +19,18 @@ def test_stream_of_windows_equals_batch(spark, sf, tmp_path):
     assert rows(spark.table("win").toPandas()) == rows(ledger.tumbling(e, "1 day", n).toPandas())
 
 
+def test_stream_of_statuses_gives_each_token_once(spark, tmp_path):
+    """Repeats within the watermark go, with and without a zone; another signature is another row."""
+    at = "timestamp_ntz'2024-01-01 00:00:00'"
+    status = spark.sql(f"SELECT CAST(id % 4 AS STRING) AS token, CAST(id % 2 AS STRING) AS sig, {at} + make_interval(0, 0, 0, 0, 0, id) AS ts, 'done' AS status FROM range(40)")
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = status.withColumn("ts", F.col("ts").cast(kind))
+        df.repartition(3).write.parquet(str(tmp_path / kind))
+        q = ledger.stream_last_status(spark, str(tmp_path / kind), df.schema).writeStream.format("memory").queryName(f"status_{kind}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted((r["token"], r["sig"]) for r in spark.table(f"status_{kind}").collect()) == [("0", "0"), ("1", "1"), ("2", "0"), ("3", "1")]
+
+
 def test_new_tiles_only_once(spark, sf, tmp_path):
     e = tables.read(spark, sf, "events").select("event_id", "value")
     inbox, out, check = (str(tmp_path / x) for x in ("inbox", "out", "check"))
