@@ -438,6 +438,9 @@ def test_windows_of_texts_are_those_of_each_alone(prose):
         alone = passages.windows_of([t], 46)
         assert all((x[text == i] == y).all() for x, y in zip(rest, alone[1:]))
         assert len(alone[0]) == len(set(alone[1].tolist())) and (len(alone[0]) > 0) == (len(t.split()) >= 50)
+        w = t.split()
+        for a, b, word, start, stop in zip(*(x[text == i].tolist() for x in (rest[1], rest[3], rest[4], rest[5], rest[6]))):
+            assert t[start:stop].split() == w[max(0, a - 56) : b + 61] and word == max(0, a - 56)
     old, passages.PIECE = passages.PIECE, 64
     assert all((x == y).all() for x, y in zip(passages.windows_of(texts, 46), (text, *rest)))
     passages.PIECE = old
