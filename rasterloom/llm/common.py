@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"\x20\x09-\x0D"
 #: Bits of a membership filter: 2048 rows of 4 KiB, 8 MiB whatever the input holds.
@@ -26,25 +25,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root
-
-
-def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{what}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Marks df for broadcast if a count finds at most so many rows; else Spark shuffles both sides of the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -106,6 +86,7 @@ def salted_join(probe: DataFrame, side: DataFrame, key: str, hot: DataFrame, spr
 
 def row_keys(docs: DataFrame, *more: str | Column) -> DataFrame:
     """(more..., k1, k2): two hashes of doc_id and text, never null. Rows that repeat both share them."""
+    ship(docs.sparkSession)
     return docs.select(*more, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(5)).alias("k2"))
 
 

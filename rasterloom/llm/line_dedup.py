@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys, stored, table
+from .common import row_keys, ship, stored, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 65_536
@@ -192,6 +192,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     empty table gives an empty table.
     """
     spark = docs.sparkSession
+    ship(spark)
     counts = stored(line_counts(docs, min_docs, min_chars), "lines")
     total = counts.count()
     if total <= broadcast_keys:

@@ -18,15 +18,20 @@ from .common import ascii_lower, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 FEATURES, GRAMS = 1 << 14, (3, 4, 5)
 
-#: The labelled URL table is made from these words, in the places a URL can have them.
-BLOCKED = "casino poker slots bets betting jackpot lottery pills viagra pharma cheap-meds spam spam-farm link-farm ads adserver ads-track tracker banner popup click-bait free-money free-bets win-big casino-win cheap-pills payday-loan replica-watch crack-keygen warez phishing malware adult-chat xxx-cams get-rich".split()
-ALLOWED = "news daily-post blog wiki docs manual library museum science history garden recipes weather sports travel school university research journal health city council music film books art forum photos maps code data help about nature ocean theatre market kitchen therapy thinking nation station ontario reading".split()
-#: (host pattern, path): the same for both labels, so that only the words tell them apart.
+#: The labelled URLs follow a rule, not a list of hosts: a topic word stands alone or beside a filler word in a host or a path.
+BLOCKED = "casino poker slots bets betting wager jackpot lottery roulette pills viagra pharma meds steroids spam linkfarm ads adserver adclick banner tracker tracking popunder clickbait freemoney moneyfast payday loans replica knockoff keygen warez cracked phishing malware spyware adult xxx camgirls escorts".split()
+ALLOWED = "news daily blog wiki docs manual library museum science history garden recipes weather sports travel school university research journal health city council music film books art forum photos maps code data help about nature ocean theatre market kitchen therapy thinking nation station ontario reading window wing trackrecord farmhouse freedom cheapside".split()
+#: Words beside topics of either label, so that they tell nothing.
+FILLERS = "my the top best new online super mega real easy win free cheap farm club world home portal zone hub net24".split()
+#: The commonest letter pairs of English make names without a meaning, which are to be allowed.
+PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur".split()
+NAMELESS = 400
+#: Host patterns and paths: the same for both labels.
 PLACES = (("www.{}.example.com", "/en/12"), ("{}.example.org", "/de/340.html"), ("blog.{}.example.net", "/fr/7/"), ("m.{}.example.com", "/es/99"), ("{}.com", "/index.html"))
-#: The same with the word in the path of a neutral host.
+#: The same with the words in the path of a neutral host.
 PATHS = (("www.example.com", "/en/{}/12"), ("example.org", "/{}"), ("blog.example.net", "/fr/7/{}.html"), ("m.example.com", "/{}/index.html"), ("shop.com", "/de/{}/99"))
-#: A word to be blocked in the path of an allowed host, a word to be allowed in the path of an allowed host.
-MIXED = (("{}.example.org", "/{}/340.html"), ("www.{}.com", "/en/{}"))
+#: Paths that only one label has.
+OWN_PATHS = {True: ("/go/aff/{}", "/click/out/{}.php", "/promo/{}/bonus"), False: ("/articles/2021/{}.html", "/guide/{}/intro", "/archive/{}/notes")}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,10 +63,18 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """(host, path, label): label 1 is to be blocked."""
-    rows = [(place.format(w), path, float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for w in words for place, path in PLACES]
-    rows += [(host, path.format(w), float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for w in words for host, path in PATHS]
-    rows += [(host.format(ALLOWED[(i + 7 * k) % len(ALLOWED)]), path.format(w), float(words is BLOCKED)) for words in (BLOCKED, ALLOWED) for i, w in enumerate(words) for k, (host, path) in enumerate(MIXED)]
+    """(host, path, label): label 1 is to be blocked. Each topic word is in hosts and in paths, alone, before and after fillers that take turns; a blocked word in a path is on hosts of allowed words too; names without a meaning are allowed."""
+    rows = []
+    for bad, words in ((True, BLOCKED), (False, ALLOWED)):
+        for i, w in enumerate(words):
+            forms = [w, f"{w}-{FILLERS[i % len(FILLERS)]}", f"{FILLERS[(i + 7) % len(FILLERS)]}-{w}", f"{FILLERS[(i + 13) % len(FILLERS)]}{w}"]
+            for k, form in enumerate(forms):
+                at = [(host.format(form), path) for host, path in PLACES[k % 2 :: 2]] + [(host, path.format(form)) for host, path in PATHS[k % 2 :: 2]]
+                at.append((f"{ALLOWED[(i + 7 * k) % len(ALLOWED)]}.example.org", OWN_PATHS[bad][k % 3].format(form)))
+                rows += [(host, path, float(bad)) for host, path in at]
+    for i in range(NAMELESS):
+        name = "".join(PAIRS[(i * step + i // 40 * k) % len(PAIRS)] for k, step in enumerate((1, 7, 11, 17)[: 2 + i % 3]))
+        rows += [(host.format(name), path, 0.0) for host, path in (PLACES[i % 5], (PATHS[i % 5][0], PATHS[i % 5][1].format(name)))]
     return spark.createDataFrame(rows, "host string, path string, label double").coalesce(1)
 
 
