@@ -2,82 +2,80 @@
 
 from __future__ import annotations
 
+import ast
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Published formulas of the named indices, and their usual constants.
-CONSTANTS = {"L": 0.5, "g": 2.5, "C1": 6.0, "C2": 7.5}
-FORMULAS = {
-    "NDVI": "(N - R) / (N + R)",
-    "GNDVI": "(N - G) / (N + G)",
-    "NDWI": "(G - N) / (G + N)",
-    "MNDWI": "(G - S1) / (G + S1)",
-    "NDMI": "(N - S1) / (N + S1)",
-    "NBR": "(N - S2) / (N + S2)",
-    "NDBI": "(S1 - N) / (S1 + N)",
-    "NDSI": "(G - S1) / (G + S1)",
-    "SAVI": "(1 + L) * (N - R) / (N + R + L)",
-    "EVI": "g * (N - R) / (N + C1 * R - C2 * B + L)",
-    "DVI": "N - R",
-    "SR": "N / R",
-    "BSI": "((S1 + R) - (N + B)) / ((S1 + R) + (N + B))",
-    "VARI": "(G - R) / (G + R - B)",
-    "NDRE": "(N - RE1) / (N + RE1)",
+from .catalogue import CONSTANTS, FORMULAS
+
+#: Which band columns stand for which parameter, by number and by common name.
+BAND_NAMES = {
+    "B": r"^b0?2($|_)|_b0?2$|blue", "G": r"^b0?3($|_)|_b0?3$|green", "R": r"^b0?4($|_)|_b0?4$|^red$", "RE1": r"^b0?5($|_)|_b0?5$|rededge1|^re1", "RE2": r"^b0?6($|_)|_b0?6$|rededge2|^re2", "RE3": r"^b0?7($|_)|_b0?7$|rededge3|^re3",
+    "N": r"^b0?8a?($|_)|_b0?8$|nir", "S1": r"^b11($|_)|_b11$|swir_?1", "S2": r"^b12($|_)|_b12$|swir_?2",
 }
-#: Which band columns stand for which parameter, by name.
-BAND_NAMES = {"B": r"^(blue|b0?2)$", "G": r"^(green|b0?3)$", "R": r"^(red|b0?4)$", "RE1": r"^(re1|b0?5)$", "N": r"^(nir|b0?8)$", "S1": r"^(swir1|b11)$", "S2": r"^(swir2|b12)$"}
-POSITIONS = ("B", "G", "R", "RE1", "RE2", "RE3", "N", "S1", "S2")
+POSITIONS = tuple(BAND_NAMES)
 
 
 def parameters(columns: list[str]) -> dict[str, str]:
-    """Parameter to column, by name; where no name fits and there are nine columns or more, by position."""
-    by_name = {p: c for p, rx in BAND_NAMES.items() for c in columns if re.match(rx, c, re.I)}
-    return by_name or (dict(zip(POSITIONS, columns)) if len(columns) >= len(POSITIONS) else {})
+    """Parameter to column, by name where one column alone fits it. If none is blue and there are nine columns or more, all by position."""
+    fits = {p: [c for c in columns if re.search(rx, c, re.I)] for p, rx in BAND_NAMES.items()}
+    by_name = {p: c[0] for p, c in fits.items() if len(c) == 1}
+    return dict(zip(POSITIONS, columns)) if "B" not in by_name and len(columns) >= len(POSITIONS) else by_name
+
+
+def names(formula: str) -> set[str]:
+    return {n.id for n in ast.walk(ast.parse(formula, mode="eval")) if isinstance(n, ast.Name)}
 
 
 def usable_formulas(have: dict[str, str], formulas: dict[str, str] = FORMULAS) -> dict[str, str]:
-    """The formulas all of whose names are known."""
-    return {k: f for k, f in formulas.items() if set(re.findall(r"[A-Za-z]\w*", f)) <= set(have) | set(CONSTANTS)}
+    """The formulas that use a band, and all of whose names are known. A formula that can't be read is kept, and fails where it is evaluated."""
 
+    def usable(f: str) -> bool:
+        try:
+            n = names(f)
+        except SyntaxError:
+            return True
+        return bool(n & set(have)) and n <= set(have) | set(CONSTANTS)
 
-def evaluate(df: DataFrame, have: dict[str, str], formulas: dict[str, str] = FORMULAS, scale: float = 1.0) -> DataFrame:
-    """Adds the indices: divisions by zero and values that aren't finite are null. Names become columns; nothing is evaluated but SQL."""
+    return {k: f for k, f in formulas.items() if usable(f)}
 
-    def as_sql(formula: str) -> str:
-        f = re.sub(r"[A-Za-z]\w*", lambda m: str(CONSTANTS[m[0]]) + "D" if m[0] in CONSTANTS and m[0] not in have else f"(`{have[m[0]]}` / {scale}D)", formula)
-        top, slash, bottom = _split(f)
-        return f"try_divide({top}, {bottom})" if slash else f
 
-    cols = {k: F.expr(as_sql(f)) for k, f in usable_formulas(have, formulas).items()}
-    return df.withColumns({k: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for k, c in cols.items()})
+def as_column(formula: str, values: dict[str, Column]) -> Column:
+    """A formula of names, numbers, + - * / ** as a column. Division by zero gives null."""
+    ops = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Pow: F.pow}
 
+    def walk(n: ast.expr) -> Column:
+        if isinstance(n, ast.BinOp):
+            return ops[type(n.op)](walk(n.left), walk(n.right))
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
+            return -walk(n.operand)
+        return values[n.id] if isinstance(n, ast.Name) else F.lit(float(n.value))
 
-def _split(f: str) -> tuple[str, str, str]:
-    """Around the last division outside parentheses."""
-    depth = 0
-    for i in range(len(f) - 1, -1, -1):
-        depth += (f[i] == ")") - (f[i] == "(")
-        if f[i] == "/" and not depth:
-            return f[:i], "/", f[i + 1 :]
-    return f, "", ""
+    return walk(ast.parse(formula, mode="eval").body)
+
+
+def evaluate(df: DataFrame, have: dict[str, str], formulas: dict[str, str] = FORMULAS, scale: float = 1.0) -> DataFrame:
+    """Adds the indices, all of the catalogue that the bands suffice for: divisions by zero and values that aren't finite are null."""
+    values = {k: F.lit(v) for k, v in CONSTANTS.items()} | {p: F.col(f"`{c}`") / scale for p, c in have.items()}
+    cols = {k: as_column(f, values) for k, f in usable_formulas(have, formulas).items()}
+    return df.withColumns({k: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for k, c in cols.items()})
 
 
 def probe(df: DataFrame, formulas: dict[str, str], have: dict[str, str]) -> dict[str, str]:
     """'ok', 'skipped' (names unknown) or 'error' for each formula, found by analysing it, without reading rows."""
-    out = {}
     ok = usable_formulas(have, formulas)
-    for k, f in formulas.items():
-        if k not in ok:
-            out[k] = "skipped"
-            continue
+
+    def status(some: dict[str, str]) -> str:
         try:
-            _ = evaluate(df.limit(0), have, {k: f}).schema
-            out[k] = "ok"
+            _ = evaluate(df.limit(0), have, some).schema
+            return "ok"
         except Exception:  # noqa: BLE001  whatever analysis says is the result
-            out[k] = "error"
-    return out
+            return "error"
+
+    whole = status(ok)
+    return {k: "skipped" if k not in ok else whole if whole == "ok" else status({k: f}) for k, f in formulas.items()}
 
 
 def to_linear(c: Column) -> Column:

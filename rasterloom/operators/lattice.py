@@ -263,19 +263,26 @@ def report(cells: DataFrame, extent: DataFrame) -> DataFrame:
 
 
 def split_by_points(cells: DataFrame, points: DataFrame, reach: int = 6) -> DataFrame:
-    """(row, col, id): each cell's nearest point, ties by the smaller id. A cell looks in blocks of `reach` cells around its own; cells that find none within reach look at all points, a block's points at a time."""
+    """(row, col, id): each cell's nearest point, ties by the smaller id; none if there are no points. A cell looks in blocks of `reach` cells around its own; cells that find none within reach look again with four times the reach."""
+    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).unionByName(cells.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).toDF("min(x)", "max(x)", "min(y)", "max(y)")).collect()
+    if any(r[0] is None for r in ends):
+        return cells.select("row", "col", F.lit(None).cast(points.schema["id"].dataType).alias("id")).limit(0)
+    extent = max(max(r[1] for r in ends) - min(r[0] for r in ends), max(r[3] for r in ends) - min(r[2] for r in ends)) + 1
     d = F.round((F.col("col") + 0.5 - F.col("x")) ** 2 + (F.col("row") + 0.5 - F.col("y")) ** 2, 6)
     span = F.sequence(F.lit(-1), F.lit(1))
-    p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("_bx"), F.floor(F.col("y") / reach).alias("_by"))
-    spread = p.select("id", "x", "y", "_bx", "_by", F.explode(span).alias("_i")).select("id", "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), "_by", F.explode(span).alias("_j")).select("id", "x", "y", "_bx", (F.col("_by") + F.col("_j")).alias("_by"))
-    c = cells.select("row", "col", F.floor(F.col("col") / reach).cast("long").alias("_bx"), F.floor(F.col("row") / reach).cast("long").alias("_by"))
-    near = c.join(spread, ["_bx", "_by"]).withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
-    near = _shared(near.where(F.col("b._d") <= float(reach * reach)).select("row", "col", F.col("b.id").alias("id")), "near")
-    rest = cells.join(near, ["row", "col"], "left_anti")
-    # The rest against all points, in 16 blocks whose minima are compared.
-    blocks = rest.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    far = blocks.join(points.select("id", "x", "y", F.pmod(F.hash("id"), F.lit(16)).alias("_b")), "_b").withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
-    return near.unionByName(far.select("row", "col", F.col("b.id").alias("id")))
+    out, rest = None, cells.select("row", "col")
+    while True:
+        p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("_bx"), F.floor(F.col("y") / reach).alias("_by"))
+        spread = p.select("id", "x", "y", "_bx", "_by", F.explode(span).alias("_i")).select("id", "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), "_by", F.explode(span).alias("_j")).select("id", "x", "y", "_bx", (F.col("_by") + F.col("_j")).alias("_by"))
+        c = rest.select("row", "col", F.floor(F.col("col") / reach).cast("long").alias("_bx"), F.floor(F.col("row") / reach).cast("long").alias("_by"))
+        near = c.join(spread, ["_bx", "_by"]).withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
+        # Beyond the reach less a cell's half, a point of a block farther off may be nearer.
+        near = _shared(near.where(F.col("b._d") <= float((reach - 0.5) ** 2) if reach < extent else F.lit(True)).select("row", "col", F.col("b.id").alias("id")), "near")
+        out = near if out is None else out.unionByName(near)
+        rest = _shared(rest.join(near, ["row", "col"], "left_anti"), "far")
+        if reach >= extent or rest.isEmpty():
+            return out
+        reach *= 4
 
 
 def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4) -> DataFrame:

@@ -112,7 +112,7 @@ def _(s, d):
     return P.any_valid(T.sar(s, d).withColumns({"hh": hole("hh", "row"), "hv": hole("hv", "col")}), ["hh", "hv"]).select("row", "col")
 
 
-_TOUCHED = "touched AS (SELECT zone, cls, r AS row, c AS col FROM zones, range(0, 60) a(r), range(0, 60) b(c) WHERE r >= floor(y0) AND r < ceil(y1) AND c >= floor(x0) AND c < ceil(x1)), centre AS (SELECT zone, cls, r AS row, c AS col FROM zones, range(0, 60) a(r), range(0, 60) b(c) WHERE r + 0.5 >= y0 AND r + 0.5 < y1 AND c + 0.5 >= x0 AND c + 0.5 < x1)"
+_TOUCHED = "inner_rows AS (SELECT *, unnest(range(CAST(floor(y0) AS INT), CAST(ceil(y1) AS INT))) AS r FROM zones), inner_cells AS (SELECT *, unnest(range(CAST(floor(x0) AS INT), CAST(ceil(x1) AS INT))) AS c FROM inner_rows), touched AS (SELECT zone, cls, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM inner_cells), centre AS (SELECT zone, cls, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM inner_cells WHERE r + 0.5 >= y0 AND r + 0.5 < y1 AND c + 0.5 >= x0 AND c + 0.5 < x1)"
 
 
 @query("pf6_polygon_mask", sql("dem zones", f"+{_TOUCHED} SELECT row, col, round(z, 6) AS z FROM dem WHERE (row, col) IN (SELECT (row, col) FROM touched)"))

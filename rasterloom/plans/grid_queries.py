@@ -57,9 +57,9 @@ _HORN = "h AS (SELECT a.row, a.col, CASE WHEN count(*) = 9 THEN (({ne} + 2 * {e}
 )
 
 
-@query("m8_horn_gradient", sql("dem", f"+{_HORN} SELECT row, col, round(p, 6) AS p, round(q, 6) AS q FROM h"))
+@query("m8_horn_gradient", sql("dem", f"+{_HORN} SELECT row, col, round(p + 1e-9, 6) AS p, round(q + 1e-9, 6) AS q FROM h"))
 def _(s, d):
-    return FO.kernel(T.dem(s, d), "z", FO.horn()).select("row", "col", r6("p"), r6("q"))
+    return FO.kernel(T.dem(s, d), "z", FO.horn()).select("row", "col", F.round(F.col("p") + 1e-9, 6).alias("p"), F.round(F.col("q") + 1e-9, 6).alias("q"))
 
 
 _ASPECT = "g AS (SELECT row, col, p, q, sqrt(p * p + q * q) AS g, degrees(atan(sqrt(p * p + q * q))) AS slope, degrees(atan2(-p, -q)) + 360 AS az FROM h), t AS (SELECT row, col, slope, CASE WHEN g IS NULL THEN NULL WHEN g < 1e-9 THEN -1 ELSE az - 360 * floor(az / 360) END AS aspect FROM g)"
@@ -167,6 +167,23 @@ def _(s, d):
     return I.evaluate(x, _HAVE).select("id", *[r6(k, 5) for k in _SPECTRAL])
 
 
+def _catalogue_sql() -> str:
+    """All formulas that nine bands suffice for, over embeddings[1..9] made positive."""
+    import re
+
+    bands = {p: f"(abs(CAST(embedding[{i + 1}] AS DOUBLE)) + 0.1::DOUBLE)" for i, p in enumerate(I.POSITIONS)}
+    value = bands | {k: f"{v}::DOUBLE" for k, v in I.CONSTANTS.items()}
+    text = {k: re.sub(r"[A-Za-z]\w*|\d+(?:\.\d+)?", lambda m: value.get(m[0], m[0] + "::DOUBLE"), f) for k, f in I.FORMULAS.items()}
+    return "SELECT vec_id AS id, " + ", ".join(f'CASE WHEN isfinite({f}) THEN round({f}, 3) + 0 END AS "{k}"' for k, f in text.items()) + " FROM embeddings"
+
+
+@query("m1_index_catalogue", _catalogue_sql())
+def _(s, d):
+    e = T.read(s, d, "embeddings")
+    x = e.select(F.col("vec_id").alias("id"), *[(F.abs(F.col("embedding")[i].cast("double")) + 0.1).alias(f"b{i}") for i in range(9)])
+    return I.evaluate(x, {p: f"b{i}" for i, p in enumerate(I.POSITIONS)}).select("id", *[(F.round(k, 3) + 0.0).alias(k) for k in I.FORMULAS])
+
+
 @query("m4_scale_and_nodata", sql("sar", "SELECT row, col, round(CASE WHEN (row * col) % 6 = 0 THEN NULL ELSE hh / 10000 END, 8) AS hh FROM sar"))
 def _(s, d):
     raw = T.sar(s, d).select("row", "col", F.when(F.col("row") * F.col("col") % 6 == 0, -9999.0).otherwise(F.col("hh")).alias("hh"))
@@ -182,9 +199,9 @@ def _(s, d):
 _RADAR = {"RVI": "4 * hv / (hh + hv)", "RFDI": "(hh - hv) / (hh + hv)", "HH_HV_Ratio": "hv / hh", "HH_HV_Sum": "hh + hv", "HH_HV_Diff": "hh - hv", "HH_HV_Mean": "(hh + hv) / 2", "NDI": "(hh - hv) / (hh + hv)", "HV_dB": "10 * log10(greatest(hv, 1e-10))", "HH_dB": "10 * log10(greatest(hh, 1e-10))", "Ratio_dB": "10 * log10(greatest(hv / greatest(hh, 1e-10), 1e-10))", "BMI": "(hh + hv) / 2", "VSI": "hv / (hh + hv) * 100", "Span": "hh + 2 * hv", "PDI": "sqrt(hh ** 2 + hv ** 2)"}
 
 
-@query("m6_radar_indices", sql("sar", "SELECT row, col, " + ", ".join(f"round({f}, 5) AS {k}" for k, f in _RADAR.items()) + " FROM sar"))
+@query("m6_radar_indices", sql("sar", "SELECT row, col, " + ", ".join(f"round({f} + 1e-9, 5) AS {k}" for k, f in _RADAR.items()) + " FROM sar"))
 def _(s, d):
-    return T.sar(s, d).withColumns(I.radar_indices(F.col("hh"), F.col("hv"))).select("row", "col", *[r6(k, 5) for k in _RADAR])
+    return T.sar(s, d).withColumns(I.radar_indices(F.col("hh"), F.col("hv"))).select("row", "col", *[F.round(F.col(k) + 1e-9, 5).alias(k) for k in _RADAR])
 
 
 # Dynamics
@@ -351,9 +368,9 @@ def _(s, d):
     return L.report(z, T.cls(s, d).select("row", "col"))
 
 
-@query("ge26_voronoi_split", sql("cls pts", "+ p AS (SELECT id, x / 4 AS x, y / 2.5::DOUBLE AS y FROM pts WHERE id <= 40 AND y >= 0) SELECT row, col, arg_min(id, round((col + 0.5 - x) ** 2 + (row + 0.5 - y) ** 2, 6) * 1000 + id * 1e-4) AS id FROM cls, p GROUP BY row, col"))
+@query("ge26_voronoi_split", sql("cls pts", "+ p AS (SELECT id, x / 4 AS x, y / 2.5::DOUBLE AS y FROM pts WHERE y >= 0) SELECT row, col, arg_min(id, round((col + 0.5 - x) ** 2 + (row + 0.5 - y) ** 2, 6) * 1000 + id * 1e-4) AS id FROM cls, p GROUP BY row, col"))
 def _(s, d):
-    p = T.pts(s, d).where("id <= 40 AND y >= 0").select("id", (F.col("x") / 4).alias("x"), (F.col("y") / 2.5).alias("y"))
+    p = T.pts(s, d).where("y >= 0").select("id", (F.col("x") / 4).alias("x"), (F.col("y") / 2.5).alias("y"))
     return L.split_by_points(T.cls(s, d).select("row", "col"), p)
 
 

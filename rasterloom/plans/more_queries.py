@@ -62,7 +62,7 @@ def _(s, d):
     return chips.select(F.col("part").alias("chip_id"), "n_points", "cx", "cy", "width", "height", signature(F.array_join(F.col("m").cast("array<string>"), "|"), F.col("width"), F.col("height")).alias("key"))
 
 
-@query("ge9_rasterised_polygons", sql("zones", "SELECT zone, r AS row, c AS col FROM zones, range(0, 60) a(r), range(0, 60) b(c) WHERE c + 0.5 >= x0 AND c + 0.5 < x1 AND r + 0.5 >= y0 AND r + 0.5 < y1 AND (c + 0.5 - x0) / (x1 - x0) + (r + 0.5 - y0) / (y1 - y0) < 1 - 1e-12"))
+@query("ge9_rasterised_polygons", sql("zones", "+ a AS (SELECT *, unnest(range(CAST(floor(y0) AS INT), CAST(ceil(y1) AS INT))) AS r FROM zones), b AS (SELECT *, unnest(range(CAST(floor(x0) AS INT), CAST(ceil(x1) AS INT))) AS c FROM a) SELECT zone, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM b WHERE c + 0.5 >= x0 AND c + 0.5 < x1 AND r + 0.5 >= y0 AND r + 0.5 < y1 AND (c + 0.5 - x0) / (x1 - x0) + (r + 0.5 - y0) / (y1 - y0) < 1 - 1e-12"))
 def _(s, d):
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     t = T.zones(s, d).select("zone", F.array(point("x0", "y0"), point("x1", "y0"), point("x0", "y1")).alias("ring"))
