@@ -128,21 +128,21 @@ def components(edges: DataFrame, what: str = "edges") -> DataFrame:
     is short. A node's many neighbours are reduced by partial aggregation and met again by a join, never gathered.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = near.join(least, "u")
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        met = salted_join(near, least.drop("n"), "u", least.where(F.col("n") * 500 >= max(n, 1000)).select("u"), F.col("v"))
         out = met.where("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             out = out.unionByName(least.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = stored(edges.select("u", "v").where("u <> v").distinct(), what)
     seen = mark(now)
     while True:
-        now = stored(star(star(now, True), False), what)
+        now = stored(star(star(now, True, seen[0]), False, seen[0]), what)
         if (new := mark(now)) == seen:
             break
         seen = new
