@@ -552,7 +552,7 @@ def _(s, d):
     return V.weighted_sample(T.read(s, d, "orders"), 300, "o_totalprice", 42, "o_orderkey").select("o_orderkey")
 
 
-@query("t6_whole_groups")
+@query("t6_whole_groups", "WITH RECURSIVE g AS (SELECT l_suppkey AS chip, count(*) AS n, row_number() OVER (ORDER BY l_suppkey) AS i FROM lineitem GROUP BY 1), r AS (SELECT i, CASE WHEN n <= 2000 THEN 2000 - n ELSE 2000 END AS rest, n <= 2000 AS took FROM g WHERE i = 1 UNION ALL SELECT g.i, CASE WHEN g.n <= r.rest THEN r.rest - g.n ELSE r.rest END, g.n <= r.rest FROM r JOIN g ON g.i = r.i + 1) SELECT chip, n FROM g JOIN r USING (i) WHERE took")
 def _(s, d):
     g = T.read(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("chip")).agg(F.count(F.lit(1)).alias("n"))
     return V.whole_groups(g, "n", [F.col("chip")], 2000)

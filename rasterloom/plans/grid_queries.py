@@ -71,10 +71,23 @@ def _(s, d):
     return t.select("row", "col", r6("slope", 5), r6("aspect", 4), r6("eastness", 5), r6("northness", 5))
 
 
-@query("m7_cubic_slope")
+def _fit_sql(radius: int, degree: int) -> str:
+    """h with the derivatives of the polynomial that fits each whole window best, by its normal equations."""
+    import numpy as np
+
+    at = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
+    terms = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), *((a, degree - a) for a in range(degree + 1) if degree > 2)]
+    x = np.array([[float(j) ** a * float(-i) ** b for a, b in terms] for i, j in at])
+    fit = np.linalg.solve(x.T @ x, x.T)
+    rows = ", ".join(f"({i}, {j}, " + ", ".join(f"{k * fit[m][n]!r}::DOUBLE" for m, k in ((1, 1), (2, 1), (3, 2), (4, 1), (5, 2))) + ")" for n, (i, j) in enumerate(at)).replace("np.float64(", "").replace(")::", "::")
+    sums = ", ".join(f"CASE WHEN count(*) = {len(at)} THEN sum(b.z * w.{c}) END AS {c}" for c in "pqrst")
+    return f"w(dr, dc, p, q, r, s, t) AS (VALUES {rows}), h AS (SELECT a.row, a.col, {sums} FROM dem a, w, dem b WHERE b.row = a.row + w.dr AND b.col = a.col + w.dc GROUP BY a.row, a.col)"
+
+
+@query("m7_cubic_slope", sql("dem", f"+{_fit_sql(2, 3)}, {_ASPECT} SELECT row, col, round(slope, 5) AS slope, round(aspect, 3) AS aspect FROM t"))
 def _(s, d):
     t = FO.slope_aspect(FO.kernel(T.dem(s, d), "z", FO.least_squares()))
-    return t.select("row", "col", "slope", "aspect")
+    return t.select("row", "col", r6("slope", 5), r6("aspect", 3))
 
 
 @query("m9_position_ruggedness", sql("dem", "SELECT a.row, a.col, round(any_value(a.z) - avg(b.z), 6) AS tpi, round(sqrt(greatest(sum((a.z - b.z) ** 2), 0) / 8), 5) AS tri FROM dem a JOIN dem b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col"))
@@ -82,11 +95,15 @@ def _(s, d):
     return FO.position_and_ruggedness(T.dem(s, d), "z").select("row", "col", r6("tpi"), r6("tri", 5))
 
 
-@query("m10_curvatures")
+_CURVED = "k AS (SELECT *, p * p + q * q AS g, p * p * r + 2 * p * q * s + q * q * t AS along, q * q * r - 2 * p * q * s + p * p * t AS over FROM h), m AS (SELECT *, -((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * (1 + g) ** 1.5) AS mean_curv, (r * t - s * s) / ((1 + g) * (1 + g)) AS gaussian, sin(atan(sqrt(g))) AS sine FROM k), f AS (SELECT *, CASE WHEN g < 1e-18 THEN 0 ELSE -over / (sqrt(g) * 0 + g * sqrt(1 + g)) END AS tangential FROM m)"
+
+
+@query("m10_curvatures", sql("dem", f"+{_fit_sql(1, 2)}, {_CURVED} SELECT row, col, round(CASE WHEN g < 1e-18 THEN 0 ELSE -along / (g * (1 + g) ** 1.5) END, 5) AS profile, round(CASE WHEN g < 1e-18 THEN 0 ELSE -over / g ** 1.5 END, 4) AS plan, round(tangential, 5) AS tangential, round(mean_curv, 5) AS mean_curv, round(r * r + 2 * s * s + t * t, 4) AS total, round(gaussian, 5) AS gaussian, round(mean_curv - sqrt(greatest(mean_curv ** 2 - gaussian, 0)), 4) AS minimal, round(tangential * sine / (sine * sine + sin(radians(0.1)) ** 2), 4) AS plan_regular FROM f"))
 def _(s, d):
     c = FO.curvatures(FO.kernel(T.dem(s, d), "z", FO.least_squares(degree=2, radius=1)))
     t = FO.slope_aspect(c)
-    return t.withColumn("plan_regular", FO.regular_plan(F.col("tangential"), F.col("slope"))).select("row", "col", "profile", "plan", "tangential", "mean_curv", "total", "gaussian", "minimal", "plan_regular")
+    t = t.withColumn("plan_regular", FO.regular_plan(F.col("tangential"), F.col("slope")))
+    return t.select("row", "col", *[r6(c, 4 if c in ("plan", "total", "minimal", "plan_regular") else 5) for c in ("profile", "plan", "tangential", "mean_curv", "total", "gaussian", "minimal", "plan_regular")])
 
 
 @query("m12_scale_position", sql("dem", "+ b AS (SELECT a.row, a.col, any_value(a.z) AS z, avg(b.z) AS m, sqrt(greatest(avg(b.z * b.z) - avg(b.z) * avg(b.z), 0)) AS sd, min(b.z) AS lo, max(b.z) AS hi FROM dem a JOIN dem b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col) SELECT row, col, round(z - m, 6) AS dmv, round(CASE WHEN sd > 1e-6 THEN (z - m) / sd ELSE 0 END, 5) AS devmean, round(CASE WHEN hi > lo THEN (2 * z - hi - lo) / (hi - lo) ELSE 0 END, 6) AS rtp, round(CASE WHEN hi > lo THEN 100 * (z - lo) / (hi - lo) ELSE 50 END, 5) AS pct_range FROM b"))
@@ -100,10 +117,14 @@ def _(s, d):
     return FO.circular_variance(t.select("row", "col", "aspect"), "aspect", 1).select("row", "col", r6("circvar", 5))
 
 
-@query("m14_roughness")
+_NORMALS = "SELECT a.row, a.col, count(b.slope) AS n, sqrt(greatest(avg(b.slope * b.slope) - avg(b.slope) ** 2, 0)) AS sd, sqrt(sum(sin(radians(b.slope)) * CASE WHEN b.aspect < 0 THEN 0 ELSE sin(radians(b.aspect)) END) ** 2 + sum(sin(radians(b.slope)) * CASE WHEN b.aspect < 0 THEN 0 ELSE cos(radians(b.aspect)) END) ** 2 + sum(cos(radians(b.slope))) ** 2) AS len FROM t a JOIN t b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col"
+
+
+@query("m14_roughness", sql("dem", f"+{_HORN}, {_ASPECT} SELECT row, col, round(sd, 3) AS sd_slope, round(degrees(sqrt(-2 * ln(least(greatest(len / n, 1e-9), 1)))), 3) AS sd_normals FROM ({_NORMALS}) WHERE n > 2"))
 def _(s, d):
     t = FO.slope_aspect(FO.kernel(T.dem(s, d), "z", FO.horn())).select("row", "col", "slope", "aspect")
-    return FO.roughness(t, "slope", "aspect", 2).select("row", "col", "sd_slope", "sd_normals")
+    n = FO.box(t, 2, {"n": F.when(F.col("slope").isNotNull(), 1.0)}).where("n > 2").select("row", "col")
+    return FO.roughness(t, "slope", "aspect", 2).join(n, ["row", "col"]).select("row", "col", r6("sd_slope", 3), r6("sd_normals", 3))
 
 
 @query("m14_elevation_percentile", sql("dem", "SELECT a.row, a.col, round(CASE WHEN sum(CAST(b.z <> a.z AS INT)) = 0 THEN 50 ELSE 100.0::DOUBLE * sum(CAST(b.z < a.z AS INT)) / count(*) END, 6) AS elev_pct FROM dem a JOIN dem b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col"))
@@ -117,10 +138,15 @@ def _(s, d):
     return t.withColumn("shade", FO.hillshade(F.col("slope"), F.col("aspect"))).select("row", "col", r6("shade", 4))
 
 
-@query("m16_hillshade_multi")
+_LIT = "255 * greatest(0, sin(radians(45)) * cos(radians(slope)) + cos(radians(45)) * CASE WHEN aspect < 0 THEN 0 ELSE sin(radians(slope)) * cos(radians({az} - aspect)) END)"
+_SIDE = "greatest(sin(radians(CASE WHEN aspect < 0 THEN 0 ELSE aspect END - {az})) ** 2, 0.0001::DOUBLE)"
+_SUNS = (225, 270, 315, 360)
+
+
+@query("m16_hillshade_multi", sql("dem", f"+{_HORN}, {_ASPECT} SELECT row, col, round((" + " + ".join(f"{_SIDE.format(az=a)} * {_LIT.format(az=a)}" for a in _SUNS) + ") / (" + " + ".join(_SIDE.format(az=a) for a in _SUNS) + "), 4) AS shade FROM t WHERE slope IS NOT NULL"))
 def _(s, d):
     t = FO.slope_aspect(FO.kernel(T.dem(s, d), "z", FO.horn())).where("slope IS NOT NULL")
-    return t.select("row", "col", FO.hillshade_multi(F.col("slope"), F.col("aspect")).alias("shade"))
+    return t.select("row", "col", F.round(FO.hillshade_multi(F.col("slope"), F.col("aspect")), 4).alias("shade"))
 
 
 @query("m17_wetness", sql("dem", f"+{_HORN}, {_ASPECT} SELECT t.row, t.col, round(ln((z + 1) / greatest(tan(radians(slope)), 0.001)), 5) AS twi, round(1.4::DOUBLE * ((z + 1) / 22.13::DOUBLE) ** 0.4 * (sin(radians(slope)) / 0.0896::DOUBLE) ** 1.3, 3) AS sti, round((z + 1) * tan(radians(slope)), 4) AS spi FROM t JOIN dem USING (row, col) WHERE slope IS NOT NULL"))
@@ -135,14 +161,20 @@ def _(s, d):
     return FO.d8(T.dem(s, d), "z").select("row", "col", "to_row", "to_col", F.round("drop", 6).alias("fall"))
 
 
-@query("m18_flow_accumulation")
+_D8 = "n AS (SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, (a.z - b.z) / CASE WHEN a.row <> b.row AND a.col <> b.col THEN sqrt(2.0) ELSE 1 END AS fall FROM dem a JOIN dem b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) WHERE a.z > b.z), m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY round(fall, 9) DESC, to_row, to_col) = 1)"
+
+
+@query("m18_flow_accumulation", sql("dem", f"+ {_D8}, ptr AS (SELECT dem.row * 100 + dem.col AS id, to_row * 100 + to_col AS nxt FROM dem LEFT JOIN m ON dem.row = m.row AND dem.col = m.col), up AS (SELECT id AS src, id AS cell FROM ptr UNION ALL SELECT up.src, ptr.nxt FROM up JOIN ptr ON up.cell = ptr.id WHERE ptr.nxt IS NOT NULL) SELECT CAST(cell // 100 AS INT) AS row, CAST(cell % 100 AS INT) AS col, count(*) AS sca FROM up GROUP BY cell").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(s, d):
     from ..operators.flow import accumulate
 
     return accumulate(FO.d8(T.dem(s, d), "z"))
 
 
-@query("m19_geomorphons")
+_FORMS = "ways(dr, dc, way) AS (VALUES (-1, -1, 0), (-1, 0, 1), (-1, 1, 2), (0, -1, 3), (0, 1, 4), (1, -1, 5), (1, 0, 6), (1, 1, 7)), sight AS (SELECT a.row, a.col, way, max(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS up, -min(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS down FROM dem a, ways, range(1, 6) r(k), dem b WHERE b.row = a.row + k * dr AND b.col = a.col + k * dc GROUP BY a.row, a.col, way), n AS (SELECT row, col, count(*) FILTER (WHERE up > 1 AND up >= down) AS h, count(*) FILTER (WHERE NOT (up > 1 AND up >= down) AND down > 1) AS l FROM sight GROUP BY row, col)"
+
+
+@query("m19_geomorphons", sql("dem", f"+{_FORMS} SELECT row, col, h AS higher, l AS lower, CASE WHEN h + l <= 2 THEN 'flat' WHEN h = 0 THEN CASE WHEN l = 8 THEN 'peak' ELSE 'ridge' END WHEN l = 0 THEN CASE WHEN h = 8 THEN 'pit' ELSE 'valley' END WHEN l - h >= 3 THEN 'ridge' WHEN h - l >= 3 THEN 'valley' ELSE 'slope' END AS form FROM n"))
 def _(s, d):
     from ..operators.flow import geomorphons
 
@@ -356,9 +388,9 @@ def _(s, d):
     return L.no_overlap(J.cells_of_boxes(z, keep=("zone", "area", "target")), "zone", "target", "area")
 
 
-@query("ge24_slivers")
+@query("ge24_slivers", _FOUR_SQL + ", x AS (SELECT row, col, cls, comp FROM cls JOIN c ON id = row * 100 + col), core AS (SELECT DISTINCT a.comp FROM x a JOIN x b ON a.comp = b.comp AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col, a.comp HAVING count(*) = 9) SELECT comp, any_value(cls) AS cls, count(*) AS cells FROM x WHERE comp NOT IN (SELECT comp FROM core) GROUP BY comp")
 def _(s, d):
-    c = L.cell_components(T.cls(s, d), "cls")
+    c = L.cell_components(T.cls(s, d), "cls", width=100)
     return c.join(L.slivers(c, "comp"), "comp", "left_semi").groupBy("comp", "cls").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -374,7 +406,12 @@ def _(s, d):
     return L.split_by_points(T.cls(s, d).select("row", "col"), p)
 
 
-@query("ge28_fill_holes")
+def _flip_sql(src: str, value: int, n: int) -> str:
+    """m after components of `value` with fewer than 4 cells have changed."""
+    return f"e{n} AS (SELECT a.row * 100 + a.col AS a, b.row * 100 + b.col AS b FROM {src} a JOIN {src} b ON a.m = b.m AND a.m = {value} AND abs(a.row - b.row) + abs(a.col - b.col) = 1), r{n}(id, o) AS (SELECT row * 100 + col, row * 100 + col FROM {src} WHERE m = {value} UNION SELECT e{n}.b, r{n}.o FROM r{n} JOIN e{n} ON e{n}.a = r{n}.id), c{n} AS (SELECT id, min(o) AS comp FROM r{n} GROUP BY id), f{n} AS (SELECT id FROM c{n} WHERE comp IN (SELECT comp FROM c{n} GROUP BY comp HAVING count(*) < 4)), m{n} AS (SELECT row, col, CASE WHEN row * 100 + col IN (SELECT id FROM f{n}) THEN 1 - m ELSE m END AS m FROM {src})"
+
+
+@query("ge28_fill_holes", sql("cls", f"+, m0 AS (SELECT row, col, CAST(cls = 1 AS INT) AS m FROM cls), {_flip_sql('m0', 0, 1)}, {_flip_sql('m1', 1, 2)} SELECT row, col, m FROM m2").replace("WITH ", "WITH RECURSIVE ", 1).replace(", , ", ", "))
 def _(s, d):
     return L.fill_holes(T.cls(s, d).select("row", "col", (F.col("cls") == 1).cast("int").alias("m")), 4)
 

@@ -232,7 +232,7 @@ def _(s, d):
     return t.groupBy("chip_id").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
-@query("ge8_single_linkage")
+@query("ge8_single_linkage", sql("pts", "+, e AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.x BETWEEN b.x - 1 AND b.x + 1 AND a.y BETWEEN b.y - 1 AND b.y + 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1), r(id, o) AS (SELECT id, id FROM pts UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.id) SELECT id, min(o) AS comp FROM r GROUP BY id").replace("WITH ", "WITH RECURSIVE ", 1).replace(", , ", ", "))
 def _(s, d):
     return G.clusters(T.pts(s, d), 1.0)
 
