@@ -1,61 +1,92 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
-Each task's rows are a memtable: they are sorted by digest and flushed as one sorted run, a Parquet file whose footer
-holds a Bloom filter of its digests. Compaction merges the runs to one row per digest with its smallest and largest
-identifier. Rows whose digest occurs more than once (the index's hits) are compared byte by byte with the row that
-stays; rows that only share the digest form groups of their own.
+Each task collects rows in a memtable of bounded size; a full one is flushed as a sorted run with one row per digest,
+its smallest and largest identifier and its rows. So a text that a third of all documents repeat is one row per run.
+Compaction merges runs, and levels that were merged before, by ranges of digests into one sorted level with one row per
+digest. A filter of the digests that occur more than once goes with the level; rows are held against it before anything
+of them moves. Its hits are compared byte by byte with the row that stays; rows that only share the digest form groups
+of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, member_filter, passing, row_keys, salted_join, stored, table, without
+from .common import ascii_lower, member_filter, passing, row_keys, salted_join, ship, stored, table, without
+
+#: Rows that a memtable takes before it is flushed.
+MEMTABLE = 65_536
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def flush(texts: DataFrame) -> DataFrame:
-    """Writes the rows of texts(digest, doc_id) as sorted runs, one for each task."""
-    runs = texts.sortWithinPartitions("digest")
-    return stored(runs, "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)})
+def flush(rows: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
+    """Stored sorted runs (run, digest, least, most, n) of rows(digest, doc_id): each task flushes its memtable after so many rows and at its end."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """One row per digest: keep_id (the smallest or largest doc_id), group_size."""
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    return runs.groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        def flushed() -> list[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).group_by("digest").aggregate([("doc_id", "min"), ("doc_id", "max"), ([], "count_all")]).sort_by("digest")
+            held.clear()
+            name = pa.array([uuid.uuid4().hex] * len(t))
+            return pa.table([name, t["digest"], t["doc_id_min"], t["doc_id_max"], t["count_all"]], ["run", "digest", "least", "most", "n"]).to_batches()
+
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                held.append(batch.slice(at, memtable - sum(map(len, held))))
+                at += len(held[-1])
+                if sum(map(len, held)) == memtable:
+                    yield from flushed()
+        if held:
+            yield from flushed()
+
+    ship(rows.sparkSession)
+    return stored(rows.select("digest", "doc_id").mapInArrow(run, f"run string, digest binary, least {kind}, most {kind}, n long"), "runs")
+
+
+def compact(*levels: DataFrame) -> DataFrame:
+    """One stored level (digest, least, most, n), sorted and dealt by ranges of digests, of runs and earlier levels."""
+    every = reduce(DataFrame.unionByName, (x.select("digest", "least", "most", "n") for x in levels))
+    merged = every.repartitionByRange("digest").sortWithinPartitions("digest")
+    return stored(merged.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")), "level")
 
 
-def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256, keys: bool = False) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256, keys: bool = False, memtable: int = MEMTABLE) -> DataFrame:
     """Adds nothing and drops nothing: a row (doc_id, digest, keep_id, group_size) for each row of docs(doc_id, text).
 
     A null text counts as empty. A null doc_id counts as smaller than all others when the largest stays, and as larger
     when the smallest does, so it stays only where the group has no other. Rows that repeat both doc_id and text are
-    rows of one group each, all with that doc_id. Other columns of docs are ignored; an empty table gives none.
-    keys: also the row_keys() k1, k2.
+    rows of one group each, all with that doc_id. Texts of any length are compared whole; ties can't be, as equal
+    identifiers are one. Other columns of docs are ignored; an empty table gives none. keys: also the row_keys() k1, k2.
     """
     texts = row_keys(docs, "doc_id", normalise(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
     also = ["k1", "k2"] * keys
-    runs = flush(texts.select("doc_id", "digest", *also))
-    index = stored(compact(runs, keep), "index")
+    rows = stored(texts.select("doc_id", "digest", *also), "digests")
+    level = compact(flush(rows, memtable))
+    index = level.select("digest", F.col({"smallest": "least", "largest": "most"}[keep]).alias("keep_id"), F.col("n").alias("group_size"))
     repeated = index.where("group_size > 1")
-    rows = runs.count()
-    hot = stored(index.where(F.col("group_size") * 1000 >= F.lit(max(rows, 2000))).select("digest"), "hot")
+    filtered = stored(member_filter(repeated, F.col("digest")), "filter")
+    hot = stored(index.where(F.col("group_size") * 1000 >= F.lit(max(rows.count(), 2000))).select("digest"), "hot")
 
     # Hits: only rows of repeated digests move, with their texts.
-    hits = passing(texts, F.col("digest"), member_filter(repeated, F.col("digest")))
+    hits = passing(texts, F.col("digest"), filtered)
     kept = (
         hits.join(repeated.select(F.col("digest").alias("_d"), "keep_id"), (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest").agg(F.min("norm").alias("kept_norm"))
     )
     differ = stored(salted_join(hits, kept, "digest", hot, F.col("doc_id")).where("norm <> kept_norm").select("doc_id", "digest", "norm"), "differ")
-    out = salted_join(runs, index, "digest", hot, F.col("doc_id"))
+    out = salted_join(rows, index, "digest", hot, F.col("doc_id"))
     if differ.isEmpty():
         return out.select("doc_id", "digest", "keep_id", "group_size", *also)
     return _without_collisions(out, differ, texts, keep, also)

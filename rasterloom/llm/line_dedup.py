@@ -84,13 +84,19 @@ class PerfectHash:
 class Shard:
     """One shard's perfect hash, fingerprints and counts, to and from bytes."""
 
-    def __init__(self, hashed: PerfectHash, rest: np.ndarray, prints: np.ndarray, counts: np.ndarray):
+    def __init__(self, hashed: PerfectHash, rest: np.ndarray, prints: np.ndarray, counts: np.ndarray, more: np.ndarray | None = None):
+        """more: (h1, h2, n) of lines that share the first half of their hash with one that is indexed."""
         self.hashed, self.rest, self.prints, self.counts = hashed, rest, prints, counts
+        self.more = np.zeros((0, 3), np.int64) if more is None else more
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> Shard:
+        first = np.zeros(len(h1), bool)
+        first[np.unique(h1, return_index=True)[1]] = True
+        more = np.stack([h1, h2, n], axis=1)[~first].astype(np.int64)
+        h1, h2, n = np.ascontiguousarray(h1[first]), h2[first], n[first]
         hashed, rest = PerfectHash.build(h1.view(np.uint64))
-        out = cls(hashed, rest, np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint32))
+        out = cls(hashed, rest, np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint32), more)
         at = out.index(h1)
         out.prints[at], out.counts[at] = h2, np.minimum(n, 2**32 - 1)
         return out
@@ -112,25 +118,29 @@ class Shard:
         found[found] = self.prints[at[found]] == h[found, 1]
         out = np.zeros(len(h), np.int64)
         out[found] = self.counts[at[found]]
+        for h1, h2, n in self.more:  # next to none: lines that agree in 64 of 128 bits
+            out[(h[:, 0] == h1) & (h[:, 1] == h2)] = n
         return out
 
     def pack(self) -> bytes:
-        head = np.array([len(self.prints), len(self.rest), len(self.hashed.levels), *map(len, self.hashed.levels)], "<i8")
-        return b"".join([len(head).to_bytes(4, "little"), head.tobytes(), self.rest.tobytes(), self.prints.tobytes(), self.counts.tobytes(), *(np.packbits(x).tobytes() for x in self.hashed.levels)])
+        head = np.array([len(self.prints), len(self.rest), len(self.more), len(self.hashed.levels), *map(len, self.hashed.levels)], "<i8")
+        return b"".join([len(head).to_bytes(4, "little"), head.tobytes(), self.more.astype("<i8").tobytes(), self.rest.tobytes(), self.prints.tobytes(), self.counts.tobytes(), *(np.packbits(x).tobytes() for x in self.hashed.levels)])
 
     @classmethod
     def unpack(cls, raw: bytes) -> Shard:
         head, at = np.frombuffer(raw, "<i8", int.from_bytes(raw[:4], "little"), 4), 4 + 8 * int.from_bytes(raw[:4], "little")
-        n, rest = int(head[0]), int(head[1])
+        n, rest, extra = map(int, head[:3])
+        more = np.frombuffer(raw, "<i8", 3 * extra, at).reshape(-1, 3)
+        at += more.nbytes
         parts = []
         for kind, k in (("<u8", rest), ("<i8", n), ("<u4", n)):
             parts.append(np.frombuffer(raw, kind, k, at))
             at += parts[-1].nbytes
         levels = []
-        for size in map(int, head[3:]):
+        for size in map(int, head[4:]):
             levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, (size + 7) // 8, at))[:size].astype(bool))
             at += (size + 7) // 8
-        return cls(PerfectHash(levels), parts[0], parts[1], parts[2])
+        return cls(PerfectHash(levels), parts[0], parts[1], parts[2], more)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -161,8 +171,7 @@ def build_index(counts: DataFrame, keys: int, per_shard: int = SHARD_KEYS) -> Da
     def build(pdf):
         import pandas as pd
 
-        # h1 is unique but by a chance of n*n / 2**65; of such lines the index keeps the first, and the rest stay in the documents.
-        pdf = pdf.sort_values(["h1", "h2"]).drop_duplicates("h1")
+        pdf = pdf.sort_values(["h1", "h2"])
         packed = Shard.build(pdf.h1.to_numpy(np.int64), pdf.h2.to_numpy(np.int64), pdf.n.to_numpy()).pack()
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "shards": [shards], "packed": [packed]})
 
@@ -213,8 +222,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
                 h = line_hashes(text, min_chars)
                 gone = probe(index, h) > 0
                 if more is not None and more[i].is_valid:
-                    others = np.array(more[i].as_py(), np.int64)
-                    gone |= np.isin(h[:, 0], others) & (h != 0).any(axis=1)
+                    others = {(x["h1"], x["h2"]) for x in more[i].as_py()}
+                    gone |= np.array([(a, b) in others for a, b in h.tolist()], bool) & (h != 0).any(axis=1)
                 lines = text.split(b"\n")
                 out.append((len(lines), int(gone.sum()), b"\n".join([x for x, g in zip(lines, gone) if not g]).decode()))
             n, d, kept = zip(*out) if out else ((), (), ())
@@ -262,10 +271,10 @@ def _probe_far(docs: DataFrame, index: DataFrame, held, min_chars: int) -> DataF
                 if len(h) and held_shard is not None:
                     hit = (part.column("shard").to_numpy() == shard) & (held_shard.count(h) > 0)
                     got = part.filter(pa.array(hit))
-                    yield pa.RecordBatch.from_arrays([got.column(c) for c in ("k1", "k2", "h1")], ["k1", "k2", "h1"])
+                    yield pa.RecordBatch.from_arrays([got.column(c) for c in ("k1", "k2", "h1", "h2")], ["k1", "k2", "h1", "h2"])
 
     dealt = both.repartition("shard").sortWithinPartitions("shard", F.col("packed").isNull())
-    return dealt.mapInArrow(answer, "k1 long, k2 long, h1 long").groupBy("k1", "k2").agg(F.collect_list("h1").alias("found"))
+    return dealt.mapInArrow(answer, "k1 long, k2 long, h1 long, h2 long").groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2")).alias("found"))
 
 
 def _with_found(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -49,6 +49,24 @@ def test_exact_groups_when_digests_collide(spark):
     assert {(r["doc_id"], r["keep_id"]) for r in got} == {(i, i % 7) for i in range(40)}
 
 
+def test_index_of_levels_equals_index_of_all(spark):
+    """Runs of small memtables, and a level merged with later runs."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i if i % 11 else None, bytes([i * i % 23])) for i in range(400)], "doc_id long, digest binary").repartition(3)
+    runs = exact_dedup.flush(rows, 32)
+    for r in runs.groupBy("run").agg(F.collect_list("digest").alias("d")).collect():
+        assert sorted(set(r["d"])) == sorted(r["d"])
+    assert runs.select("run").distinct().count() > 3
+    old, new = rows.where("doc_id < 200"), rows.where("doc_id >= 200 OR doc_id IS NULL")
+    want = {}
+    for r in rows.collect():
+        want.setdefault(bytes(r["digest"]), []).append(r["doc_id"])
+    want = {d: (min((i for i in ids if i is not None), default=None), max((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()}
+    for level in (exact_dedup.compact(runs), exact_dedup.compact(exact_dedup.compact(exact_dedup.flush(old, 32)), exact_dedup.flush(new, 1000))):
+        assert {bytes(r["digest"]): (r["least"], r["most"], r["n"]) for r in level.collect()} == want
+
+
 def test_drop_copies(odd, none):
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns
@@ -76,9 +94,11 @@ def test_lines_with_few_and_many_broadcast(spark, near):
         assert got[i] == ("\n".join(kept), n, n - len(kept))
 
 
-def test_lines_of_odd_rows(odd, none):
-    got = line_dedup.drop_common_lines(odd, min_docs=2).collect()
-    assert len(got) == odd.count()
+@pytest.mark.parametrize("near", [1 << 20, 1])
+def test_lines_of_odd_rows(odd, none, near):
+    docs = odd.collect()
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.drop_common_lines(odd, min_docs=2, broadcast_keys=near, per_shard=2).collect())
+    assert got == Counter((r["doc_id"], n, n - len(kept), "\n".join(kept)) for r, (kept, n) in zip(docs, brute_lines([r["text"] for r in docs], 2)))
     assert line_dedup.drop_common_lines(none).count() == 0
 
 
@@ -91,6 +111,13 @@ def test_perfect_hash_is_perfect():
     assert (shard.count(rng.integers(-(2**63), 2**63 - 1, (5000, 2))) == 0).all()
 
 
+def test_lines_that_share_half_a_hash_are_all_indexed():
+    h = np.array([(1, 1), (1, 2), (1, 3), (2, 1), (3, 5)], np.int64)
+    shard = line_dedup.Shard.unpack(line_dedup.Shard.build(np.ascontiguousarray(h[:, 0]), h[:, 1], np.arange(5) + 10).pack())
+    assert shard.count(h).tolist() == [10, 11, 12, 13, 14]
+    assert shard.count(np.array([(1, 4), (3, 1), (9, 9)], np.int64)).tolist() == [0, 0, 0]
+
+
 # Decontamination
 
 
@@ -248,6 +275,38 @@ def test_quality_on_held_out_labels(spark):
     assert (good.predicted == 1).mean() > 0.97 and (bad.predicted == 0).mean() > 0.8
 
 
+def brute_features(text):
+    """The same features from characters, words and lines one by one; texts are ASCII or UTF-8 bytes."""
+    raw = text.encode()
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", raw) if w]
+    lines = raw.split(b"\n")
+    n, letters = max(len(raw), 1), max(sum(65 <= c <= 90 or 97 <= c <= 122 for c in raw), 1)
+    return [
+        np.log(1 + len(raw)), np.log(1 + len(words)), sum(65 <= c <= 90 for c in raw) / letters, sum(48 <= c <= 57 for c in raw) / n, count(b"#$%&*") / n, count(b"|") / n, count(b"!") / n, count(b".,") / n,
+        count(b" \t\n") / n, sum(c > 127 for c in raw) / n, (n - len(words)) / len(words) if words else 0.0, len(set(words)) / len(words) if words else 1.0,
+        np.log(1 + len(lines)), len(set(lines)) / len(lines), sum(x[-1:] in (b".", b"!", b"?") for x in lines) / len(lines),
+    ]
+
+
+def test_quality_by_brute_force(spark, sf):
+    """Features one by one, the sample's model, and its tables added up entry by entry."""
+    got = {r["doc_id"]: r for r in quality.op9_quality(spark, sf).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = {i: brute_features(t) for i, t in docs.items()}
+    known = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in labels if i in docs], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 3) AS h").orderBy("h").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    model = quality.fit(np.array([x[i] for i in known]), np.array([float(labels[i]) for i in known]))
+    for i, r in got.items():
+        total = model.intercept
+        for v, edges, values in zip(x[i], model.edges, model.tables):
+            total += values[sum(e <= v for e in edges)]
+        for a, b, ea, eb, values in model.pairs:
+            total += values[sum(e <= x[i][a] for e in ea), sum(e <= x[i][b] for e in eb)]
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-6
+        assert r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_quality_without_labels_and_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert {r["score"] for r in quality.score_documents(odd, labels).collect()} == {0.5}
