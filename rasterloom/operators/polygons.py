@@ -99,8 +99,67 @@ def peucker(line: list[tuple[float, float]], tolerance: float) -> list[tuple[flo
     return [line[i] for i in sorted(stay)]
 
 
-def reattach(grid: DataFrame, cls: str, min_cells: int) -> DataFrame:
-    """Parts of fewer than min_cells cells, cut off from their class's other parts, join the neighbour they share most edges with."""
-    from .lattice import sieve
+def reattach(grid: DataFrame, cls: str, steps=None) -> DataFrame:
+    """(row, col, cls): of each class the largest part stays; parts cut off from it join the class they share most edges with, ties: the larger class code. A class of one part keeps it whatever its size. Parts of equal size: the one of the first cell stays."""
+    from .lattice import FOUR, cell_components, majority_vote
 
-    return sieve(grid, cls, min_cells)
+    c = _shared(cell_components(grid.select("row", "col", cls), cls, steps or FOUR), "parts")
+    size = c.groupBy("comp", cls).agg(F.count(F.lit(1)).alias("_n"))
+    main = size.groupBy(cls).agg(F.max_by("comp", F.struct("_n", -F.col("comp"))).alias("comp"))
+    loose = size.join(main, "comp", "left_anti").select("comp")
+    vote = majority_vote(c, "comp", cls).join(loose, "comp", "left_semi")
+    return c.join(vote.select("comp", "vote"), "comp", "left").select("row", "col", F.coalesce("vote", cls).alias(cls))
+
+
+def rings(segments: DataFrame, smooth: int = 0) -> DataFrame:
+    """(ring, cls, n, area, points, inside) of directed or undirected segments(cls, x1, y1, x2, y2) in half-cell units: closed rings, chained within their connected set, smoothed by Chaikin's corner cutting so many times.
+
+    area is of the unsmoothed ring and positive; inside: how many other rings of the class hold it, so even ones are
+    outer borders and odd ones holes. A group is one connected set of segments.
+    """
+    import numpy as np
+    import pandas as pd
+
+    e = segments.select("cls", *[F.round(F.col(c) * 2).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    e = _shared(e.withColumn("id", F.xxhash64("cls", "x1", "y1", "x2", "y2")), "segments")
+    ends = e.select("id", "cls", F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select("id", "cls", F.col("x2").alias("x"), F.col("y2").alias("y")))
+    met = ends.groupBy("cls", "x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
+    joined = e.join(components(met, e.select("id")), "id")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for a, b, c, d in pdf.sort_values(["y1", "x1", "y2", "x2"])[["x1", "y1", "x2", "y2"]].itertuples(index=False):
+            near.setdefault((a, b), []).append((c, d))
+            near.setdefault((c, d), []).append((a, b))
+        out = []
+        while near:
+            start = min(near)
+            line, at = [start], start
+            while near.get(at):
+                to = near[at].pop(0)
+                near[to].remove(at)
+                line.append(to)
+                at = to
+            near = {p: n for p, n in near.items() if n}
+            if line[0] == line[-1] and len(line) > 3:
+                p = np.array(line[:-1], float) / 2
+                area = abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)))) / 2
+                for _ in range(smooth):
+                    q = np.roll(p, -1, axis=0)
+                    p = np.stack([0.75 * p + 0.25 * q, 0.25 * p + 0.75 * q], axis=1).reshape(-1, 2)
+                out.append((f"{line[0][0]}:{line[0][1]}:{len(out)}:{pdf.comp.iloc[0]}", pdf.cls.iloc[0], len(line) - 1, area, [{"x": float(x), "y": float(y)} for x, y in p]))
+        return pd.DataFrame(out, columns=["ring", "cls", "n", "area", "points"])
+
+    ship(segments.sparkSession)
+    kind = segments.schema["cls"].dataType.simpleString()
+    made = _shared(joined.groupBy("comp").applyInPandas(chain, f"ring string, cls {kind}, n long, area double, points array<struct<x:double,y:double>>"), "rings")
+    span = lambda c, f: f(F.transform("points", lambda q: q[c]))
+    box = made.select("ring", "cls", "area", "points", *[span(c, f).alias(f"{n}{c}") for c in "xy" for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))])
+    tile = 32
+    on = lambda df, c: F.explode(F.sequence(F.floor(F.col(f"lo{c}") / tile), F.floor(F.col(f"hi{c}") / tile)))
+    outer = box.withColumn("ty", on(box, "y")).withColumn("tx", on(box, "x")).select("cls", "ty", "tx", F.col("ring").alias("o"), F.col("points").alias("op"), F.col("area").alias("oa"))
+    first = F.element_at("points", 1)
+    inner = made.select("ring", "cls", "area", first["x"].alias("px"), first["y"].alias("py")).withColumns({"ty": F.floor(F.col("py") / tile), "tx": F.floor(F.col("px") / tile)})
+    held = inner.join(outer, ["cls", "ty", "tx"]).where((F.col("ring") != F.col("o")) & (F.col("oa") > F.col("area"))).where(inside_ring(F.col("op"), F.col("px"), F.col("py")))
+    depth = held.groupBy("ring").agg(F.count(F.lit(1)).alias("inside"))
+    return made.join(depth, "ring", "left").withColumn("inside", F.coalesce("inside", F.lit(0)).cast("long"))

@@ -90,6 +90,13 @@ def whole_groups(groups: DataFrame, size: str, order: list[Column], budget: int,
     return (groups.limit(0) if taken is None else taken.drop("_o"))
 
 
+def with_size(df: DataFrame, by: list[str], name: str = "size") -> DataFrame:
+    """Adds how many rows share the row's key. Counts are aggregated partially and joined back, so a hot key isn't gathered in one task."""
+    n = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.count(F.lit(1)).alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return df.join(n, on, "left").select(*df.columns, name)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old whose key isn't in new, and new."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
