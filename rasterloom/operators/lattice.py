@@ -317,11 +317,18 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
     return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
 
 
-def stored_parts(grid: DataFrame, part: str) -> DataFrame:
-    """Writes one folder per part to the shared folder and reads them all; parts that are there already stay."""
+def stored_parts(grid: DataFrame, part: str, name: str | None = None) -> DataFrame:
+    """Writes one folder per part to the shared folder and reads them all. With a name, parts that an earlier run under that name has finished stay as they are, and only the others are computed and added."""
     import uuid
 
+    from pyspark.errors import AnalysisException
+
     spark = grid.sparkSession
-    path = f"{shared_folder(spark)}/parts/{uuid.uuid4().hex}"
-    grid.write.mode("ignore").partitionBy(part).parquet(path)
+    path = f"{shared_folder(spark)}/parts/{name or uuid.uuid4().hex}"
+    try:
+        done = spark.read.parquet(path).select(part).distinct()
+        grid = grid.join(done, grid[part].cast("string") == done[part].cast("string"), "left_anti")
+    except AnalysisException:  # nothing is there yet
+        pass
+    grid.write.mode("append").partitionBy(part).parquet(path)
     return spark.read.parquet(path)

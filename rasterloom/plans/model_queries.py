@@ -380,6 +380,26 @@ def _(s, d):
     return model.transform(v.where("id % 5 = 0")).select("id", "pa", F.col("prediction").cast("int").alias("pred"))
 
 
+@query("ml8_boosted_classes")
+def _(s, d):
+    from ..operators import tuning as U
+
+    cols = [f"b{i}" for i in range(8)]
+    b = T.bands(s, d)
+    model = U.boosted_classes(b.where("id % 5 <> 0"), cols, "class_name")
+    return model.transform(U.assembled(b.where("id % 5 = 0"), cols)).select("id", "class_name", F.col("pred").cast("int").alias("pred"))
+
+
+@query("ml15_averaged_scores", sql("bands", "SELECT id, round((0.7::DOUBLE / (1 + exp(-b0)) + CASE WHEN id % 3 = 0 THEN 0 ELSE 0.3::DOUBLE / (1 + exp(-b1)) END) / (0.7::DOUBLE + CASE WHEN id % 3 = 0 THEN 0 ELSE 0.3::DOUBLE END), 6) AS score FROM bands"))
+def _(s, d):
+    from ..operators import tuning as U
+
+    b = T.bands(s, d)
+    one = b.select("id", M.logistic(F.col("b0")).alias("score"), F.lit(0.7).alias("w"))
+    two = b.select("id", F.when(F.col("id") % 3 != 0, M.logistic(F.col("b1"))).alias("score"), F.lit(0.3).alias("w"))
+    return U.averaged(one.unionByName(two), weight="w").select("id", r6("score"))
+
+
 @query("ml9_elastic_net")
 def _(s, d):
     from pyspark.ml.classification import LogisticRegression

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, or for its schema and rows where it has none."""
+"""Every registered query that has SQL against it in DuckDB."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from rasterloom.plans import registry
 
 from .compare import rows
 
-SLOW = {"ge13_majority_sieve", "ge14_structural_sieve", "ge15_sieve_within_group", "ge28_fill_holes", "ge8b_split_groups"}
-
-
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, sf, duck, name):
     got = registry.QUERIES[name](spark, sf).toPandas()
@@ -19,12 +16,6 @@ def test_against_sql(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
-def test_runs(spark, sf, name):
-    got = registry.QUERIES[name](spark, sf)
-    assert got.columns and got.count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__
 
