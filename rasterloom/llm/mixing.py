@@ -61,7 +61,8 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     the row at which the budget ends gives what is left of it, so a source's words meet its target to within one word.
     A null text has size 0 and nothing taken. A null source is a source of its own; a null doc_id is drawn like any
     other. Rows that repeat all of doc_id, text and source take turns in no fixed order, which leaves the result the
-    same. An empty table gives an empty table; other columns are ignored.
+    same; equal keys go by doc_id, then by the text's hash. A very long text is one row of its size. An empty table gives
+    an empty table; other columns are ignored.
     """
     size = n_words(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
@@ -72,9 +73,9 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     )
-    # exp(-key) falls from 1 to 0 as the key grows, so 1 - exp(-key) orders as the key does.
+    # Buckets by the key's logarithm: an eighth of them to each doubling, so small weights, which make large keys, spread as well.
     buckets = max(128, -(-rows.count() // rows_per_bucket))
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    rows = rows.withColumn("bucket", F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * (buckets / 8.0)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("source", "bucket", before.alias("before"))
