@@ -86,15 +86,18 @@ def near_groups(docs: DataFrame, words: int = 3, few: int = FEW) -> DataFrame:
 
     component_id: the smallest doc_id among the rows that links of at most 2 differing bits reach. A null text counts
     as empty; texts without words have fingerprint zero and are linked as others are. Null doc_ids are never smallest;
-    component_id is null where all are null. Rows that repeat are linked like others. An empty table gives none; other
+    component_id is null where all are null. Rows that repeat are linked like others. A very long text is hashed whole, in
+    steps of bounded memory. A bit set in just half of the hashes (a tie) is 0. An empty table gives none; other
     columns are ignored.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = stored(components(links(distinct, few), "links"), "roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(ids, "root").select("fp", "component_id")
+    rooted = stored(rooted, "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    wide = ids.where(F.col("size") * 1000 >= max(rooted.count(), 2000)).select("root")
+    members = salted_join(rooted, ids.drop("size"), "root", wide, F.col("fp")).select("fp", "component_id")
     hot = distinct.where(F.col("n") * 1000 >= max(prints.count(), 2000)).select("fp")
     return salted_join(prints, members, "fp", hot, F.col("k1"))
 
