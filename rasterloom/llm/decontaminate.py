@@ -100,7 +100,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     Null and empty texts have no words. Items without words match nothing; items with fewer than `window` words are
     one window. Rows that repeat doc_id and text have the same result. An item with a null item_id hits words, but
-    isn't counted or listed. Other columns are ignored; an empty table gives none.
+    isn't counted or listed. Terms of equal frequency go by their place in the item. Very long texts are indexed whole.
+    Other columns are ignored; an empty table gives none.
     """
     index, hits = exact_matches(docs, items, window)
     by_doc = hits.groupBy("k1", "k2").agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))

@@ -197,8 +197,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     """(doc_id, n_lines, n_dropped, kept): the texts without the lines whose key is in at least min_docs rows.
 
     A null or empty text is one empty line. Keys of fewer than min_chars code points always stay. Each row is a
-    document, also where doc_id repeats or is null. If all lines go, kept is empty. Other columns are ignored; an
-    empty table gives an empty table.
+    document, also where doc_id repeats or is null. If all lines go, kept is empty. A line goes or stays by its own count,
+    so there are no ties; a very long text is in memory one at a time. Other columns are ignored; an empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -177,7 +177,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
     """(doc_id, k1, k2, held_out, score, predicted) for each row of docs(doc_id, text).
 
     Null and empty texts are scored by the features of an empty text. Rows that repeat get the same score. Without
-    usable labels every score is 0.5. Other columns are ignored; an empty table gives none.
+    usable labels every score is 0.5. A score of just the threshold is predicted 1. Very long texts are measured whole, one
+    at a time. Other columns are ignored; an empty table gives none.
     """
     rows = stored(feature_table(docs), "features")
     model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, max_rows))

@@ -169,7 +169,8 @@ def thresholds(rows: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """(doc_id, base, added) for each row of docs(doc_id, text): arrays of (start, kind, end) in code points, in order.
 
-    A null text counts as empty. Rows that repeat are scanned alike; other columns are ignored; an empty table gives
+    A null text counts as empty; very long texts are scanned whole. Rows that repeat are scanned alike, and each counts
+    in the control; tokens of one p-value are found or left together. Other columns are ignored; an empty table gives
     none. added holds the tokens that the tests find; they don't overlap base spans.
     """
     rows = stored(scan(docs), "spans")

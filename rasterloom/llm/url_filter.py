@@ -94,7 +94,9 @@ def judge(pages: DataFrame, model: LogisticRegressionModel, rules: tuple[tuple[s
     """(page_id, host, path, rule, verdict, probability) for each row of pages(page_id, url).
 
     Null urls and urls without :// have empty host and path, fit no rule and are judged by the model. Rows that repeat
-    are judged alike; other columns are ignored; an empty table gives none. probability: of block, by the model.
+    are judged alike; very long urls are judged whole; a probability of just 0.5 is block, and of rules of one length, which
+    can't both fit a host, the later. Other columns are ignored; an empty table gives none. probability: of block, by
+    the model.
     """
     host, path = host_and_path(F.col("url"))
     scored = model.transform(hashed(pages.select("page_id", host.alias("host"), path.alias("path")), features))

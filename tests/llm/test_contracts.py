@@ -185,9 +185,13 @@ def test_heavier_documents_come_first(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i % 2 else "b") for i in range(400)], "doc_id long, text string, source string")
-    m = mixing.mix(docs, weight=F.when(F.col("doc_id") < 200, 9.0).otherwise(1.0), share=0.5, weights=(1, 1)).toPandas()
-    first = m[m.doc_id < 200].taken.sum()
-    assert first > 1.5 * m[m.doc_id >= 200].taken.sum()
+    taken = {}
+    for scale in (1.0, 1e-5):
+        m = mixing.mix(docs, weight=F.when(F.col("doc_id") < 200, 9.0 * scale).otherwise(scale), share=0.5, weights=(1, 1)).toPandas()
+        first = m[m.doc_id < 200].taken.sum()
+        assert first > 1.5 * m[m.doc_id >= 200].taken.sum()
+        taken[scale] = dict(zip(m.doc_id, m.taken))
+    assert taken[1.0] == taken[1e-5]
 
 
 # SimHash
@@ -758,5 +762,13 @@ def test_functions_agree_on_all_passages_at_the_threshold():
 
 
 def test_passages_of_odd_rows(odd, none):
-    assert passages.near_passages(odd).count() == odd.count()
+    rows = odd.collect()
+    classes = brute_passages([r["text"] or "" for r in rows])
+    least = {}
+    for r, c in zip(rows, classes):
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    got = Counter((r["doc_id"], r["class_id"], r["n_copies"]) for r in passages.near_passages(odd).collect())
+    copies = Counter(r["text"] or "" for r in rows)
+    assert got == Counter((r["doc_id"], least.get(c), copies[r["text"] or ""]) for r, c in zip(rows, classes))
     assert passages.near_passages(none).count() == 0
