@@ -77,10 +77,13 @@ def aic(df: DataFrame, p_true: Column, k: int) -> DataFrame:
 
 
 def cumulative(df: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), ranges: int = 64) -> DataFrame:
-    """(by.., value, sums.., <sum>_before, <sum>_total): for each distinct value, sums and those over smaller values."""
+    """(by.., value, sums.., <sum>_before, <sum>_total): for each distinct value, sums and those over smaller values.
+
+    Values are ordered within ranges, which a sketch of their quantiles cuts, so that outliers don't empty the others.
+    """
     n = df.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
-    ends = n.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    n = n.crossJoin(F.broadcast(ends)).withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)).drop("_lo", "_hi")
+    cuts = n.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    n = n.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(0)).drop("_cuts")
     parts = n.groupBy(*by, "_range").agg(*[F.sum(k).alias(k) for k in sums])
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(*by, "_range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums], *[F.sum(k).over(W.partitionBy(*by)).alias(f"{k}_total") for k in sums])

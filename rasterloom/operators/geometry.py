@@ -126,16 +126,16 @@ def split_groups(points: DataFrame, by: str, max_side: float, least_saving: floa
 def density(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """(gx, gy, density): Gaussian kernel density of points(x, y) at nodes, scaled to [0, 1]. Scott's bandwidth.
 
-    Points are first counted on the nodes' unit cells, so the pairs are nodes by occupied cells, not by points; both
-    sides have at most as many rows as the coarse grid has nodes.
+    Points are first counted on unit cells, so the pairs are nodes by occupied cells, not by points. The nodes, a coarse
+    grid of some hundreds, are broadcast; the cells stay dealt over tasks, and each task adds up its own by node.
     """
     cells = points.groupBy(F.floor("x").alias("px"), F.floor("y").alias("py")).agg(F.count(F.lit(1)).alias("n"))
     m = points.agg(F.count(F.lit(1)).alias("m"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy")).withColumn("f", F.pow("m", F.lit(-1 / 3)))
     s = m.select((F.col("vx") * F.col("f")).alias("sx"), (F.col("vy") * F.col("f")).alias("sy"), (F.col("vxy") * F.col("f")).alias("sxy")).withColumn("det", F.col("sx") * F.col("sy") - F.col("sxy") ** 2)
     dx, dy = F.col("gx") - (F.col("px") + 0.5), F.col("gy") - (F.col("py") + 0.5)
     q = (dx * dx * F.col("sy") - 2 * dx * dy * F.col("sxy") + dy * dy * F.col("sx")) / F.col("det")
-    side = F.broadcast(cells.crossJoin(F.broadcast(s)))
-    d = nodes.crossJoin(side).groupBy("gx", "gy").agg(F.sum(F.col("n") * F.exp(-q / 2)).alias("d"))
+    side = cells.crossJoin(F.broadcast(s))
+    d = side.crossJoin(F.broadcast(nodes)).groupBy("gx", "gy").agg(F.sum(F.col("n") * F.exp(-q / 2)).alias("d"))
     ends = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     return d.crossJoin(F.broadcast(ends)).select("gx", "gy", ((F.col("d") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))).alias("density"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..ship import stored
+
 
 def keep_first(df: DataFrame, by: Iterable[str], *order: Column) -> DataFrame:
     """One row per key: the first by the order."""
@@ -70,7 +72,16 @@ def weighted_sample(df: DataFrame, n: int, weight: str, seed: int, key: str) ->
     return df.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", key).limit(n).drop("_k")
 
 
-def whole_groups(groups: DataFrame, size: str, order: list[Column], budget: int, rounds: int = 8) -> DataFrame:
+def running_sum(df: DataFrame, size: str, order: str, parts: int = 64) -> DataFrame:
+    """Adds _sum, the sum of size up to the row: over ranges of the order first, then inside each range, so no task orders all rows."""
+    dealt = stored(df.repartitionByRange(parts, order).withColumn("_pid", F.spark_partition_id()), "ordered")
+    sums = dealt.groupBy("_pid").agg(F.sum(size).alias("_part"))  # one row for each range
+    sums = sums.select("_pid", F.coalesce(F.sum("_part").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(size).over(W.partitionBy("_pid").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.withColumn("_sum", inside).join(F.broadcast(sums), "_pid").withColumn("_sum", F.col("_sum") + F.col("_before")).drop("_pid", "_before")
+
+
+def whole_groups(groups: DataFrame, size: str, order: list[Column], budget: int) -> DataFrame:
     """Groups taken whole up to a budget of rows: a group that doesn't fit is passed over, later ones may.
 
     groups has one row per chip. In each round a running sum takes the leading groups that fit and drops what is larger
@@ -79,7 +90,7 @@ def whole_groups(groups: DataFrame, size: str, order: list[Column], budget: int,
     left = groups.withColumn("_o", F.struct(*order))
     taken, rest = None, budget
     while rest > 0:
-        open_ = left.where(F.col(size) <= rest).withColumn("_sum", F.sum(size).over(W.orderBy("_o").rowsBetween(W.unboundedPreceding, 0)))
+        open_ = running_sum(left.where(F.col(size) <= rest), size, "_o")
         fits = open_.where(F.col("_sum") <= rest)
         row = fits.agg(F.max("_sum").alias("s"), F.max("_o").alias("o")).first()
         if row["s"] is None:
