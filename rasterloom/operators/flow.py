@@ -44,3 +44,50 @@ def geomorphons(grid: DataFrame, value: str, search: int, flat: float = 1.0, cel
     h, lo = F.col("higher"), F.col("lower")
     form = F.when(h + lo <= 2, "flat").when(h == 0, F.when(lo == 8, "peak").otherwise("ridge")).when(lo == 0, F.when(h == 8, "pit").otherwise("valley")).when(lo - h >= 3, "ridge").when(h - lo >= 3, "valley").otherwise("slope")
     return n.withColumn("form", form)
+
+
+def fill_depressions(grid: DataFrame, value: str, tile: int = 512) -> DataFrame:
+    """(row, col, value, filled): the lowest level from which water runs off to the grid's edge or a gap: value, or the spill level of the depression a cell is in.
+
+    Tiles are flooded from their edges and from what their neighbours' rims hold, lowest first, in NumPy-fed tasks; rims
+    are exchanged until no level falls, which takes about as many rounds as tiles that water crosses. Null cells are gaps.
+    """
+    from heapq import heapify, heappop, heappush
+
+    import numpy as np
+    import pandas as pd
+
+    from ..ship import ship
+    from .joins import EIGHT, offsets
+
+    ship(grid.sparkSession)
+    cells = grid.where(F.col(value).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("z"))
+    here = offsets(cells, EIGHT).select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+    held = here.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    now = _shared(cells.join(held, ["row", "col"], "left").select("row", "col", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")), "levels")
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {p: i for i, p in enumerate(zip(pdf.row.tolist(), pdf.col.tolist()))}
+        z, w, own = pdf.z.to_numpy(), pdf.w.to_numpy().copy(), (pdf.row // tile == pdf.tr) & (pdf.col // tile == pdf.tc)
+        rows, cols, mine = pdf.row.tolist(), pdf.col.tolist(), own.tolist()
+        heap = [(v, i) for i, v in enumerate(w.tolist()) if v < np.inf]
+        heapify(heap)
+        while heap:
+            level, i = heappop(heap)
+            if level > w[i]:
+                continue
+            for a, b in EIGHT:
+                j = at.get((rows[i] + a, cols[i] + b))
+                if j is not None and mine[j] and (v := max(level, z[j])) < w[j]:
+                    w[j] = v
+                    heappush(heap, (v, j))
+        return pd.DataFrame({"row": pdf.row, "col": pdf.col, "z": z, "w": w, "fell": w < pdf.w.to_numpy()})[own]
+
+    while True:
+        span = lambda c: F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
+        spread = now.select("row", "col", "z", "w", F.explode(span("row")).alias("tr"), span("col").alias("_c")).select("row", "col", "z", "w", "tr", F.explode("_c").alias("tc"))
+        new = _shared(spread.groupBy("tr", "tc").applyInPandas(flood, "row long, col long, z double, w double, fell boolean"), "levels")
+        rim = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+        if new.where("fell").where(rim("row") | rim("col")).isEmpty():
+            return new.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").alias(value), F.col("w").alias("filled"))
+        now = new.drop("fell")

@@ -171,6 +171,15 @@ def _(s, d):
     return accumulate(FO.d8(T.dem(s, d), "z"))
 
 
+@query("m18_filled_flow")
+def _(s, d):
+    """Depressions are filled before drops are sent down; on level fill a cell has no way and keeps what comes to it."""
+    from ..operators.flow import accumulate, fill_depressions
+
+    filled = fill_depressions(T.dem(s, d), "z")
+    return accumulate(FO.d8(filled.select("row", "col", F.col("filled").alias("z")), "z")).join(filled.select("row", "col", "filled"), ["row", "col"])
+
+
 _FORMS = "ways(dr, dc, way) AS (VALUES (-1, -1, 0), (-1, 0, 1), (-1, 1, 2), (0, -1, 3), (0, 1, 4), (1, -1, 5), (1, 0, 6), (1, 1, 7)), sight AS (SELECT a.row, a.col, way, max(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS up, -min(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS down FROM dem a, ways, range(1, 6) r(k), dem b WHERE b.row = a.row + k * dr AND b.col = a.col + k * dc GROUP BY a.row, a.col, way), n AS (SELECT row, col, count(*) FILTER (WHERE up > 1 AND up >= down) AS h, count(*) FILTER (WHERE NOT (up > 1 AND up >= down) AND down > 1) AS l FROM sight GROUP BY row, col)"
 
 

@@ -129,6 +129,38 @@ def chains_check(spark, sf, got):
         assert (r.x0, r.y0) == (r.x1, r.y1) or degree[int(r.x0), int(r.y0)] != 0 and r.n >= 2
 
 
+def brute_flood(z: dict) -> dict:
+    """The smallest highest cell on a way to the edge, by relaxation until nothing falls."""
+    w = {p: v if any((p[0] + a, p[1] + b) not in z for a, b in EIGHT) else float("inf") for p, v in z.items()}
+    fell = True
+    while fell:
+        fell = False
+        for (r, c), v in z.items():
+            new = min(w[r, c], max(v, min((w[r + a, c + b] for a, b in EIGHT if (r + a, c + b) in w), default=float("inf"))))
+            if new < w[r, c]:
+                w[r, c], fell = new, True
+    return w
+
+
+def filled_check(spark, sf, got):
+    want = brute_flood(cells(T.dem(spark, sf).toPandas(), "z"))
+    have, sca = cells(got, "filled"), cells(got, "sca")
+    assert all(abs(have[p] - want[p]) < 1e-9 for p in want) and len(have) == len(want)
+    assert min(sca.values()) >= 1 and max(sca.values()) <= len(want)
+
+
+def test_depressions_across_tiles(spark):
+    from rasterloom.operators.flow import fill_depressions
+
+    rng = np.random.default_rng(3)
+    z = {(r, c): float(v) for (r, c), v in np.ndenumerate(rng.integers(0, 9, (17, 14))) if (r * c) % 29 != 5}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "row int, col int, z double")
+    want = brute_flood(z)
+    for tile in (4, 7, 512):
+        assert cells(fill_depressions(df, "z", tile).toPandas(), "filled") == want
+    assert fill_depressions(df.limit(0), "z").count() == 0
+
+
 def points(spark, sf):
     return T.pts(spark, sf).toPandas().sort_values("id")
 
@@ -260,7 +292,7 @@ def smooth_check(spark, sf, got):
 
 CHECKS = {
     "ge13_majority_sieve": sieve_check, "ge14_structural_sieve": structural_check, "ge15_sieve_within_group": group_sieve_check, "ge12_nearest_fill": fill_check, "ge21_topology_correction": correct_check,
-    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "ge17_shared_boundaries": chains_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
+    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "ge17_shared_boundaries": chains_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
     "m31_chi2_of_layers": chi2_check, "ml1_spatial_folds": folds_check("id"), "ml2_grouped_folds": folds_check("polygon_id"), "ml10_quadratic_discriminant": qda_check, "m30_parametric_fit": fit_check,
     "ml7_random_forest": valid_classes("class_name", "pred"), "ml8_boosted_trees": valid_classes("pa", "pred"), "ml8_boosted_classes": valid_classes("class_name", "pred"), "ml9_elastic_net": valid_classes("class_name", "pred"),
     "ml13_balanced_glm": valid_scores("p"), "ml14_maxent": valid_scores("suit"), "ml12_kernel_machine": valid_scores("p"), "ml5_grid_search": search_check, "ml16_permutation_importance": importance_check, "ml17_class_importance": class_importance_check,
