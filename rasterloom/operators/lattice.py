@@ -207,6 +207,13 @@ def slivers(grid: DataFrame, comp: str, radius: int = 1) -> DataFrame:
     return grid.select(comp).distinct().join(core, comp, "left_anti")
 
 
+def merge_slivers(grid: DataFrame, cls: str, radius: int = 1, steps=FOUR) -> DataFrame:
+    """(row, col, cls): components that vanish when eroded take the class that most of their border edges touch, all at once; ties: the larger class code."""
+    c = _shared(cell_components(grid.select("row", "col", cls), cls, steps), "parts")
+    vote = majority_vote(c, "comp", cls).join(slivers(c, "comp", radius), "comp", "left_semi")
+    return c.join(vote.select("comp", "vote"), "comp", "left").select("row", "col", F.coalesce("vote", cls).alias(cls))
+
+
 def fill_holes(mask: DataFrame, max_cells: int) -> DataFrame:
     """A mask (row, col, m) of 0 and 1: components of fewer than max_cells cells take the other value, holes first. Components at the frame's edge count like others."""
     def flip(g: DataFrame, value: int) -> DataFrame:
@@ -317,6 +324,44 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
     return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
 
 
+def sieve_block(row: np.ndarray, col: np.ndarray, cls: np.ndarray, min_cells: int) -> np.ndarray:
+    """sieve() of a block of cells, ordered by row and column, in one task."""
+    n, at = len(row), {p: i for i, p in enumerate(zip(row.tolist(), col.tolist()))}
+    pairs = np.array([(i, at[p]) for (r, c), i in at.items() for a, b in FOUR if (p := (r + a, c + b)) in at], np.int64).reshape(-1, 2)
+    cls = cls.copy()
+    while True:
+        comp = label_tile(row, col, cls, FOUR)
+        size = np.bincount(comp, minlength=n)[comp]
+        u, v = pairs[(comp[pairs[:, 0]] != comp[pairs[:, 1]]) & (size[pairs[:, 0]] < min_cells)].T
+        large = size[v] >= min_cells
+        if not large.any():
+            large = (size[v] > size[u]) | (size[v] == size[u]) & (comp[v] < comp[u])
+        if not large.any():
+            return cls
+        votes = pd.DataFrame({"comp": comp[u[large]], "cls": cls[v[large]]}).value_counts().reset_index(name="k").sort_values(["comp", "k", "cls"]).groupby("comp").cls.last()
+        new = votes.reindex(comp).to_numpy()
+        cls = np.where(pd.isna(new), cls, new).astype(cls.dtype)
+
+
+def tiled_sieve(grid: DataFrame, cls: str, min_cells: int, tile: int = TILE, margin: int = 16) -> DataFrame:
+    """(tile_r, tile_c, row, col, cls): each tile with its margin is sieved on its own, and its inner cells are kept. As sieve() where no component of a tile and its margin reaches beyond; a group is one tile and its margin."""
+    def lo(c: str):
+        return F.floor((F.col(c) - margin) / tile)
+
+    def hi(c: str):
+        return F.floor((F.col(c) + margin) / tile)
+
+    spread = grid.select("row", "col", cls, F.explode(F.sequence(lo("row"), hi("row"))).alias("tile_r"), lo("col").alias("_a"), hi("col").alias("_b")).select("row", "col", cls, "tile_r", F.explode(F.sequence("_a", "_b")).alias("tile_c"))
+
+    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        pdf = pdf.assign(**{cls: sieve_block(pdf.row.to_numpy(np.int64), pdf.col.to_numpy(np.int64), pdf[cls].to_numpy(), min_cells)})
+        return pdf[(pdf.row // tile == pdf.tile_r) & (pdf.col // tile == pdf.tile_c)][["tile_r", "tile_c", "row", "col", cls]]
+
+    ship(spread.sparkSession)
+    return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
+
+
 def stored_parts(grid: DataFrame, part: str, name: str | None = None) -> DataFrame:
     """Writes one folder per part to the shared folder and reads them all. With a name, parts that an earlier run under that name has finished stay as they are, and only the others are computed and added."""
     import uuid

@@ -40,6 +40,16 @@ def _(s, d):
     return PO.reattach(T.cls(s, d), "cls")
 
 
+@query("ge24_merged_slivers", _FOUR_SQL + ", x AS (SELECT row, col, cls, comp FROM cls JOIN c ON id = row * 100 + col), core AS (SELECT DISTINCT a.comp FROM x a JOIN x b ON a.comp = b.comp AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col, a.comp HAVING count(*) = 9), v AS (SELECT a.comp, b.cls AS vote, count(*) AS k FROM x a JOIN x b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND a.comp <> b.comp WHERE a.comp NOT IN (SELECT comp FROM core) GROUP BY 1, 2), w AS (SELECT comp, vote FROM v QUALIFY row_number() OVER (PARTITION BY comp ORDER BY k DESC, vote DESC) = 1) SELECT row, col, coalesce(vote, cls) AS cls FROM x LEFT JOIN w USING (comp)")
+def _(s, d):
+    return L.merge_slivers(T.cls(s, d), "cls")
+
+
+@query("ge18_tiled_majority_sieve")
+def _(s, d):
+    return L.tiled_sieve(T.cls(s, d), "cls", 6, 512, 16)
+
+
 @query("ge5_disc_cells", sql("pts", "+ p AS (SELECT id, x / 4 AS x, y / 10 AS y FROM pts), r AS (SELECT *, unnest(range(CAST(floor(y - 1.5::DOUBLE) AS BIGINT), CAST(ceil(y + 1.5::DOUBLE) AS BIGINT))) AS row FROM p), c AS (SELECT *, unnest(range(CAST(floor(x - 1.5::DOUBLE) AS BIGINT), CAST(ceil(x + 1.5::DOUBLE) AS BIGINT))) AS col FROM r) SELECT row, col, count(*) AS n_discs, min(id) AS first FROM c WHERE (col + 0.5::DOUBLE - x) ** 2 + (row + 0.5::DOUBLE - y) ** 2 <= 2.25 GROUP BY row, col"))
 def _(s, d):
     p = T.pts(s, d).select("id", (F.col("x") / 4).alias("x"), (F.col("y") / 10).alias("y"))

@@ -292,7 +292,7 @@ def smooth_check(spark, sf, got):
 
 CHECKS = {
     "ge13_majority_sieve": sieve_check, "ge14_structural_sieve": structural_check, "ge15_sieve_within_group": group_sieve_check, "ge12_nearest_fill": fill_check, "ge21_topology_correction": correct_check,
-    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "ge17_shared_boundaries": chains_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
+    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "ge18_tiled_majority_sieve": sieve_check, "ge17_shared_boundaries": chains_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
     "m31_chi2_of_layers": chi2_check, "ml1_spatial_folds": folds_check("id"), "ml2_grouped_folds": folds_check("polygon_id"), "ml10_quadratic_discriminant": qda_check, "m30_parametric_fit": fit_check,
     "ml7_random_forest": valid_classes("class_name", "pred"), "ml8_boosted_trees": valid_classes("pa", "pred"), "ml8_boosted_classes": valid_classes("class_name", "pred"), "ml9_elastic_net": valid_classes("class_name", "pred"),
     "ml13_balanced_glm": valid_scores("p"), "ml14_maxent": valid_scores("suit"), "ml12_kernel_machine": valid_scores("p"), "ml5_grid_search": search_check, "ml16_permutation_importance": importance_check, "ml17_class_importance": class_importance_check,
@@ -300,6 +300,15 @@ CHECKS = {
 }
 
 
+def test_sieve_in_tiles_keeps_every_cell_and_the_sieved_inside(spark, sf):
+    from rasterloom.operators import lattice
+
+    grid = T.cls(spark, sf)
+    whole, tiles = cells(lattice.tiled_sieve(grid, "cls", 3).toPandas(), "cls"), lattice.tiled_sieve(grid, "cls", 3, 8, 16).toPandas()
+    assert len(tiles) == len(whole) and set(cells(tiles, "cls")) == set(whole)
+    assert sum(cells(tiles, "cls")[p] == v for p, v in whole.items()) >= 0.95 * len(whole)
+
+
 def test_each_query_has_sql_or_a_check():
     assert set(CHECKS) == set(registry.QUERIES) - set(registry.ORACLE_SQL)
 
