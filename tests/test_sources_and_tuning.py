@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 
@@ -90,7 +91,7 @@ def test_pairs_and_escapes(spark):
 def test_parts_that_are_done_stay(spark):
     from pyspark.sql import functions as F
 
-    name = "test-parts-once"
+    name = f"test-parts-{uuid.uuid4().hex}"
     grid = spark.range(40).select(F.col("id").alias("v"), (F.col("id") % 4).cast("int").alias("tile"))
     first = lattice.stored_parts(grid.where("tile < 2"), "tile", name)
     assert first.count() == 20
