@@ -84,7 +84,7 @@ def quadkey(x: Column, y: Column, zoom: Column) -> Column:
     return F.array_join(F.transform(F.sequence(zoom, F.lit(1), F.lit(-1)), lambda i: digit(i).cast("string")), "")
 
 
-#: What names of categorical layers hold.
+#: What names of categorical layers usually hold.
 CATEGORICAL = r"(?i)(flowdir|flow_dir|d8|geomorph|landform|scl|class|mask|lulc|landcover|land_cover|qa|pixel_qa|cloud|categ|_cat\b|label|zone)"
 
 

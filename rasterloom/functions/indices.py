@@ -87,7 +87,7 @@ def to_db(c: Column) -> Column:
 
 
 def radar_indices(hh: Column, hv: Column) -> dict[str, Column]:
-    """From linear backscatter."""
+    """From linear backscatter. The published names and formulas."""
     s = hh + hv
     return {
         "RVI": F.try_divide(4 * hv, s), "RFDI": F.try_divide(hh - hv, s), "HH_HV_Ratio": F.try_divide(hv, hh), "HH_HV_Sum": s, "HH_HV_Diff": hh - hv, "HH_HV_Mean": s / 2, "NDI": F.try_divide(hh - hv, s),

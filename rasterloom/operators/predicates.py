@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 #: Columns that are never predictors.
 SERVICE = ("class_name", "polygon_id", "n_pixels", "x", "y", "row", "col", "id", "pa", "fold")
+#: The names that longitude and latitude columns go by.
 LON = ("lon", "long", "longitude", "x", "decimallongitude", "lng")
 LAT = ("lat", "latitude", "y", "decimallatitude")
 
