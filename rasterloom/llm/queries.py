@@ -10,6 +10,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .html_text import op2_html_text
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .manifest import OP12_SQL, op12_manifest
 from .mixing import OP5_SQL, op5_mixing
 from .passages import op4_passages
 from .quality import op9_quality
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_manifest": op12_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op12_manifest": OP12_SQL}
