@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_alignment
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .html_text import op2_html_text
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_manifest": op12_manifest,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op12_manifest": OP12_SQL}
