@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ WORDS = 5
 #: The weight of a long list in the choice of L; the published value.
 MU = 0.0085
 #: Sets and shingles that a group searches among itself, about; rounds of that.
-GROUP, TOKENS, ROUNDS = 2048, 1 << 20, 3
+GROUP, TOKENS, ROUNDS = 512, 1 << 20, 3
+#: Leaders that a component has in a group before sets that are linked to it alone don't lead.
+FEW = 8
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -147,41 +151,60 @@ def left_out(t: int, longest: int) -> int:
 
 
 class Leaders:
-    """Inverted lists of sets, which must come in order of size."""
+    """Inverted lists of the sets that lead a group, and the components they make. Sets must come in order of size."""
 
     def __init__(self) -> None:
         self.lists: dict[int, list[int]] = {}
         self.sizes: list[int] = []
+        self.root: list[int] = []
+        self.leading: Counter[int] = Counter()
 
-    def search(self, tokens: list[int]) -> int | None:
-        """The first set that the tokens are linked to."""
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def search(self, tokens: list[int]) -> list[int]:
+        """Sets that the tokens are linked to, one of each component that has any."""
         n = len(tokens)
         t = overlap(n)  # of one that isn't larger
         found = sorted([x for k in tokens if (x := self.lists.get(k)) is not None], key=len)
         if len(found) < t:
-            return None
+            return []
         skip = left_out(t, len(found[-1]))
         short, long = found[: len(found) - skip], found[len(found) - skip :]
+        out, tops = [], set()
         for i, same in groupby(heapq.merge(*short)):
             have = sum(1 for _ in same)
-            if have < t - skip:
+            if have < t - skip or (top := self.top(i)) in tops:
                 continue
             for x in long:
                 at = bisect_left(x, i)
                 have += at < len(x) and x[at] == i
             if enough(have, n, self.sizes[i]):
-                return i
-        return None
-
-    def add(self, tokens: list[int]) -> None:
+                out.append(i)
+                tops.add(top)
+        return out
+
+    def add(self, tokens: list[int], near: list[int]) -> bool:
+        """Joins the components of the sets nearby. Lists the set if none or several are near, or few of its component are listed: one in the middle of sets that aren't alike leads them on."""
+        if len(near) == 1 and self.leading[self.top(near[0])] >= FEW:
+            return False
         i = len(self.sizes)
         self.sizes.append(len(tokens))
+        self.root.append(i)
         for k in tokens:
             self.lists.setdefault(k, []).append(i)
+        self.leading[i] = 1
+        for j in near:
+            j = self.top(j)
+            self.root[j] = i
+            self.leading[i] += self.leading.pop(j)
+        return True
 
 
 def local_links(members: DataFrame, seed: int) -> DataFrame:
-    """(u, v): each set of a group that reaches one of its leaders, and that. A group is what has the same smallest hash of its shingles, dealt into parts of bounded size."""
+    """(u, v, leads), stored: the links of each set of a group to the components of its leaders; (u, u) if there are none. leads: whether u is a leader. A group is what has the same smallest hash of its shingles, dealt into parts of bounded size; sets alone are leaders and have no row."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,22 +225,23 @@ def local_links(members: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders, names = None, Leaders(), []
         for batch in batches:
-            u, v = [], []
+            u, v, leads = [], [], []
             tokens = batch.column("tokens")
             for i, (key, cls) in enumerate(zip(zip(batch.column("route").to_pylist(), batch.column("part").to_pylist()), batch.column("cls").to_pylist())):
                 if key != now:
                     now, leaders, names = key, Leaders(), []
                 own = tokens[i].values.to_pylist()
-                if (at := leaders.search(own)) is None:
-                    leaders.add(own)
+                near = leaders.search(own)
+                if lead := leaders.add(own, near):
                     names.append(cls)
-                else:
+                for at in near or [-1]:
                     u.append(cls)
                     v.append(names[at])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    leads.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(leads, pa.bool_())], ["u", "v", "leads"])
 
     with batches_of(members.sparkSession, 256):
-        return stored(groups.mapInArrow(run, "u long, v long"), "links")
+        return stored(groups.mapInArrow(run, "u long, v long, leads boolean"), "links")
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,10 +316,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> D
     links, left = [], members
     for i in range(rounds):
         links.append(local_links(left, 0x5DEECE66D * (i + 1)))
-        left = left.join(small(links[-1].select(F.col("u").alias("cls"))), "cls", "left_anti")
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.unionByName(x)
+        left = left.join(small(links[-1].where("NOT leads").select(F.col("u").alias("cls"))), "cls", "left_anti")
+    edges = reduce(DataFrame.unionByName, links).where("u <> v").select("u", "v")
     labels = labelled(members, edges)
     late = stored(sharing(heads.join(small(labels), "cls").select("cls", "n", "head", "label")), "alive")
     late = stored(members.join(small(late), "cls", "left_semi").join(labels, "cls"), "late")

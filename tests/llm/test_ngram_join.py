@@ -106,7 +106,7 @@ def test_sets_in_a_group_of_one_label_make_no_pairs(spark):
     assert ngram_join.candidates(members).count() == 200
 
 
-def test_divide_skip_finds_a_leader_where_there_is_one():
+def test_divide_skip_finds_each_component_of_leaders():
     r = random.Random(4)
     pool = [r.sample(range(60), r.randrange(4, 30)) for _ in range(8)]
     for _ in range(60):
@@ -114,10 +114,9 @@ def test_divide_skip_finds_a_leader_where_there_is_one():
         sets = sorted((sorted(set(r.choice(pool)) ^ set(r.sample(range(60), r.randrange(0, 5)))) for _ in range(40)), key=len)
         for s in filter(None, sets):
             alike = [i for i, k in enumerate(kept) if linked(set(s), set(k))]
-            at = leaders.search(s)
-            assert (at in alike) if alike else at is None
-            if at is None:
-                leaders.add(s)
+            near = leaders.search(s)
+            assert set(near) <= set(alike) and sorted(map(leaders.top, near)) == sorted({leaders.top(i) for i in alike})
+            if leaders.add(s, near):
                 kept.append(s)
 
 
