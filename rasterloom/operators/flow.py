@@ -91,3 +91,169 @@ def fill_depressions(grid: DataFrame, value: str, tile: int = 512) -> DataFrame:
         if new.where("fell").where(rim("row") | rim("col")).isEmpty():
             return new.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").alias(value), F.col("w").alias("filled"))
         now = new.drop("fell")
+
+
+def _tiles(cells: DataFrame, tile: int, margin: int) -> DataFrame:
+    """Repeats each cell for the tiles (tr, tc) whose margin it is in."""
+    span = lambda c: F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile))
+    return cells.withColumn("tr", F.explode(span("row"))).withColumn("tc", F.explode(span("col")))
+
+
+def surroundings(grid: DataFrame, value: str) -> DataFrame:
+    """(row, col, z, edge, lower, higher, level) of the cells with a value: whether a neighbour is missing, and whether one is lower, higher or as high."""
+    from .joins import EIGHT, neighbours
+
+    cells = grid.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"))
+    n = neighbours(cells, "z", EIGHT).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("a"), F.max("near").alias("b"), F.max(F.col("near") == F.col("z")).alias("level"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return cells.join(n, ["row", "col"], "left").select("row", "col", "z", (F.coalesce("n", F.lit(0)) < 8).alias("edge"), no(F.col("a") < F.col("z")).alias("lower"), no(F.col("b") > F.col("z")).alias("higher"), no(F.col("level")).alias("level"))
+
+
+def flat_gradients(around: DataFrame, tile: int = 512) -> DataFrame:
+    """(row, col, z, mask) of the cells of surroundings() that have a neighbour as high: what falls along a flat.
+
+    Steps to the nearest cell of the same level that water leaves count twice, steps to the nearest that lies beside
+    higher ground count against them: flow keeps away from higher ground and goes to lower (the mask of both gradients).
+    Both are ways over neighbours of one level. A step changes the second by one at most, so every cell with a way out
+    has a neighbour nearer to it whose mask is smaller; a level without a way out has none (null).
+
+    Steps spread tile by tile in NumPy-fed tasks; rims are exchanged until none changes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..ship import ship
+    from .joins import EIGHT
+
+    ship(around.sparkSession)
+    far = F.lit(float("inf"))
+    now = around.where("level").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z", F.when(F.col("edge") | F.col("lower"), 0.0).otherwise(far).alias("out"), F.when(F.col("higher"), 0.0).otherwise(far).alias("up"))
+    now = _shared(now, "flats")
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = (pdf[x].to_numpy() - pdf[x].min() + 1 for x in ("row", "col"))
+        z = np.full((r.max() + 2, c.max() + 2), np.nan)
+        z[r, c] = pdf.z
+        same = {}
+        for a, b in EIGHT:  # cells whose neighbour at (a, b) is as high
+            same[a, b] = z == np.roll(z, (-a, -b), (0, 1))
+        out = {}
+        for name in ("out", "up"):
+            d = np.full(z.shape, np.inf)
+            d[r, c] = pdf[name]
+            while True:
+                new = d
+                for (a, b), held in same.items():
+                    new = np.minimum(new, np.where(held, np.roll(d, (-a, -b), (0, 1)) + 1, np.inf))
+                if np.array_equal(new, d):
+                    break
+                d = new
+            out[name] = d[r, c]
+        fell = (out["out"] < pdf.out.to_numpy()) | (out["up"] < pdf.up.to_numpy())
+        own = (pdf.row // tile == pdf.tr) & (pdf.col // tile == pdf.tc)
+        return pd.DataFrame({"row": pdf.row, "col": pdf.col, "z": pdf.z, **out, "fell": fell})[own]
+
+    rim = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    while True:
+        new = _shared(_tiles(now, tile, 1).groupBy("tr", "tc").applyInPandas(spread, "row long, col long, z double, out double, up double, fell boolean"), "flats")
+        if new.where("fell").where(rim("row") | rim("col")).isEmpty():
+            break
+        now = new.drop("fell")
+    mask = F.when(F.col("out") < far, 2 * F.col("out") - F.when(F.col("up") < far, F.col("up")).otherwise(0.0))
+    return new.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "z", mask.alias("mask"))
+
+
+def flow_pointers(grid: DataFrame, value: str, tile: int = 512) -> DataFrame:
+    """(row, col, value, to_row, to_col, drop): d8(), and over flats the neighbour of the same level with the smallest mask of flat_gradients(), with drop 0.
+
+    Ties: the smaller row, then column. Null where water leaves: at the grid's edge or a gap without a lower neighbour.
+    Null, too, in a depression that isn't filled; after fill_depressions() there is none, and every cell's flow leaves.
+    """
+    from .focal import d8
+    from .joins import EIGHT, neighbours
+
+    grid = grid.where(F.col(value).isNotNull()).select("row", "col", value)
+    around = _shared(surroundings(grid, value), "around")
+    mask = flat_gradients(around, tile)
+    near = neighbours(mask.withColumn("_s", F.struct("z", "mask")), "_s", EIGHT).where((F.col("_s.z") == F.col("near.z")) & (F.col("near.mask") < F.col("_s.mask")))
+    way = near.groupBy("row", "col").agg(F.min(F.struct("near.mask", "dr", "dc")).alias("w"))
+    stuck = around.where("NOT edge AND NOT lower").select("row", "col")
+    way = way.join(stuck, ["row", "col"], "left_semi")
+    down = d8(grid, value)
+    out = down.join(way, ["row", "col"], "left")
+    return out.select(
+        "row", "col", value, F.coalesce("to_row", F.col("row") + F.col("w.dr")).alias("to_row"), F.coalesce("to_col", F.col("col") + F.col("w.dc")).alias("to_col"),
+        F.coalesce("drop", F.when(F.col("w").isNotNull(), 0.0)).alias("drop"),
+    )
+
+
+def breach_depressions(grid: DataFrame, value: str, reach: int = 50, tile: int = 512) -> DataFrame:
+    """(row, col, value, breached): the grid with channels dug from pits to lower ground, where one is within reach.
+
+    A pit is a cell inside the grid with no lower neighbour. From each the cheapest way is searched, by the depth that
+    is dug in all, then by its steps, to a cell that is lower or at the grid's edge or a gap; ways keep within `reach`
+    cells of the pit in row and column. Cells on it that are higher are dug to the pit's level; where ways cross, to the
+    lowest. So from every dug cell its way goes on at its level or below, and digging makes no new pit. Pits without a
+    way within reach stay, for fill_depressions(). Ways depend on heights only, not on the tiles: pits are searched by
+    the task of their tile, which is given a margin of `reach` cells.
+    """
+    from heapq import heappop, heappush
+
+    import numpy as np
+    import pandas as pd
+
+    from ..ship import ship
+    from .joins import EIGHT
+
+    ship(grid.sparkSession)
+    around = _shared(surroundings(grid, value), "around")
+    cells = around.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z", "edge", (~F.col("edge") & ~F.col("lower")).alias("pit"))
+
+    def dig(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = pdf.row.min() - 1, pdf.col.min() - 1
+        r, c = (pdf.row - r0).to_numpy(), (pdf.col - c0).to_numpy()
+        high, wide = r.max() + 2, c.max() + 2
+        z, edge = np.full(high * wide, np.nan), np.zeros(high * wide, bool)
+        at = r * wide + c
+        z[at], edge[at] = pdf.z, pdf.edge
+        own = ((pdf.row // tile == pdf.tr) & (pdf.col // tile == pdf.tc) & pdf.pit).to_numpy()
+        level = np.full(high * wide, np.inf)
+        z_list, edge_list, steps = z.tolist(), edge.tolist(), [a * wide + b for a, b in EIGHT]
+        for start in at[own].tolist():
+            low, (r1, c1) = z_list[start], divmod(start, wide)
+            heap, came, done = [(0.0, 0, start)], {start: start}, set()
+            best = {start: (0.0, 0)}
+            while heap:
+                cost, n, i = heappop(heap)
+                if i in done:
+                    continue
+                done.add(i)
+                if i != start and (z_list[i] < low or edge_list[i]):
+                    while i != start:
+                        if z_list[i] > low:
+                            level[i] = min(level[i], low)
+                        i = came[i]
+                    break
+                for s in steps:
+                    j = i + s
+                    v = z_list[j]
+                    if v != v or j in done or abs(j // wide - r1) > reach or abs(j % wide - c1) > reach:
+                        continue
+                    new = (cost + max(0.0, v - low), n + 1)
+                    if j not in best or new < best[j]:
+                        best[j], came[j] = new, i
+                        heappush(heap, (*new, j))
+        dug = np.nonzero(level < np.inf)[0]
+        return pd.DataFrame({"row": dug // wide + r0, "col": dug % wide + c0, "to": level[dug]})
+
+    dug = _tiles(cells, tile, reach).groupBy("tr", "tc").applyInPandas(dig, "row long, col long, to double").groupBy("row", "col").agg(F.min("to").alias("to"))
+    dug = _shared(dug, "dug")
+    return around.select("row", "col", "z").join(dug, ["row", "col"], "left").select("row", "col", F.col("z").alias(value), F.least("z", F.coalesce("to", "z")).alias("breached"))
+
+
+def hydrology(grid: DataFrame, value: str, reach: int = 50, tile: int = 512) -> DataFrame:
+    """(row, col, value, level, to_row, to_col, drop): heights after breaching and filling, and where water goes; every cell's flow leaves at an edge or a gap."""
+    dug = _shared(breach_depressions(grid, value, reach, tile), "breached")
+    filled = fill_depressions(dug, "breached", tile)
+    way = flow_pointers(filled.select("row", "col", F.col("filled").alias("level")), "level", tile)
+    return dug.select("row", "col", value).join(way, ["row", "col"])

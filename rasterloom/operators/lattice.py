@@ -7,6 +7,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ship import shared_folder, ship
@@ -139,21 +140,54 @@ def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int | N
     return now.select("row", "col", cls)
 
 
-def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: int | None = None) -> DataFrame:
-    """(row, col, value): grid, and holes(row, col) filled from the nearest valued cell, ring by ring; ties: the smaller value. reach: stop after so many rings."""
-    from .joins import EIGHT
+def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: float | None = None) -> DataFrame:
+    """(row, col, value): grid, and holes(row, col) filled from the nearest valued cell by Euclidean distance; ties: the smaller value. reach: the greatest distance.
 
-    now = _shared(grid.where(F.col(value).isNotNull()).select("row", "col", value), "filled")
-    left = _shared(holes.join(now, ["row", "col"], "left_anti").select("row", "col"), "holes")
-    for _ in count() if reach is None else range(reach):
-        near = neighbours(left.withColumn("_v", F.lit(0)).join(now.select("row", "col"), ["row", "col"], "left_anti").withColumn("_v", F.lit(None).cast(now.schema[value].dataType)).unionByName(now.withColumnRenamed(value, "_v")), "_v", EIGHT)
-        got = near.where(F.col("_v").isNull() & F.col("near").isNotNull()).withColumn("_d", F.abs("dr") + F.abs("dc"))
-        got = _shared(got.groupBy("row", "col").agg(F.min(F.struct("_d", "near")).alias("b")).select("row", "col", F.col("b.near").alias(value)), "ring")
-        if got.isEmpty():
-            break
-        now = _shared(now.unionByName(got), "filled")
-        left = _shared(left.join(got, ["row", "col"], "left_anti"), "holes")
-    return now
+    Two separable passes, whatever the holes' size. Along columns a window gives each row that has holes the nearest
+    value above or below. Along rows each hole looks at columns ever farther off, until they are farther than what it
+    has. A group of the second pass is one row of the raster.
+    """
+    valued = _shared(grid.where(F.col(value).isNotNull()).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value), "valued")
+    holes = _shared(holes.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct().join(valued, ["row", "col"], "left_anti"), "holes")
+    first, last = holes.agg(F.min("row"), F.max("row")).first()
+    if first is None:
+        return valued
+    kind = valued.schema[value].dataType.simpleString()
+    wanted = valued.select("col").distinct().withColumn("row", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    wanted = wanted.join(holes.select("row").distinct(), "row", "left_semi").select("row", "col", F.lit(None).cast(kind).alias(value), F.lit(True).alias("_ask"))
+    both = valued.withColumn("_ask", F.lit(False)).unionByName(wanted)
+    at = F.when(~F.col("_ask"), F.struct("row", value))
+    above = F.last(at, True).over(W.partitionBy("col").orderBy("row", "_ask").rowsBetween(W.unboundedPreceding, 0))
+    below = F.first(at, True).over(W.partitionBy("col").orderBy("row", F.desc("_ask")).rowsBetween(0, W.unboundedFollowing))
+    off = lambda x: F.struct(F.abs(F.col("row") - x["row"]).alias("d"), x[value].alias("v"))
+    near = both.select("row", "col", "_ask", above.alias("a"), below.alias("b")).where("_ask").withColumn("n", F.least(F.when(F.col("a").isNotNull(), off(F.col("a"))), F.when(F.col("b").isNotNull(), off(F.col("b")))))
+    lines = near.select("row", "col", F.col("n.d").alias("d"), F.col("n.v").alias(value), F.lit(False).alias("_hole"))
+    lines = lines.unionByName(holes.select("row", "col", F.lit(None).cast("int").alias("d"), F.lit(None).cast(kind).alias(value), F.lit(True).alias("_hole")))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        hole, have = pdf[pdf._hole], pdf[~pdf._hole].sort_values("col")
+        c, c1 = hole.col.to_numpy(np.int64), have.col.to_numpy(np.int64)
+        codes, values = pd.factorize(have[value], sort=True)  # the smaller value has the smaller code
+        low, n = min(c.min(), c1.min(), 0), max(c.max(), c1.max()) - min(c.min(), c1.min(), 0) + 1
+        d, code = np.full(n, np.iinfo(np.int64).max // 4), np.full(n, len(values))
+        d[c1 - low], code[c1 - low] = have.d.to_numpy(np.int64) ** 2, codes
+        best, what = d[c - low], code[c - low]
+        left, k = np.arange(len(c)), 0
+        while len(left):
+            k += 1
+            left = left[(best[left] >= k * k) & (k < n)]
+            for side in (c[left] - low - k, c[left] - low + k):
+                inside = (side >= 0) & (side < n)
+                i, j = left[inside], side[inside]
+                new, v = d[j] + k * k, code[j]
+                nearer = (new < best[i]) | ((new == best[i]) & (v < what[i]))
+                best[i[nearer]], what[i[nearer]] = new[nearer], v[nearer]
+        out = pd.DataFrame({"row": hole.row, "col": hole.col, value: np.asarray(values)[np.minimum(what, len(values) - 1)]})
+        return out if reach is None else out[best <= reach * reach]
+
+    ship(lines.sparkSession)
+    with_values = lines.join(lines.where("NOT _hole").select("row").distinct(), "row", "left_semi")
+    return valued.unionByName(_shared(with_values.groupBy("row").applyInPandas(fill, f"row int, col int, {value} {kind}"), "filled"))
 
 
 def dissolve(grid: DataFrame, cls: str, mapping: dict[int, int], steps=FOUR) -> DataFrame:

@@ -173,11 +173,21 @@ def _(s, d):
 
 @query("m18_filled_flow")
 def _(s, d):
-    """Depressions are filled before drops are sent down; on level fill a cell has no way and keeps what comes to it."""
-    from ..operators.flow import accumulate, fill_depressions
+    """Depressions are filled before drops are sent down; over level fill they go away from higher and to lower ground."""
+    from ..operators.flow import accumulate, fill_depressions, flow_pointers
 
-    filled = fill_depressions(T.dem(s, d), "z")
-    return accumulate(FO.d8(filled.select("row", "col", F.col("filled").alias("z")), "z")).join(filled.select("row", "col", "filled"), ["row", "col"])
+    filled = L._shared(fill_depressions(T.dem(s, d), "z", 64), "filled")
+    way = L._shared(flow_pointers(filled.select("row", "col", F.col("filled").alias("z")), "z", 64), "ways")
+    return accumulate(way).join(way.select("row", "col", "to_row", "to_col"), ["row", "col"]).join(filled.select("row", "col", "filled"), ["row", "col"])
+
+
+@query("m18_breached_flow")
+def _(s, d):
+    """Pits are breached within ten cells, the rest is filled, and drops are sent down."""
+    from ..operators.flow import accumulate, hydrology
+
+    way = L._shared(hydrology(T.dem_nodata(s, d), "z", 10, 64), "ways")
+    return accumulate(way).join(way.select("row", "col", "z", "level", "to_row", "to_col"), ["row", "col"])
 
 
 _FORMS = "ways(dr, dc, way) AS (VALUES (-1, -1, 0), (-1, 0, 1), (-1, 1, 2), (0, -1, 3), (0, 1, 4), (1, -1, 5), (1, 0, 6), (1, 1, 7)), sight AS (SELECT a.row, a.col, way, max(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS up, -min(degrees(atan((b.z - a.z) / (k * sqrt(dr * dr + dc * dc))))) AS down FROM dem a, ways, range(1, 6) r(k), dem b WHERE b.row = a.row + k * dr AND b.col = a.col + k * dc GROUP BY a.row, a.col, way), n AS (SELECT row, col, count(*) FILTER (WHERE up > 1 AND up >= down) AS h, count(*) FILTER (WHERE NOT (up > 1 AND up >= down) AND down > 1) AS l FROM sight GROUP BY row, col)"
@@ -349,7 +359,7 @@ def _(s, d):
     return L.sieve(g, "cls", 6, group="type")
 
 
-@query("ge12_nearest_fill")
+@query("ge12_nearest_fill", sql("dem dem_nodata", "+ h AS (SELECT row, col FROM dem EXCEPT SELECT row, col FROM dem_nodata), n AS (SELECT h.row, h.col, min({d: (h.row - v.row) ** 2 + (h.col - v.col) ** 2, z: v.z}) AS b FROM h JOIN dem_nodata v ON abs(h.row - v.row) <= 25 AND abs(h.col - v.col) <= 25 GROUP BY 1, 2) SELECT row, col, z FROM dem_nodata UNION ALL SELECT row, col, b.z FROM n"))
 def _(s, d):
     g = T.dem_nodata(s, d)
     return L.nearest_fill(g, T.dem(s, d).select("row", "col"), "z")
