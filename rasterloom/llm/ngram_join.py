@@ -5,7 +5,8 @@ DivideSkip finds those that are in at least T of a set's inverted lists: the L l
 are merged by a heap, and what is in T - L of them is looked for in the long ones by binary search.
 
 Equal sets are one class. Of every class the head, the smallest hashes that any partner must share some of, is held
-against the heads of all others; classes that share too few leave. The others are searched in two steps. First groups of
+against the heads of all others, then what is left against the whole sets; classes that share too few leave. The others
+are searched in two steps. First groups of
 bounded size search among themselves: a set that reaches a leader of its group is linked to it and not listed, so
 thousands of near copies have short lists. Then classes that share shingles with another component search all lists of
 the corpus: the short lists of a set meet by a join, are merged by counting, and the long ones are probed. Only sets of
@@ -20,7 +21,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import groupby
 from math import log2
@@ -106,27 +107,31 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def sharing(heads: DataFrame) -> DataFrame:
-    """(cls) of heads(cls, n, head, label) that share enough of their heads with heads of other labels to have a partner there."""
-    shared = stored(heads.select("label", F.explode("head").alias("key")).groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "shared")
-    bits = heads.sparkSession.sparkContext.broadcast(key_filter(shared))
+def sharing(sets: DataFrame, part: str, least: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(cls), stored: of sets(cls, n, label, part) those that share least(n) of the hashes in part with sets of other labels.
+
+    A filter of 8 MiB rules most out before their hashes move; the others are counted by a join.
+    """
+    shared = stored(sets.select("label", F.explode(part).alias("key")).groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "shared")
+    bits = sets.sparkSession.sparkContext.broadcast(key_filter(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = np.zeros(FILTER // 8, np.uint8)
         for bucket, raw in bits.value:
             maybe[bucket * 4096 : bucket * 4096 + 4096] = np.frombuffer(raw, np.uint8)
         for batch in batches:
-            keys, sizes = batch.column("head"), batch.column("n").to_numpy()
+            keys, sizes = batch.column(part), batch.column("n").to_numpy()
             flat = keys.flatten().to_numpy()
             at = filter_place(flat)
             hit = (maybe[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             of = np.repeat(np.arange(len(batch)), keys.value_lengths().to_numpy())
-            need = hits(overlap(sizes))
+            need = least(sizes)
             hit &= (np.bincount(of[hit], minlength=len(batch)) >= need)[of]
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("cls").to_numpy()[of[hit]]), pa.array(need[of[hit]]), pa.array(flat[hit])], ["cls", "need", "key"])
 
-    asked = heads.select("cls", "n", "head").mapInArrow(run, "cls long, need long, key long")
-    return asked.join(shared, "key", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("cls")
+    asked = sets.select("cls", "n", part).mapInArrow(run, "cls long, need long, key long")
+    found = asked.join(shared, "key", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need"))
+    return stored(found.where("k >= need").select("cls"), "alive")
 
 
 def members_of(docs: DataFrame, heads: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -255,7 +260,7 @@ def candidates(members: DataFrame) -> DataFrame:
 
     Of a list, the sets of its commonest label are never joined with each other.
     """
-    rows = stored(members.select("cls", "n", "label", F.explode("tokens").alias("key")), "postings")
+    rows = members.select("cls", "n", "label", F.explode("tokens").alias("key"))
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("df"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = rows.join(of.where("labels > 1").drop("labels"), "key")
     rows = stored(rows, "lists")
@@ -311,26 +316,28 @@ def similar_sets(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> D
     marked = maybe_member(first, F.col("cls"), member_filter(repeats.withColumnRenamed("row", "cls"), F.col("cls")), flag)
     heads = marked.where(~F.col(flag)).unionByName(marked.where(flag).join(repeats, F.col("cls") == F.col("row"), "left_anti")).drop(flag)
 
-    alive = stored(sharing(heads.select("cls", "n", "head", F.col("cls").alias("label"))), "alive")
+    own = F.col("cls").alias("label")
+    alive = sharing(heads.select("cls", "n", "head", own), "head", lambda n: hits(overlap(n)))
     members = members_of(docs, heads, alive, words)
+    members = stored(members.join(small(sharing(members.select("*", own), "tokens", overlap)), "cls", "left_semi"), "members")
     links, left = [], members
     for i in range(rounds):
         links.append(local_links(left, 0x5DEECE66D * (i + 1)))
         left = left.join(small(links[-1].where("NOT leads").select(F.col("u").alias("cls"))), "cls", "left_anti")
     edges = reduce(DataFrame.unionByName, links).where("u <> v").select("u", "v")
     labels = labelled(members, edges)
-    late = stored(sharing(heads.join(small(labels), "cls").select("cls", "n", "head", "label")), "alive")
-    late = stored(members.join(small(late), "cls", "left_semi").join(labels, "cls"), "late")
+    late = members.join(small(labels), "cls")
+    late = stored(late.join(small(sharing(late, "tokens", overlap)), "cls", "left_semi"), "late")
     pairs = stored(candidates(late), "candidates")
     if not pairs.isEmpty():
         # The likeliest pair of two components first; then all that are of two components still.
         best = pairs.groupBy("q_label", "y_label").agg(F.max_by(F.struct("q", "y"), F.struct("c", "q", "y")).alias("b")).select("b.q", "b.y")
         sure = verified(best, late)
-        now = labelled(members, edges.unionByName(sure))
+        now = labels if sure.isEmpty() else labelled(members, edges.unionByName(sure))
         rest = pairs.join(now.select(F.col("cls").alias("q"), F.col("label").alias("a")), "q").join(now.select(F.col("cls").alias("y"), F.col("label").alias("b")), "y").where("a <> b")
         rest = rest.join(best, ["q", "y"], "left_anti")
-        edges = edges.unionByName(sure).unionByName(verified(rest, late))
-        labels = labelled(members, edges)
+        more = verified(rest, late)
+        labels = now if more.isEmpty() else labelled(members, edges.unionByName(sure).unionByName(more))
 
     named = stored(classes.join(labels, "cls", "left").select("digest", "least", "rows", F.coalesce("label", "cls").alias("label")), "named")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
