@@ -6,12 +6,12 @@ are merged by a heap, and what is in T - L of them is looked for in the long one
 
 Equal sets are one class. Of every class the head, the smallest hashes that any partner must share some of, is held
 against the heads of all others, then what is left against the whole sets; classes that share too few leave. The others
-are searched in two steps. First groups of
-bounded size search among themselves: a set that reaches a leader of its group is linked to it and not listed, so
-thousands of near copies have short lists. Then classes that share shingles with another component search all lists of
-the corpus: the short lists of a set meet by a join, are merged by counting, and the long ones are probed. Only sets of
-different components meet there, so a group of near copies makes no pairs of its own, and no link between components
-is lost.
+are searched in two steps. First groups of bounded size search among themselves: a set that reaches a component of its
+group is linked to it and, once some of that component are listed, isn't listed, so thousands of near copies have short
+lists. Sets in the middle of many others go to all parts of a large group in the next round. Then classes that share
+enough shingles with other components search all lists of the corpus: the short lists of a set meet by a join, are
+merged by counting, and the long ones are probed. Only sets of different components meet there, so a group of near
+copies makes no pairs of its own, and no link between components is lost.
 
 Shingles are compared by hashes of 64 bits.
 """
@@ -43,6 +43,8 @@ MU = 0.0085
 GROUP, TOKENS, ROUNDS = 512, 1 << 20, 3
 #: Leaders that a component has in a group before sets that are linked to it alone don't lead.
 FEW = 8
+#: Sets of a group that go to all its parts.
+HUBS = 64
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -208,8 +210,14 @@ class Leaders:
         return True
 
 
-def local_links(members: DataFrame, seed: int) -> DataFrame:
-    """(u, v, leads), stored: the links of each set of a group to the components of its leaders; (u, u) if there are none. leads: whether u is a leader. A group is what has the same smallest hash of its shingles, dealt into parts of bounded size; sets alone are leaders and have no row."""
+def hubs_of(links: list[DataFrame]) -> DataFrame:
+    """(cls, degree): sets with several links."""
+    own = reduce(DataFrame.unionByName, links).where("u <> v")
+    return own.select(F.col("u").alias("cls")).unionByName(own.select(F.col("v").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > 2)
+
+
+def local_links(members: DataFrame, seed: int, hubs: DataFrame | None = None) -> DataFrame:
+    """(u, v, leads), stored: the links of each set of a group to the components of its leaders; (u, u) if there are none. leads: whether u is a leader. A group is what has the same smallest hash of its shingles, dealt into parts of bounded size; sets alone are leaders and have no row. The HUBS sets of a group with most links in hubs(cls, degree) are in all its parts."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +232,13 @@ def local_links(members: DataFrame, seed: int) -> DataFrame:
     sizes = routed.groupBy("route").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t")).where("k > 1")
     parts = F.greatest(F.ceil(F.col("k") / GROUP), F.ceil(F.col("t") / TOKENS))
     dealt = routed.join(small(stored(sizes.select("route", parts.alias("parts")), "parts")), "route")
-    dealt = stored(dealt.select("cls", "route", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "dealt")
+    dealt = dealt.select("cls", "route", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+    if hubs is not None:
+        known = stored(dealt.where("parts > 1").join(small(hubs), "cls"), "hubs")
+        known = known.withColumn("_n", F.row_number().over(W.partitionBy("route").orderBy(F.desc("degree"), "cls"))).where(F.col("_n") <= HUBS)
+        other = known.select("cls", "route", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("to")).where("part <> to")
+        dealt = dealt.drop("parts").unionByName(other.select("cls", "route", F.col("to").alias("part")))
+    dealt = stored(dealt.select("cls", "route", "part"), "dealt")
     groups = members.join(dealt, "cls").repartition("route", "part").sortWithinPartitions("route", "part", "n", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +336,10 @@ def similar_sets(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> D
     members = stored(members.join(small(sharing(members.select("*", own), "tokens", overlap)), "cls", "left_semi"), "members")
     links, left = [], members
     for i in range(rounds):
-        links.append(local_links(left, 0x5DEECE66D * (i + 1)))
-        left = left.join(small(links[-1].where("NOT leads").select(F.col("u").alias("cls"))), "cls", "left_anti")
+        links.append(local_links(left, 0x5DEECE66D * (i + 1), hubs_of(links) if links else None))
+        # A set in several parts stays if it leads in one.
+        follows = links[-1].groupBy("u").agg(F.max("leads").alias("leads")).where("NOT leads").select(F.col("u").alias("cls"))
+        left = left.join(small(follows), "cls", "left_anti")
     edges = reduce(DataFrame.unionByName, links).where("u <> v").select("u", "v")
     labels = labelled(members, edges)
     late = members.join(small(labels), "cls")

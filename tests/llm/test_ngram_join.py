@@ -133,3 +133,17 @@ def test_heads_share_enough():
             shared = len(np.intersect1d(a, b))
             assert shared >= ngram_join.hits(min(len(x), len(y)))
             assert shared >= max(ngram_join.hits(ngram_join.overlap(len(s))) for s in (x, y))
+
+
+def test_a_group_in_parts_is_joined_by_the_sets_in_its_middle(spark, prose, monkeypatch):
+    """Forty texts like one in the middle and unlike each other, in parts of six."""
+    monkeypatch.setattr(ngram_join, "GROUP", 6)
+    r, base = random.Random(1), prose(120, 5).split()
+    texts = [" ".join(base)]
+    for i in range(40):
+        other = list(base)
+        for j in r.sample(range(0, 120, 6), 2):
+            other[j] = f"x{i}y{j}"
+        texts.append(" ".join(other))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
