@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,8 +127,12 @@ def battery(token: str) -> tuple[float, float]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, step): step is -STEPS log10 of the battery's p-value, -1 if a test says not random."""
     out = []
+    # The base spans by start, and how far those up to each reach.
+    starts = sorted(a for _, a, _ in base)
+    reach = list(accumulate((b for _, _, b in sorted(base, key=lambda s: s[1])), max))
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and b > m.start() for _, a, b in base):
+        before = bisect_left(starts, m.end())
+        if not (before and reach[before - 1] > m.start()):
             random, written = battery(m[0])
             out.append((*m.span(), len(m[0]).bit_length(), -1 if random < RANDOM_LEVEL else int(-STEPS * math.log10(max(written, 1e-300)))))
     return out
