@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -535,12 +536,40 @@ def test_html_of_an_article():
     ("<div><article><p>a</div><p>b</article></div>", [(0, "a"), (0, "b")]),
     ("<main><math><mi>k</mi></math> <label>L</label> <svg><text>no</text></svg>z</main>", [(0, "k L z")]),
     ("<p>a<br>b<br/>c<i>d</i> e\n\tf", [(1, "a b cd e f")]),
+    ("<article><p>a</p><article class='comment'><p>hi</p></article><article class='related-teaser'><p>t</p></article></article>", [(0, "a"), (2, "hi"), (2, "t")]),
+    ("<main><article class='post with-sidebar'><p>a</p></article><article id='reply-4'><p>hi</p></article></main>", [(0, "a"), (2, "hi")]),
     ("</p></div>a<script>b</script><style>c</style><!-- d -->&amp;&#x41;&nbsp;", [(1, "a&A")]),
 ])
 def test_html_blocks(html, want):
     assert html_text.parse(html) == want
 
 
+@pytest.mark.parametrize("html", ["<b>" * 50_000 + "<p>" * 50_000 + "x", "<div>" * 100_000 + "</i>" * 100_000 + "x", "<ul><li>" * 50_000 + "</p>" * 50_000 + "x", "<article>" * 50_000 + "</div>" * 50_000 + "x"])
+def test_nested_html_is_parsed_in_linear_time(html):
+    start = time.perf_counter()
+    assert [t for _, t in html_text.parse(html)] == ["x"]
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("slice_pages", [1, 2, 2_000])
+def test_articles_at_several_addresses_keep_their_text(spark, prose, slice_pages):
+    """Equal pages are one page: their text is unique, and what other pages share still goes."""
+    menu = "<div>Start page Contact us Imprint and more links</div>"
+    text = [prose(40, i) for i in range(5)]
+    rows = [(i, f"http://h.example/{i}", f"{menu}<p>{text[min(i, 4)]}</p>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), slice_pages=slice_pages).collect()}
+    assert got == {i: text[min(i, 4)] for i in range(40)}
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"{'ab' * 14}{i:04x} {'Qz7' * 9}{i}" for i in range(20_000))
+    base = secrets.base_spans(text)
+    start = time.perf_counter()
+    found = secrets.candidates(text, base)
+    assert len(base) == 20_000 and len(found) == 20_000 and time.perf_counter() - start < 20
+    assert not {a for a, *_ in found} & {a for _, a, _ in base}
+
+
 def test_suffix_array_by_sorting():
     rng = np.random.default_rng(4)
     for n, k in ((1, 2), (50, 2), (200, 3), (64, 1)):
@@ -620,7 +649,8 @@ def test_html_of_open_pages_by_brute_force(spark, sf):
     for host in range(3):
         ids = pages.page_id[host::3].tolist()
         flat = {i: [w for b in streams[i] for w in b] for i in ids}
-        n = Counter(g for i in ids for g in {tuple(flat[i][k : k + 5]) for k in range(len(flat[i]) - 4)})
+        # Pages of one content count once.
+        n = Counter(g for f in {tuple(map(tuple, streams[i])): flat[i] for i in ids}.values() for g in {tuple(f[k : k + 5]) for k in range(len(f) - 4)})
         for i in ids:
             gone = [any(n.get(tuple(flat[i][k : k + 5]), 0) >= 3 for k in range(max(0, j - 4), j + 1) if k + 5 <= len(flat[i])) for j in range(len(flat[i]))]
             at, kept = 0, []
