@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import faces as FA
 from ..operators import joins as J
 from ..operators import lattice as L
 from ..operators import masks as K
@@ -100,3 +101,16 @@ def _(s, d):
 def _(s, d):
     m = T.cls(s, d).select(F.floor(F.col("row") / 5).alias("point"), F.floor(F.col("col") / 9).alias("mask"), (F.col("cls") == 1).alias("good"), (F.col("cls") < 3).cast("int").alias("score"))
     return K.choose_mask(m, 0.2).select("point", "mask", r6("good"))
+
+
+@query("ge17_faces")
+def _(s, d):
+    faces, _ = FA.polygonise(T.cls(s, d), "cls", 0.75)
+    return faces.select("face", "cls", r6("area"), "n_cells")
+
+
+@query("ge17_area_by_class", sql("cls", "SELECT cls, CAST(count(*) AS DOUBLE) AS area, count(*) AS n_cells FROM cls GROUP BY cls"))
+def _(s, d):
+    faces, chains = FA.polygonise(T.cls(s, d), "cls")
+    ring = FA.face_rings(chains).groupBy("face").agg(F.sum("area").alias("ring_area"))
+    return faces.join(ring, "face").groupBy("cls").agg(F.round(F.sum("ring_area"), 6).alias("area"), F.sum("n_cells").alias("n_cells"))

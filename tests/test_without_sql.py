@@ -120,6 +120,14 @@ def chains_check(spark, sf, got):
         assert (r.x0, r.y0) == (r.x1, r.y1) or degree[int(r.x0), int(r.y0)] != 0 and r.n >= 2
 
 
+def faces_check(spark, sf, got):
+    """Faces cover the grid once, no class has an area without cells, and every face has a cell of its own name in it or beside it."""
+    grid = cells(T.cls(spark, sf).toPandas(), "cls")
+    assert abs(got.area.sum() - len(grid)) < 1e-3 and got.n_cells.sum() <= len(grid) and got.n_cells.sum() >= 0.97 * len(grid)
+    assert got.face.is_unique and set(got.cls) <= set(grid.values())
+    assert all((int(f) >> 31, int(f) & ((1 << 31) - 1)) in grid for f in got.face)
+
+
 def brute_flood(z: dict) -> dict:
     """The smallest highest cell on a way to the edge, by relaxation until nothing falls."""
     w = {p: v if any((p[0] + a, p[1] + b) not in z for a, b in EIGHT) else float("inf") for p, v in z.items()}
@@ -408,7 +416,7 @@ def smooth_check(spark, sf, got):
 
 CHECKS = {
     "ge13_majority_sieve": sieve_check, "ge14_structural_sieve": structural_check, "ge15_sieve_within_group": group_sieve_check, "ge21_topology_correction": correct_check,
-    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "m18_breached_flow": breached_check, "ge18_tiled_majority_sieve": sieve_check, "ge17_shared_boundaries": chains_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
+    "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "m18_breached_flow": breached_check, "ge18_tiled_majority_sieve": sieve_check, "ge17_shared_boundaries": chains_check, "ge17_faces": faces_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
     "m31_chi2_of_layers": chi2_check, "ml1_spatial_folds": folds_check("id"), "ml2_grouped_folds": folds_check("polygon_id"), "ml10_quadratic_discriminant": qda_check, "m30_parametric_fit": fit_check,
     "ml7_random_forest": valid_classes("class_name", "pred"), "ml8_boosted_trees": valid_classes("pa", "pred"), "ml8_boosted_classes": valid_classes("class_name", "pred"), "ml9_elastic_net": valid_classes("class_name", "pred"),
     "ml13_balanced_glm": valid_scores("p"), "ml14_maxent": valid_scores("suit"), "ml12_kernel_machine": valid_scores("p"), "ml5_grid_search": search_check, "ml16_permutation_importance": importance_check, "ml17_class_importance": class_importance_check,
