@@ -7,20 +7,17 @@ import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file's start that are looked at on the driver.
-SNIFF = 65_536
+#: Lines of a file's start that delimiters are counted in.
+SNIFF = 200
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(encoding, delimiter) of a delimited file, from its first bytes: UTF-8 if they decode, else Windows-1251; of , ; tab and | the one that most lines have equally often."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SNIFF).alias("head")).first()
-    raw = bytes(head["head"]) if head else b""
-    raw = raw[: raw.rfind(b"\n") + 1] or raw if len(raw) == SNIFF else raw
-    try:
-        text, encoding = raw.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = raw.decode("cp1251", "replace"), "windows-1251"
-    rows = [r for r in text.splitlines() if r.strip()][:200]
+    """(encoding, delimiter) of delimited text: UTF-8 if all lines decode, else Windows-1251; of , ; tab and | the one that most of the first lines have equally often. Every line is looked at, in Spark's tasks."""
+    lines = spark.read.text(path)
+    encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "windows-1251"
+    raw = b"\n".join(bytes(r[0]) for r in lines.select(F.col("value").cast("binary")).take(SNIFF))
+    text = raw.decode("utf-8-sig") if encoding == "UTF-8" else raw.decode("cp1251", "replace")
+    rows = [r for r in text.splitlines() if r.strip()]
 
     def steady(d: str) -> tuple[int, int]:
         n = [len(r) - 1 for r in csv.reader(rows, delimiter=d)]
@@ -33,9 +30,15 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """A delimited table with a header, all columns text, trimmed; blanks are null."""
     encoding, delimiter = sniff(spark, path)
+    # Spark's reader knows no Windows-1251: such text is read byte by byte as Latin-1, and its upper half put right.
+    if cyrillic := encoding == "windows-1251":
+        encoding = "iso-8859-1"
     df = spark.read.csv(path, sep=delimiter, encoding=encoding, header=True, mode="PERMISSIVE")
-    clean = [c.replace("﻿", "").strip() for c in df.columns]
-    return df.toDF(*clean).select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in clean])
+    upper = bytes(range(128, 256))
+    seen, meant = upper.decode("latin-1"), upper.decode("cp1251", "replace")
+    right = (lambda c: F.translate(c, seen, meant)) if cyrillic else (lambda c: c)
+    clean = [(c.translate(str.maketrans(seen, meant)) if cyrillic else c).replace("﻿", "").strip() for c in df.columns]
+    return df.toDF(*clean).select(*[F.nullif(F.trim(right(F.col(f"`{c}`"))), F.lit("")).alias(c) for c in clean])
 
 
 #: Column names, in lower case, that may hold a class's number and its name.

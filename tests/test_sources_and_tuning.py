@@ -111,3 +111,18 @@ def test_failing_items_are_rows(spark):
     done, failed = tuning.with_errors(spark, items, "id", work, "v long, t string")
     assert sorted((r["item"], r["v"], r["t"]) for r in done.collect()) == sorted((str(i), i * k, "x") for i in range(6) if i != 4 for k in range(2))
     assert [tuple(r) for r in failed.collect()] == [("4", "KeyError: 'broken'")]
+
+
+def test_encoding_is_judged_by_the_whole_file(spark, tmp_path):
+    """One byte that isn't UTF-8, far behind the start, makes the whole table Windows-1251."""
+    from rasterloom.sources.text import read_names, sniff
+
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"code;name\n" + b"".join(b"%d;forest\n" % i for i in range(20_000)) + "20000;лес\n".encode("cp1251"))
+    assert sniff(spark, str(path)) == ("windows-1251", ";")
+    df = read_names(spark, str(path))
+    assert df.count() == 20_001 and df.where("code = 20000").first()["name"] == "лес"
+    path.write_bytes("﻿code,name\n1,лес\n".encode())
+    assert sniff(spark, str(path)) == ("UTF-8", ",") and read_names(spark, str(path)).columns == ["code", "name"]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert sniff(spark, str(tmp_path / "empty.csv"))[0] == "UTF-8"
