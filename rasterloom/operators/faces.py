@@ -8,9 +8,14 @@ simplified once and used by both its faces, so no gap or overlap can arise, what
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..ship import ship
 from ..ship import stored as _shared
@@ -23,6 +28,28 @@ OUTSIDE = -(1 << 63)
 QUARTERS = {(1, 0): 0, (0, 1): 1, (-1, 0): 2, (0, -1): 3}
 
 
+def by_group(df: DataFrame, key: str, make: Callable[[list[dict]], dict], schema: str) -> DataFrame:
+    """One row make(rows) for each key of df. Keys are dealt by hash and come one after another, so thousands of small groups cost no frame each, and a task holds one group and one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if rows and row[key] != rows[0][key]:
+                    out.append(make(rows))
+                    rows = []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kind)
+        if rows:
+            yield pa.RecordBatch.from_pylist([make(rows)], kind)
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    ship(df.sparkSession)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def border_edges(cells: DataFrame, face: str = "comp") -> DataFrame:
     """(left, right, x1, y1, x2, y2) of cells(row, col, face): each side between two faces once, the smaller face to its left; sides of the grid have OUTSIDE to their right."""
 
@@ -48,8 +75,6 @@ def face_chains(grid: DataFrame, cls: str, tolerance: float = 0.0) -> tuple[Data
     over, keep their corners, which is looked at again until no such face is left. A chain is walked in one task;
     borders between the same two faces end where a third face is met.
     """
-    import pandas as pd
-
     cells = _shared(cell_components(grid.select("row", "col", cls), cls, FOUR), "faces")
     e = _shared(border_edges(cells).withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), "edges")
     ends = e.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select("id", F.col("x2").alias("x"), F.col("y2").alias("y")))
@@ -58,21 +83,19 @@ def face_chains(grid: DataFrame, cls: str, tolerance: float = 0.0) -> tuple[Data
     named = e.join(components(met.where("n = 2").select("a", "b"), e.select("id")), "id").join(nodes, ["x1", "y1"], "left")
     named = named.select(F.col("comp").alias("chain"), "left", "right", "x1", "y1", "x2", "y2", F.col("node").isNotNull().alias("node"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after = {(a, b): (c, d) for a, b, c, d in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False)}
-        from_node = pdf[pdf["node"]]
-        line = [min(zip(from_node["x1"].tolist(), from_node["y1"].tolist()), default=min(after))]
+    def walk(rows: list[dict]) -> dict:
+        after = {(r["x1"], r["y1"]): (r["x2"], r["y2"]) for r in rows}
+        line = [min(((r["x1"], r["y1"]) for r in rows if r["node"]), default=min(after))]
         while (to := after.pop(line[-1], None)) is not None:
             line.append(to)
-        left, right = pdf["left"].iloc[0], pdf["right"].iloc[0]
         corners = peucker(line, 0.0)
-        keep = corners if right == OUTSIDE else peucker(line, tolerance)
+        keep = corners if rows[0]["right"] == OUTSIDE else peucker(line, tolerance)
         way = lambda p, q: QUARTERS[q[0] - p[0], q[1] - p[1]]
-        return pd.DataFrame({"chain": [pdf["chain"].iloc[0]], "left": [left], "right": [right], "first": [way(*line[:2])], "last": [way(*line[-2:])], "points": [[{"x": float(x), "y": float(y)} for x, y in keep]], "corners": [[{"x": float(x), "y": float(y)} for x, y in corners]]})
+        points = lambda k: [{"x": float(x), "y": float(y)} for x, y in k]
+        return {c: rows[0][c] for c in ("chain", "left", "right")} | {"first": way(*line[:2]), "last": way(*line[-2:]), "points": points(keep), "corners": points(corners)}
 
-    ship(grid.sparkSession)
     line = "array<struct<x:double,y:double>>"
-    chains = _shared(named.groupBy("chain").applyInPandas(walk, f"chain long, left long, right long, first int, last int, points {line}, corners {line}"), "chains")
+    chains = _shared(by_group(named, "chain", walk, f"chain long, left long, right long, first int, last int, points {line}, corners {line}"), "chains")
     while tolerance > 0 and not (lost := _shared(face_areas(chains).where(F.col("area") <= 1e-9).select("face"), "lost")).isEmpty():
         ends = chains.select("chain", F.explode(F.array("left", "right")).alias("face"))
         again = ends.join(lost, "face", "left_semi").select("chain").distinct().withColumn("again", F.lit(True))
@@ -138,8 +161,6 @@ def face_rings(chains: DataFrame) -> DataFrame:
     ends; where a face touches itself in a corner, the one that turns back around the same cell. Rings are the cycles of
     these steps. A ring's chains are put together in one task.
     """
-    import pandas as pd
-
     back = lambda c: (F.col(c) + 2) % 4
     half = chains.select("chain", F.col("left").alias("face"), "first", "last", "points", F.lit(0).alias("back"))
     half = half.unionByName(chains.where(F.col("right") != OUTSIDE).select("chain", F.col("right").alias("face"), back("last").alias("first"), back("first").alias("last"), F.reverse("points").alias("points"), F.lit(1).alias("back")))
@@ -152,14 +173,13 @@ def face_rings(chains: DataFrame) -> DataFrame:
     ring = components(steps.select(F.col("id").alias("a"), F.col("next").alias("b")), half.select("id"))
     whole = half.join(steps, "id").join(ring, "id").select("face", F.col("comp").alias("ring"), "id", "next", "points")
 
-    def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        after, of = dict(zip(pdf["id"], pdf["next"])), dict(zip(pdf["id"], pdf["points"]))
+    def put(rows: list[dict]) -> dict:
+        after, of = {r["id"]: r["next"] for r in rows}, {r["id"]: r["points"] for r in rows}
         at, line = min(after), []
         while (to := after.pop(at, None)) is not None:
-            line += [(q["x"], q["y"]) for q in of[at][:-1]]
+            line += of[at][:-1]
             at = to
-        area = sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(line, line[1:] + line[:1])) / 2
-        return pd.DataFrame({"face": [pdf["face"].iloc[0]], "ring": [pdf["ring"].iloc[0]], "hole": [area < 0], "area": [area], "points": [[{"x": x, "y": y} for x, y in line]]})
+        area = sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(line, line[1:] + line[:1])) / 2
+        return {"face": rows[0]["face"], "ring": rows[0]["ring"], "hole": area < 0, "area": area, "points": line}
 
-    ship(chains.sparkSession)
-    return whole.groupBy("ring").applyInPandas(put, "face long, ring long, hole boolean, area double, points array<struct<x:double,y:double>>")
+    return by_group(whole, "ring", put, "face long, ring long, hole boolean, area double, points array<struct<x:double,y:double>>")
