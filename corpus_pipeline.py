@@ -15,29 +15,50 @@ from rasterloom.llm.simhash import drop_near_copies
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, with all their columns.
+
+    Null and empty texts are scored as empty ones; very long texts whole. Rows that repeat doc_id and text go or stay
+    together. A score of just the threshold (a tie) stays; without usable labels all do. An empty table gives none.
+    """
     scored = score_documents(docs, table(spark, sf_dir, "labels"))
     return without(docs, stored(scored.where("predicted = 0").select("k1", "k2"), "rejected"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest doc_id."""
+    """One document of each group of equal texts, the one with the smallest doc_id, with all its columns.
+
+    A null text is equal to an empty one; very long texts are compared whole. A null doc_id stays only where all of the
+    group are null. Of rows that repeat doc_id and text, or tie in doc_id, one stays. An empty table gives none.
+    """
     return drop_copies(docs)
 
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id, with all its columns.
+
+    Null and empty texts have fingerprint zero and are one group; very long texts are read whole. A null doc_id stays
+    only where all of the group are null. Of rows that repeat or tie in doc_id one stays. An empty table gives none.
+    """
     return drop_near_copies(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, with all their columns.
+
+    Null and empty texts have no words and stay; very long texts are searched whole. Rows that repeat doc_id and text go
+    or stay together, so ties don't arise. Without items all stay; an empty table gives none.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, stored(found.where("contaminated").select("k1", "k2"), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document with the words taken of it."""
+    """The mix: (doc_id, size, source, source_size, target, taken), each document with the words taken of it.
+
+    A null text has size 0 and nothing taken; a null source is a source of its own, and a null doc_id is drawn like any
+    other. Very long texts count whole. Ties go by doc_id, then by the text; rows that repeat take turns. Other columns
+    are dropped; an empty table gives none.
+    """
     return mix(docs)
 
 
