@@ -99,19 +99,12 @@ def discriminant(df: DataFrame, cols: list[str], cls: str, kind: str = "lda", sh
     return df.withColumn("pred", -F.array_max(F.array(*score))["c"])
 
 
-def nearest_neighbours(train: DataFrame, test: DataFrame, cols: list[str], cls: str, k: int, blocks: int = 16) -> DataFrame:
-    """(id, pred): the majority of the k nearest training rows; ties: the smaller class.
+def nearest_neighbours(train: DataFrame, test: DataFrame, cols: list[str], cls: str, k: int) -> DataFrame:
+    """(id, pred): the majority of the k nearest training rows by the k-d search of neighbours.py; ties: the smaller class."""
+    from . import neighbours as N
 
-    Test rows meet the training rows block by block: a block's k nearest are kept before all blocks' are compared, so a
-    test row's candidates are never gathered whole.
-    """
-    t = train.select(F.col("id").alias("_i"), F.col(cls).alias("_c"), *[F.col(c).alias(f"_{c}") for c in cols], F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
-    q = test.select("id", *cols).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = F.sqrt(reduce(Column.__add__, [(F.col(c) - F.col(f"_{c}")) ** 2 for c in cols]))
-    p = q.join(t, "_b").select("id", "_b", "_i", "_c", F.round(d, 9).alias("_d"))
-    near = lambda df, by: df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_d", "_i"))).where(F.col("_n") <= k).drop("_n")
-    best = near(near(p, ["id", "_b"]), ["id"])
-    return best.groupBy("id", "_c").count().groupBy("id").agg(F.min_by("_c", F.struct(-F.col("count"), F.col("_c"))).alias("pred"))
+    near = N.search(test, N.index(train, cols, k), cols)
+    return N.votes(near, train, [k], cls).where("weights = 'uniform'").select("id", "pred")
 
 
 def permuted(df: DataFrame, col: str, reps: int, key: str = "id", seed: int = 42) -> DataFrame:

@@ -332,6 +332,20 @@ def _(s, d):
     return M.nearest_neighbours(b.where("id % 4 <> 0"), b.where("id % 4 = 0"), ["b0", "b1"], "class_name", 5)
 
 
+_NEAR = "p AS (SELECT q.id, t.class_name AS c, round(sqrt((q.b0 - t.b0) ** 2 + (q.b1 - t.b1) ** 2 + (q.b2 - t.b2) ** 2), 9) AS d, t.id AS i FROM bands q JOIN bands t ON q.id % 4 = 0 AND t.id % 4 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, i) AS n, min(d) OVER (PARTITION BY id) AS d0 FROM p), w AS (SELECT id, k, c, count(*) AS n, round(sum(CASE WHEN d0 = 0 THEN CAST(d = 0 AS INT) ELSE 1 / greatest(d, 1e-9) END), 9) AS w FROM r JOIN (SELECT unnest([1, 3, 5, 9]) AS k) ON n <= k GROUP BY 1, 2, 3)"
+
+
+@query("ml11_neighbours_by_k", sql("bands", f"+ {_NEAR} SELECT id, k, 'uniform' AS weights, c AS pred FROM w QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY n DESC, c) = 1 UNION ALL SELECT id, k, 'distance', c FROM w QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY w DESC, c) = 1"))
+def _(s, d):
+    """Every k of a grid and both kinds of weight from one search to the largest k."""
+    from ..operators import neighbours as N
+
+    b, cols = T.bands(s, d), ["b0", "b1", "b2"]
+    train = b.where("id % 4 <> 0")
+    near = N.search(b.where("id % 4 = 0"), N.index(train, cols, 9), cols)
+    return N.votes(near, train, [1, 3, 5, 9], "class_name")
+
+
 _W = [0.8, -0.5, 0.3]
 _LINEAR = "0.8::DOUBLE * b0 - 0.5::DOUBLE * b1 + 0.3::DOUBLE * b2 + 0.1::DOUBLE"
 

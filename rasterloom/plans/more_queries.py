@@ -20,6 +20,7 @@ from ..operators import polygons as PO
 from ..operators import predicates as P
 from ..sources import tables as T
 from ..sources.tables import sql
+from ..streaming import ledger as S
 from .core_queries import _TOUCHED, r6
 from .grid_queries import _HORN
 
@@ -186,6 +187,13 @@ def _(s, d):
     return e.groupBy("token", "sig").agg(F.max("seq").alias("seq"))
 
 
+@query("ss3_status_stream", "WITH r AS (SELECT CAST(user_id AS VARCHAR) AS token, event_type AS sig, ts, event_id AS seq, CASE WHEN value < 10 THEN 'rejected' ELSE 'ok' END AS status FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY token, sig ORDER BY ts DESC, seq DESC) = 1) SELECT token, sig, seq, status, row_number() OVER (PARTITION BY token ORDER BY ts DESC, seq DESC, sig DESC) = 1 AS current FROM l")
+def _(s, d):
+    """Events as status rows, worked through as a stream with keyed state."""
+    e = T.read(s, d, "events").select(F.col("user_id").cast("string").alias("token"), F.col("event_type").alias("sig"), "ts", F.col("event_id").alias("seq"), F.when(F.col("value") < 10, "rejected").otherwise("ok").alias("status"))
+    return S.replayed_status(e, "1000 days").select("token", "sig", "seq", "status", "current")
+
+
 @query("io20_tile_parts", sql("cls", "SELECT row // 10 AS tile_r, count(*) AS n FROM cls GROUP BY 1"))
 def _(s, d):
     g = T.cls(s, d).withColumn("tile_r", F.floor(F.col("row") / 10).cast("int"))
