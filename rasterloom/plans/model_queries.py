@@ -396,12 +396,13 @@ def _(s, d):
 
 @query("ml8_boosted_classes")
 def _(s, d):
-    from ..operators import tuning as U
+    """Softmax boosting with classes that weigh the same; p is the probability of the class it gives."""
+    from ..operators import boosting as B
 
-    cols = [f"b{i}" for i in range(8)]
-    b = T.bands(s, d)
-    model = U.boosted_classes(b.where("id % 5 <> 0"), cols, "class_name")
-    return model.transform(U.assembled(b.where("id % 5 = 0"), cols)).select("id", "class_name", F.col("pred").cast("int").alias("pred"))
+    cols, b = [f"b{i}" for i in range(8)], T.bands(s, d)
+    train = b.where("id % 5 <> 0")
+    model = B.fit(train, cols, "class_name", rounds=8, weights=B.class_weights(train, "class_name"))
+    return model.transform(b.where("id % 5 = 0")).select("id", "class_name", F.col("pred").cast("int").alias("pred"), F.round(F.array_max("p"), 6).alias("p"))
 
 
 @query("ml15_averaged_scores", sql("bands", "SELECT id, round((0.7::DOUBLE / (1 + exp(-b0)) + CASE WHEN id % 3 = 0 THEN 0 ELSE 0.3::DOUBLE / (1 + exp(-b1)) END) / (0.7::DOUBLE + CASE WHEN id % 3 = 0 THEN 0 ELSE 0.3::DOUBLE END), 6) AS score FROM bands"))
