@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codes import signature
+from ..operators import additive as AD
 from ..operators import aggregates as A
 from ..operators import focal as FO
 from ..operators import geometry as G
@@ -181,6 +182,14 @@ def _(s, d):
     return M.smooth_fit(T.read(s, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1e4).alias("y")))
 
 
+@query("ml19_additive_response")
+def _(s, d):
+    """Curves of a binary class over three predictors at once, with intervals, on the logit scale."""
+    b, cols = T.bands(s, d).withColumn("pa", (F.col("class_name") < 3).cast("int")), ["b0", "b1", "b2"]
+    c = AD.response(b, AD.fit(b, cols, "pa", "binomial"))
+    return c.select("feature", "i", *[r6(x) for x in ("value", "fit", "low", "high")])
+
+
 @query("ss3_last_status", "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS token, event_type AS sig, event_id FROM events) SELECT token, sig, max(event_id) AS seq FROM e GROUP BY 1, 2")
 def _(s, d):
     e = T.read(s, d, "events").select(F.col("user_id").cast("string").alias("token"), F.col("event_type").alias("sig"), F.col("event_id").alias("seq"))

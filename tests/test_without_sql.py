@@ -414,13 +414,40 @@ def smooth_check(spark, sf, got):
     assert len(got) == 50 and np.allclose(got.fit, hats(got.x.to_numpy()) @ w, atol=1e-6) and (got.se > 0).all()
 
 
+def additive_check(spark, sf, got):
+    """The penalised likelihood on the rows themselves, at the smoothing chosen, has its highest point there: its gradient is zero."""
+    from rasterloom.operators import additive as A
+
+    b = bands(spark, sf)
+    cols, y = ["b0", "b1", "b2"], (b.class_name < 3).to_numpy(float)
+    m = A.fit(spark.createDataFrame(b.assign(pa=y)[[*cols, "pa"]]), cols, "pa", "binomial")
+    x = A.design(m.terms, b[cols].to_numpy(float))
+    p = 1 / (1 + np.exp(-x @ m.beta))
+    grad, at, xx = x.T @ (y - p), 1, x.T @ (x * (p * (1 - p))[:, None])
+    for lam, t in zip(m.smooth, m.terms):
+        own = slice(at, at + t.size)
+        grad[own] -= lam * np.trace(xx[own, own]) / np.trace(t.penalty()) * t.penalty() @ m.beta[own]
+        at += t.size
+    assert np.abs(grad).max() < 1e-2 and len(got) == 150 and (got.low <= got.fit).all() and (got.fit <= got.high).all()
+    for j, c in enumerate(cols):
+        g = got[got.feature == c].sort_values("i")
+        assert np.allclose(g.fit, m.curve(j, g.value.to_numpy())[0], atol=1e-4)
+
+
+def boosted_check(spark, sf, got):
+    """test_boosting.py holds the trees to one loop; here each held-out row has one class of the training rows, at no less than an even chance."""
+    b = bands(spark, sf)
+    assert sorted(got.id) == sorted(b.id[b.id % 5 == 0]) and set(got.pred) <= set(b.class_name)
+    assert got.p.between(1 / b.class_name.nunique() - 1e-6, 1).all()
+
+
 CHECKS = {
     "ge13_majority_sieve": sieve_check, "ge14_structural_sieve": structural_check, "ge15_sieve_within_group": group_sieve_check, "ge21_topology_correction": correct_check,
     "ge22_gap_fill": gap_fill_check, "ge18_tiled_sieve": tiled_check, "m18_filled_flow": filled_check, "m18_breached_flow": breached_check, "ge18_tiled_majority_sieve": sieve_check, "ge17_shared_boundaries": chains_check, "ge17_faces": faces_check, "ge8c_leaders": leaders_check, "ge8b_split_groups": split_check, "ge8d_chip_plan": plan_check, "ge2_utm": utm_check,
     "m31_chi2_of_layers": chi2_check, "ml1_spatial_folds": folds_check("id"), "ml2_grouped_folds": folds_check("polygon_id"), "ml10_quadratic_discriminant": qda_check, "m30_parametric_fit": fit_check,
-    "ml7_random_forest": valid_classes("class_name", "pred"), "ml8_boosted_trees": valid_classes("pa", "pred"), "ml8_boosted_classes": valid_classes("class_name", "pred"), "ml9_elastic_net": valid_classes("class_name", "pred"),
+    "ml7_random_forest": valid_classes("class_name", "pred"), "ml8_boosted_trees": valid_classes("pa", "pred"), "ml8_boosted_classes": boosted_check, "ml9_elastic_net": valid_classes("class_name", "pred"),
     "ml13_balanced_glm": valid_scores("p"), "ml14_maxent": valid_scores("suit"), "ml12_kernel_machine": valid_scores("p"), "ml5_grid_search": search_check, "ml16_permutation_importance": importance_check, "ml17_class_importance": class_importance_check,
-    "ml20_class_map": map_check, "ml19_smooth_response": smooth_check,
+    "ml20_class_map": map_check, "ml19_smooth_response": smooth_check, "ml19_additive_response": additive_check,
 }
 
 
