@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -19,6 +20,8 @@ from ..operators import lattice as L
 from ..operators import models as M
 from ..operators import polygons as PO
 from ..operators import predicates as P
+from ..ship import shared_folder, stored
+from ..sources import geotiff, rastertable
 from ..sources import tables as T
 from ..sources.tables import sql
 from ..streaming import ledger as S
@@ -182,6 +185,24 @@ def _(s, d):
     return M.smooth_fit(T.read(s, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1e4).alias("y")))
 
 
+_RASTERS = "g AS (SELECT year(o_orderdate) AS year, o_custkey // 25 AS row, o_custkey % 25 AS col, o_orderstatus AS band, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3, 4)"
+
+
+@query("io25_raster_catalogue", f"WITH {_RASTERS} SELECT 'mean' AS model, CAST(year AS INT) AS year, band, col + 0.5::DOUBLE AS x, -(row + 0.5::DOUBLE) AS y, round(v, 4) AS value FROM g WHERE year BETWEEN 1994 AND 1996 AND band IN ('F', 'P') AND col + 0.5::DOUBLE > 4 AND -(row + 0.5::DOUBLE) <= -2")
+def _(s, d):
+    """A raster for each year is written, and the folder read as a table, of which filters leave some years, bands and blocks."""
+    o = T.read(s, d, "orders")
+    g = o.groupBy(F.year("o_orderdate").alias("year"), F.floor(F.col("o_custkey") / 25).cast("int").alias("row"), (F.col("o_custkey") % 25).cast("int").alias("col")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    geotiff.register(s)
+    rastertable.register(s)
+    g, root = stored(g, "rasters"), f"{shared_folder(s)}/rasters/{uuid.uuid4().hex}"
+    for r in g.select("year").distinct().where("year IS NOT NULL").collect():  # a row for each year
+        one = g.where(F.col("year") == r["year"]).drop("year").repartitionByRange("row").sortWithinPartitions("row", "col")
+        one.write.format("plaintiff").mode("append").save(f"{root}/model=mean/year={r['year']}")
+    t = s.read.format("rastertable").load(root).where("year BETWEEN 1994 AND 1996 AND band IN ('F', 'P') AND x > 4 AND y <= -2")
+    return t.select("model", "year", "band", "x", "y", F.round("value", 4).alias("value"))
+
+
 @query("ml19_additive_response")
 def _(s, d):
     """Curves of a binary class over three predictors at once, with intervals, on the logit scale."""

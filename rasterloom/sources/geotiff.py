@@ -114,6 +114,21 @@ def unpacked(raw: bytes, compression: int) -> bytes:
     return raw
 
 
+def decoded(f, h: Header, part: tuple) -> np.ndarray:
+    """A strip or tile as doubles by (row, col, band), cut to the raster; nodata is NaN."""
+    at, n, row, col, bh, bw, band = part
+    f.seek(at)
+    depth = h.bands if band < 0 else 1
+    a = np.frombuffer(unpacked(f.read(n), h.one(COMPRESSION, 1)), h.dtype)
+    a = a.reshape(len(a) // (bw * depth), bw, depth)
+    if h.one(PREDICTOR, 1) == 2:
+        a = np.cumsum(a, axis=1, dtype=a.dtype)
+    a = a[: min(len(a), h.one(HEIGHT) - row), : min(bw, h.one(WIDTH) - col)].astype(np.float64)
+    if h.nodata is not None:
+        a[a == h.nodata] = np.nan
+    return a
+
+
 @dataclass
 class Block(InputPartition):
     path: str
@@ -138,23 +153,12 @@ class Reader(DataSourceReader):
     def read(self, partition: Block) -> Iterator:
         import pyarrow as pa
 
-        h = partition.header
-        w, rows, data = h.one(WIDTH), None, []
+        h, rows, data = partition.header, None, []
         with open(partition.path, "rb") as f:
-            for at, n, row, col, bh, bw, band in partition.parts:
-                f.seek(at)
-                depth = h.bands if band < 0 else 1
-                a = np.frombuffer(unpacked(f.read(n), h.one(COMPRESSION, 1)), h.dtype)
-                bh = len(a) // (bw * depth)
-                a = a.reshape(bh, bw, depth)
-                if h.one(PREDICTOR, 1) == 2:
-                    a = np.cumsum(a, axis=1, dtype=a.dtype)
-                inside = (slice(0, min(bh, h.one(HEIGHT) - row)), slice(0, min(bw, w - col)))
-                a = a[inside].astype(np.float64)
-                if h.nodata is not None:
-                    a[a == h.nodata] = np.nan
-                rows = rows or (row, col, a.shape[0], a.shape[1])
-                data += [a[:, :, i].ravel() for i in range(depth)]
+            for part in partition.parts:
+                a = decoded(f, h, part)
+                rows = rows or (part[2], part[3], a.shape[0], a.shape[1])
+                data += [a[:, :, i].ravel() for i in range(a.shape[2])]
         r, c, bh, bw = rows
         cells = [np.repeat(np.arange(r, r + bh, dtype=np.int32), bw), np.tile(np.arange(c, c + bw, dtype=np.int32), bh)]
         yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells), *(pa.array(x, from_pandas=True) for x in data)], ["row", "col", *h.names])
