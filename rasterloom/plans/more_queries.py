@@ -16,6 +16,7 @@ from ..operators import aggregates as A
 from ..operators import focal as FO
 from ..operators import geometry as G
 from ..operators import joins as J
+from ..operators import kernel as K
 from ..operators import lattice as L
 from ..operators import models as M
 from ..operators import polygons as PO
@@ -150,13 +151,10 @@ def _(s, d):
 
 @query("ml12_kernel_machine")
 def _(s, d):
-    """A radial kernel by random Fourier features of fixed seed, then a logistic model."""
-    cols, k = ["b0", "b1", "b2", "b3"], 24
-    rng = np.random.default_rng(42)
-    w, b = rng.normal(0, 1.0, (k, len(cols))), rng.uniform(0, 2 * math.pi, k)
+    """A radial kernel through landmarks, hinge loss, and probabilities from held-out folds."""
     g = T.bands(s, d).withColumn("pa", (F.col("class_name") < 3).cast("int"))
-    g = g.withColumns({f"f{i}": F.cos(reduce(Column.__add__, [F.col(c) * float(x) for c, x in zip(cols, w[i])]) + float(b[i])) * math.sqrt(2 / k) for i in range(k)})
-    return M.fit_logistic(g, [f"f{i}" for i in range(k)], "pa", reg=0.01)[1].select("id", "pa", "p")
+    model = K.fit(g, ["b0", "b1", "b2", "b3"], "pa", landmarks=32)
+    return model.transform(g).select("id", "pa", F.round(F.col("p")[1], 6).alias("p"))
 
 
 @query("ml17_class_importance")
