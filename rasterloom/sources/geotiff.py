@@ -3,16 +3,19 @@
 spark.read.format("plaintiff").load(path) gives (row, col, one double column per band); nodata and NaN are null. A
 partition is a strip or tile of a file, so one raster is read by many tasks. Reads little- and big-endian classic and
 BigTIFF files with integer or float samples, chunky or planar, uncompressed, Deflate or ZSTD, with
-predictor 1 or 2. Writing makes one uncompressed, chunky file of 64-bit floats per partition of whole rows.
+predictor 1 or 2. Writing makes one uncompressed, chunky file of 64-bit floats per partition, strip by strip.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from xml.sax.saxutils import escape, unescape
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -23,6 +26,9 @@ TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, BANDS, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, METADATA, NODATA = 33550, 33922, 42112, 42113
 
+#: Raster rows to a strip that is written.
+STRIP_ROWS = 16
+
 
 @dataclass
 class Header:
@@ -54,7 +60,7 @@ class Header:
         from ..operators.predicates import unique_names
 
         found = dict(re.findall(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)</Item>', self.tags.get(METADATA, ("",))[0]))
-        return unique_names([found.get(str(i)) or f"band{i + 1}" for i in range(self.bands)])
+        return unique_names([unescape(found.get(str(i), "")) or f"band{i + 1}" for i in range(self.bands)])
 
     def transform(self) -> tuple[float, float, float, float]:
         """x0, y0, pixel width and height."""
@@ -166,48 +172,119 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
-
-
-def encode(rows: list, names: list[str], x0: float, y0: float, size: float, nodata: float = -9999.0) -> bytes:
-    """One file for rows of (row, col, bands..); its first row and column are the smallest there are."""
-    r0, c0 = min(r[0] for r in rows), min(r[1] for r in rows)
-    h, w, k = max(r[0] for r in rows) - r0 + 1, max(r[1] for r in rows) - c0 + 1, len(names)
-    a = np.full((h, w, k), nodata)
-    for r in rows:
-        a[r[0] - r0, r[1] - c0] = [nodata if v is None or v != v else v for v in r[2:]]
-    meta = "<GDALMetadata>" + "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{n}</Item>' for i, n in enumerate(names)) + "</GDALMetadata>\0"
-    fields = [(WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [64] * k), (COMPRESSION, "H", [1]), (262, "H", [1]), (STRIPS, "I", [8]), (BANDS, "H", [k]), (ROWS, "I", [h]), (STRIP_BYTES, "I", [a.nbytes]), (PLANAR, "H", [1]), (FORMAT, "H", [3] * k),
+    """A finished file that isn't published yet, and its name to be; both empty for a task without rows."""
+
+    held: str
+    name: str
+
+
+class Spool:
+    """Rows (row, col, bands..) in any order, kept in a file by strips of rows, so memory holds one buffer and one strip."""
+
+    def __init__(self, path: str, bands: int, buffer: int = 65_536):
+        self.f, self.bands, self.buffer = open(path, "w+b"), bands, buffer
+        self.at: dict[int, list[tuple[int, int]]] = {}
+        self.low, self.high = np.full(2, np.iinfo(np.int64).max), np.full(2, np.iinfo(np.int64).min)
+
+    def fill(self, rows: Iterator) -> None:
+        while part := list(itertools.islice(rows, self.buffer)):
+            cells = np.array([r[:2] for r in part], dtype=np.int64)
+            values = np.array([[np.nan if v is None else v for v in r[2:]] for r in part], dtype="<f8").reshape(len(part), self.bands)
+            self.low, self.high = np.minimum(self.low, cells.min(0)), np.maximum(self.high, cells.max(0))
+            strip = cells[:, 0] // STRIP_ROWS
+            order = np.argsort(strip, kind="stable")
+            for rows_of in np.split(order, np.flatnonzero(np.diff(strip[order])) + 1):
+                self.at.setdefault(int(strip[rows_of[0]]), []).append((self.f.seek(0, os.SEEK_END), len(rows_of)))
+                self.f.write(cells[rows_of].astype("<i8").tobytes() + values[rows_of].tobytes())
+
+    def strips(self, nodata: float) -> Iterator[np.ndarray]:
+        """From the first row on, at most STRIP_ROWS rows each, by (row, col, band); a cell given twice has its last values."""
+        r0, c0, r1, width = *map(int, self.low), int(self.high[0]), int(self.high[1] - self.low[1]) + 1
+        for first in range(r0, r1 + 1, STRIP_ROWS):
+            last = min(first + STRIP_ROWS - 1, r1)
+            a = np.full((last - first + 1, width, self.bands), nodata, dtype="<f8")
+            for k in range(first // STRIP_ROWS, last // STRIP_ROWS + 1):
+                for at, n in self.at.get(k, ()):
+                    self.f.seek(at)
+                    cells = np.frombuffer(self.f.read(n * 16), "<i8").reshape(n, 2)
+                    values = np.frombuffer(self.f.read(n * 8 * self.bands), "<f8").reshape(n, self.bands)
+                    own = (cells[:, 0] >= first) & (cells[:, 0] <= last)
+                    a[cells[own, 0] - first, cells[own, 1] - c0] = np.where(np.isnan(values[own]), nodata, values[own])
+            yield a
+
+
+def encode(spool: Spool, out, names: list[str], x0: float, y0: float, size: float, nodata: float = -9999.0, big: bool | None = None) -> None:
+    """Writes a spool's rows to the file `out`, strip by strip; with 64-bit offsets where the file may pass 4 GiB, or if big."""
+    (r0, c0), (h, w), k = map(int, spool.low), map(int, spool.high - spool.low + 1), len(names)
+    n = -(-h // STRIP_ROWS)
+    big = big if big is not None else h * w * k * 8 + 64 * n + (1 << 20) >= 1 << 32
+    out.write(b"II" + struct.pack("<HHHQ", 43, 8, 0, 0) if big else b"II" + struct.pack("<HI", 42, 0))
+    at, sizes = [], []
+    for a in spool.strips(nodata):
+        at.append(out.tell())
+        sizes.append(out.write(a.tobytes()))
+    meta = "<GDALMetadata>" + "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{escape(name)}</Item>' for i, name in enumerate(names)) + "</GDALMetadata>\0"
+    place = "Q" if big else "I"
+    fields = [(WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [64] * k), (COMPRESSION, "H", [1]), (262, "H", [1]), (STRIPS, place, at), (BANDS, "H", [k]), (ROWS, "I", [STRIP_ROWS]), (STRIP_BYTES, place, sizes), (PLANAR, "H", [1]), (FORMAT, "H", [3] * k),
               (SCALE, "d", [size, size, 0.0]), (TIEPOINT, "d", [0.0, 0.0, 0.0, x0 + c0 * size, y0 - r0 * size, 0.0]), (METADATA, "s", meta.encode()), (NODATA, "s", f"{nodata}\0".encode())]
-    start = 8 + a.nbytes
-    more, entries, at = b"", b"", start + 2 + 12 * len(fields) + 4
+    start, more, entries = out.tell(), b"", b""
+    room, after = (8, start + 8 + 20 * len(fields) + 8) if big else (4, start + 2 + 12 * len(fields) + 4)
     for tag, code, v in fields:
         raw = v if code == "s" else struct.pack(f"<{len(v)}{code}", *v)
-        kind = {"I": 4, "H": 3, "d": 12, "s": 2}[code]
-        if len(raw) <= 4:
-            value = raw.ljust(4, b"\0")
+        kind = {"I": 4, "H": 3, "d": 12, "s": 2, "Q": 16}[code]
+        if len(raw) <= room:
+            value = raw.ljust(room, b"\0")
         else:
-            value, more = struct.pack("<I", at + len(more)), more + raw
-        entries += struct.pack("<HHI", tag, kind, len(v)) + value
-    return b"II*\0" + struct.pack("<I", start) + a.astype("<f8").tobytes() + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + more
+            value, more = struct.pack("<" + place, after + len(more)), more + raw
+        entries += struct.pack("<HH" + place, tag, kind, len(v)) + value
+    out.write(struct.pack("<Q" if big else "<H", len(fields)) + entries + b"\0" * room + more)
+    out.seek(8 if big else 4)
+    out.write(struct.pack("<" + place, start))
 
 
 class Writer(DataSourceWriter):
+    """Each task writes its file under a hidden name; files are published when all tasks are done, and taken away if one fails for good."""
+
     def __init__(self, path: str, schema: StructType, options: dict):
-        self.path, self.names = path, [f.name for f in schema][2:]
+        self.path, self.names, self.run = path, [f.name for f in schema][2:], uuid.uuid4().hex
         self.x0, self.y0, self.size = (float(options.get(k, d)) for k, d in (("x0", 0), ("y0", 0), ("size", 1)))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        part = [tuple(r) for r in rows]
-        name = f"{self.path}/part-{TaskContext.get().partitionId():05d}.tif"
-        if part:
-            os.makedirs(self.path, exist_ok=True)
-            with open(f"{name}.tmp", "wb") as f:
-                f.write(encode(part, self.names, self.x0, self.y0, self.size))
-            os.replace(f"{name}.tmp", name)
-        return Written(name)
+        task = TaskContext.get()
+        os.makedirs(self.path, exist_ok=True)
+        held = f"{self.path}/.{self.run}-{task.taskAttemptId()}"
+        spool = Spool(f"{held}.spool", len(self.names))
+        try:
+            spool.fill(iter(rows))
+            if not spool.at:
+                return Written("", "")
+            with open(held, "wb") as f:
+                encode(spool, f, self.names, self.x0, self.y0, self.size)
+        except BaseException:
+            if os.path.exists(held):
+                os.remove(held)
+            raise
+        finally:
+            spool.f.close()
+            os.remove(f"{held}.spool")
+        return Written(held, f"{self.path}/part-{task.partitionId():05d}.tif")
+
+    def commit(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and m.held:
+                os.replace(m.held, m.name)
+        self._sweep()
+
+    def abort(self, messages: list) -> None:
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Takes away what this run's tasks, repeated ones too, have left under hidden names."""
+        for x in os.listdir(self.path) if os.path.isdir(self.path) else ():
+            if x.startswith(f".{self.run}-"):
+                os.remove(os.path.join(self.path, x))
 
 
 class PlainTiff(DataSource):
