@@ -108,7 +108,7 @@ def index(train: DataFrame, cols: list[str], k: int, key: str = "id", per_box: i
     want = boxes * SAMPLED
     picked = rows.select(*xs) if n <= want else rows.select(*xs).where(F.pmod(F.xxhash64("_i"), F.lit(1 << 20)) < int(np.ceil(want / n * (1 << 20)))).limit(2 * want)
     tree = grow(picked.toPandas().to_numpy(float).reshape(-1, len(xs)), boxes)
-    rows = stored(in_boxes(rows, xs, tree).repartition("_box"), "neighbours")
+    rows = stored(in_boxes(rows, xs, tree), "neighbours")
     ends = [f(x).alias(f"{f.__name__}{x}") for x in xs for f in (F.min, F.max)]
     b = rows.groupBy("_box").agg(F.count(F.lit(1)).alias("n"), *ends).orderBy("_box").toPandas()  # a row for each box
     corner = lambda f: b[[f"{f}{x}" for x in xs]].to_numpy(float)
