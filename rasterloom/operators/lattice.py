@@ -145,33 +145,41 @@ def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: float | N
 
     Two separable passes, whatever the holes' size. Along columns a window gives each row that has holes the nearest
     value above or below. Along rows each hole looks at columns ever farther off, until they are farther than what it
-    has. A group of the second pass is one row of the raster.
+    has. A group of the second pass is a band of rows, 256 at most and fewer where rows are long. Both windows run from
+    their partition's start, so their work grows with the rows.
     """
     valued = _shared(grid.where(F.col(value).isNotNull()).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value), "valued")
     holes = _shared(holes.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct().join(valued, ["row", "col"], "left_anti"), "holes")
-    first, last = holes.agg(F.min("row"), F.max("row")).first()
+    first, last, left, right = holes.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
     if first is None:
         return valued
+    ends = valued.agg(F.min("col"), F.max("col")).first()
+    if ends[0] is None:
+        return valued
+    band = max(1, min(256, (1 << 18) // (max(right, ends[1]) - min(left, ends[0]) + 1)))
     kind = valued.schema[value].dataType.simpleString()
     wanted = valued.select("col").distinct().withColumn("row", F.explode(F.sequence(F.lit(first), F.lit(last))))
     wanted = wanted.join(holes.select("row").distinct(), "row", "left_semi").select("row", "col", F.lit(None).cast(kind).alias(value), F.lit(True).alias("_ask"))
     both = valued.withColumn("_ask", F.lit(False)).unionByName(wanted)
     at = F.when(~F.col("_ask"), F.struct("row", value))
     above = F.last(at, True).over(W.partitionBy("col").orderBy("row", "_ask").rowsBetween(W.unboundedPreceding, 0))
-    below = F.first(at, True).over(W.partitionBy("col").orderBy("row", F.desc("_ask")).rowsBetween(0, W.unboundedFollowing))
+    below = F.last(at, True).over(W.partitionBy("col").orderBy(F.desc("row"), "_ask").rowsBetween(W.unboundedPreceding, 0))
     off = lambda x: F.struct(F.abs(F.col("row") - x["row"]).alias("d"), x[value].alias("v"))
     near = both.select("row", "col", "_ask", above.alias("a"), below.alias("b")).where("_ask").withColumn("n", F.least(F.when(F.col("a").isNotNull(), off(F.col("a"))), F.when(F.col("b").isNotNull(), off(F.col("b")))))
     lines = near.select("row", "col", F.col("n.d").alias("d"), F.col("n.v").alias(value), F.lit(False).alias("_hole"))
     lines = lines.unionByName(holes.select("row", "col", F.lit(None).cast("int").alias("d"), F.lit(None).cast(kind).alias(value), F.lit(True).alias("_hole")))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        hole, have = pdf[pdf._hole], pdf[~pdf._hole].sort_values("col")
-        c, c1 = hole.col.to_numpy(np.int64), have.col.to_numpy(np.int64)
+        hole, have = pdf[pdf._hole], pdf[~pdf._hole]
+        if not len(hole) or not len(have):
+            return hole[["row", "col", value]].iloc[:0]
+        r, c, r1, c1 = (x.to_numpy(np.int64) for x in (hole.row, hole.col, have.row, have.col))
         codes, values = pd.factorize(have[value], sort=True)  # the smaller value has the smaller code
-        low, n = min(c.min(), c1.min(), 0), max(c.max(), c1.max()) - min(c.min(), c1.min(), 0) + 1
-        d, code = np.full(n, np.iinfo(np.int64).max // 4), np.full(n, len(values))
-        d[c1 - low], code[c1 - low] = have.d.to_numpy(np.int64) ** 2, codes
-        best, what = d[c - low], code[c - low]
+        top, low = r.min(), min(c.min(), c1.min())
+        n = max(c.max(), c1.max()) - low + 1
+        d, code = (np.full((r.max() - top + 1, n), x, np.int64) for x in (np.iinfo(np.int64).max // 4, len(values)))
+        d[r1 - top, c1 - low], code[r1 - top, c1 - low] = have.d.to_numpy(np.int64) ** 2, codes
+        row, best, what = r - top, d[r - top, c - low], code[r - top, c - low]
         left, k = np.arange(len(c)), 0
         while len(left):
             k += 1
@@ -179,15 +187,14 @@ def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: float | N
             for side in (c[left] - low - k, c[left] - low + k):
                 inside = (side >= 0) & (side < n)
                 i, j = left[inside], side[inside]
-                new, v = d[j] + k * k, code[j]
+                new, v = d[row[i], j] + k * k, code[row[i], j]
                 nearer = (new < best[i]) | ((new == best[i]) & (v < what[i]))
                 best[i[nearer]], what[i[nearer]] = new[nearer], v[nearer]
         out = pd.DataFrame({"row": hole.row, "col": hole.col, value: np.asarray(values)[np.minimum(what, len(values) - 1)]})
         return out if reach is None else out[best <= reach * reach]
 
     ship(lines.sparkSession)
-    with_values = lines.join(lines.where("NOT _hole").select("row").distinct(), "row", "left_semi")
-    return valued.unionByName(_shared(with_values.groupBy("row").applyInPandas(fill, f"row int, col int, {value} {kind}"), "filled"))
+    return valued.unionByName(_shared(lines.groupBy(F.floor(F.col("row") / band).alias("_band")).applyInPandas(fill, f"row int, col int, {value} {kind}"), "filled"))
 
 
 def dissolve(grid: DataFrame, cls: str, mapping: dict[int, int], steps=FOUR) -> DataFrame:
