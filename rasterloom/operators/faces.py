@@ -8,16 +8,11 @@ simplified once and used by both its faces, so no gap or overlap can arise, what
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ..ship import ship
+from ..ship import by_group
 from ..ship import stored as _shared
 from .lattice import FOUR, cell_components, components
 from .polygons import peucker
@@ -28,28 +23,6 @@ OUTSIDE = -(1 << 63)
 QUARTERS = {(1, 0): 0, (0, 1): 1, (-1, 0): 2, (0, -1): 3}
 
 
-def by_group(df: DataFrame, key: str, make: Callable[[list[dict]], dict], schema: str) -> DataFrame:
-    """One row make(rows) for each key of df. Keys are dealt by hash and come one after another, so thousands of small groups cost no frame each, and a task holds one group and one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if rows and row[key] != rows[0][key]:
-                    out.append(make(rows))
-                    rows = []
-                rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, kind)
-        if rows:
-            yield pa.RecordBatch.from_pylist([make(rows)], kind)
-
-    kind = to_arrow_schema(StructType.fromDDL(schema))
-    ship(df.sparkSession)
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 def border_edges(cells: DataFrame, face: str = "comp") -> DataFrame:
     """(left, right, x1, y1, x2, y2) of cells(row, col, face): each side between two faces once, the smaller face to its left; sides of the grid have OUTSIDE to their right."""
 

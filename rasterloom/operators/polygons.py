@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import by_group, ship
 from .lattice import _shared, components
 
 
@@ -54,17 +54,16 @@ def boundary_chains(grid: DataFrame, cls: str) -> DataFrame:
 
 
 def simplified(chains: DataFrame, tolerance: float) -> DataFrame:
-    """(chain, left, right, seq, x, y): each chain in order, simplified once by Douglas-Peucker, so that neighbours stay gap-free. A group is one chain."""
-    import pandas as pd
+    """(chain, left, right, seq, x, y): each chain in order, simplified once by Douglas-Peucker, so that neighbours stay gap-free. Chains come in sorted streams; one chain is walked in one task."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[dict]:
         near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for a, b, c, d in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False):
+        for a, b, c, d in ((r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows):
             near.setdefault((a, b), []).append((c, d))
             near.setdefault((c, d), []).append((a, b))
         start = min((p for p, n in near.items() if len(n) == 1), default=min(near))
         line, last, at = [start], None, start
-        while len(line) <= len(pdf):
+        while len(line) <= len(rows):
             step = next((p for p in sorted(near[at]) if p != last), None)
             if step is None:
                 break
@@ -72,11 +71,10 @@ def simplified(chains: DataFrame, tolerance: float) -> DataFrame:
             line.append(at)
             if at == start:
                 break
-        keep = peucker(line, tolerance)
-        return pd.DataFrame({"chain": pdf.chain.iloc[0], "left": pdf.left.iloc[0], "right": pdf.right.iloc[0], "seq": range(len(keep)), "x": [float(p[0]) for p in keep], "y": [float(p[1]) for p in keep]})
+        same = {c: rows[0][c] for c in ("chain", "left", "right")}
+        return [same | {"seq": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(peucker(line, tolerance))]
 
-    ship(chains.sparkSession)
-    return chains.groupBy("chain").applyInPandas(walk, f"chain long, left {chains.schema['left'].dataType.simpleString()}, right {chains.schema['right'].dataType.simpleString()}, seq int, x double, y double")
+    return by_group(chains, "chain", walk, f"chain long, left {chains.schema['left'].dataType.simpleString()}, right {chains.schema['right'].dataType.simpleString()}, seq int, x double, y double")
 
 
 def peucker(line: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
