@@ -35,9 +35,9 @@ def forward_fill(df: DataFrame, cols: Iterable[str], order: str, by: tuple[str,
 
 
 def best_cut(points: DataFrame, by: str, at: str) -> DataFrame:
-    """(by, cut, saving): where to cut a group along x so that the two boxes cover least. Running extents from both sides."""
+    """(by, cut, saving): where to cut a group along x so that the two boxes cover least. Running extents from both sides, each from its own start, so the work grows with the rows."""
     fore = W.partitionBy(by).orderBy(at, "id").rowsBetween(W.unboundedPreceding, 0)
-    back = W.partitionBy(by).orderBy(at, "id").rowsBetween(1, W.unboundedFollowing)
+    back = W.partitionBy(by).orderBy(F.desc(at), F.desc("id")).rowsBetween(W.unboundedPreceding, -1)
     e = points.select(by, at, "y", *[f(c).over(w).alias(f"{n}_{c}_{s}") for w, s in ((fore, "l"), (back, "r")) for c in (at, "y") for f, n in ((F.min, "lo"), (F.max, "hi"))],
                       *[f(c).over(W.partitionBy(by)).alias(f"{n}_{c}") for c in (at, "y") for f, n in ((F.min, "lo"), (F.max, "hi"))])
     area = lambda s: (F.col(f"hi_{at}{s}") - F.col(f"lo_{at}{s}")) * (F.col(f"hi_y{s}") - F.col(f"lo_y{s}"))
