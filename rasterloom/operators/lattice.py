@@ -6,7 +6,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -310,27 +310,69 @@ def report(cells: DataFrame, extent: DataFrame) -> DataFrame:
     return over.select(F.lit("overlap").alias("what"), "n").unionByName(gap.select(F.lit("gap").alias("what"), "n"))
 
 
+def far_nearest(cells: DataFrame, points: DataFrame, size: int, extent: float) -> DataFrame:
+    """(row, col, id): each cell's nearest point, ties by the smaller id, by descent over boxes of cells and boxes of points.
+
+    Boxes of both sides are cut in four along each axis from level to level, down to `size`. A box of cells goes on with the
+    boxes of points that may hold the nearest one: those no farther than the least greatest distance to any of them.
+    Cells bound their boxes once more on their own and then look at points.
+    """
+
+    def boxes(df: DataFrame, level: int, side: str) -> DataFrame:
+        ends = [f(f"{c}{i}").alias(f"{side}{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))]
+        return df.groupBy(*[F.floor(F.col(f"b{c}") / 4**level).alias(f"{side}{c}") for c in "xy"]).agg(*ends)
+
+    def leaves(df: DataFrame, x: Column, y: Column) -> DataFrame:
+        at = df.select(x.alias("x"), y.alias("y")).select("x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
+        return _shared(at.groupBy("bx", "by").agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))]), "boxes")
+
+    def near(pairs: DataFrame, *by: str) -> DataFrame:
+        apart = lambda c: F.greatest(F.col(f"t{c}0") - F.col(f"n{c}1"), F.col(f"n{c}0") - F.col(f"t{c}1"), F.lit(0.0))
+        over = lambda c: F.greatest(F.col(f"t{c}1") - F.col(f"n{c}0"), F.col(f"n{c}1") - F.col(f"t{c}0"))
+        pairs = pairs.withColumn("_least", apart("x") ** 2 + apart("y") ** 2).withColumn("_bound", F.min(over("x") ** 2 + over("y") ** 2).over(W.partitionBy(*by)))
+        return pairs.where(F.col("_least") <= F.col("_bound") * (1 + 1e-9) + 1e-5)  # distances count to six digits
+
+    cells = cells.select("row", "col", (F.col("col") + 0.5).alias("_x"), (F.col("row") + 0.5).alias("_y"))
+    tiles, nodes = leaves(cells, F.col("_x"), F.col("_y")), leaves(points, F.col("x"), F.col("y"))
+    level, pairs = 0, None
+    while size * 4**level < extent:
+        level += 1
+    while level >= 0:
+        t, n = boxes(tiles, level, "t"), boxes(nodes, level, "n")
+        if pairs is None:  # the whole extent: two boxes along each axis at most
+            met = t.crossJoin(n)
+        else:
+            up = lambda df, s: df.withColumns({f"_{s}{c}": F.floor(F.col(f"{s}{c}") / 4) for c in "xy"})
+            met = pairs.join(up(t, "t"), ["_tx", "_ty"]).join(up(n, "n"), ["_nx", "_ny"])
+        pairs = _shared(near(met, "tx", "ty").select(*[F.col(c).alias(f"_{c}") for c in ("tx", "ty", "nx", "ny")]), "pairs")
+        level -= 1
+    c = cells.select("row", "col", F.floor(F.col("_x") / size).alias("_tx"), F.floor(F.col("_y") / size).alias("_ty"), *[F.col(f"_{c}").alias(f"t{c}{i}") for c in "xy" for i in (0, 1)])
+    asked = c.join(pairs, ["_tx", "_ty"]).join(boxes(nodes, 0, "n").withColumnsRenamed({"nx": "_nx", "ny": "_ny"}), ["_nx", "_ny"])
+    asked = near(asked, "row", "col").select("row", "col", "_nx", "_ny")
+    p = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("_nx"), F.floor(F.col("y") / size).alias("_ny"))
+    d = F.round((F.col("col") + 0.5 - F.col("x")) ** 2 + (F.col("row") + 0.5 - F.col("y")) ** 2, 6)
+    return asked.join(p, ["_nx", "_ny"]).groupBy("row", "col").agg(F.min(F.struct(d.alias("d"), "id")).alias("b")).select("row", "col", F.col("b.id").alias("id"))
+
+
 def split_by_points(cells: DataFrame, points: DataFrame, reach: int = 6) -> DataFrame:
-    """(row, col, id): each cell's nearest point, ties by the smaller id; none if there are no points. A cell looks in blocks of `reach` cells around its own; cells that find none within reach look again with four times the reach."""
+    """(row, col, id): each cell's nearest point, ties by the smaller id; none if there are no points. A cell looks in blocks of `reach` cells around its own; cells that find none within reach descend over boxes of points."""
     ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).unionByName(cells.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).toDF("min(x)", "max(x)", "min(y)", "max(y)")).collect()
     if any(r[0] is None for r in ends):
         return cells.select("row", "col", F.lit(None).cast(points.schema["id"].dataType).alias("id")).limit(0)
     extent = max(max(r[1] for r in ends) - min(r[0] for r in ends), max(r[3] for r in ends) - min(r[2] for r in ends)) + 1
     d = F.round((F.col("col") + 0.5 - F.col("x")) ** 2 + (F.col("row") + 0.5 - F.col("y")) ** 2, 6)
     span = F.sequence(F.lit(-1), F.lit(1))
-    out, rest = None, cells.select("row", "col")
-    while True:
-        p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("_bx"), F.floor(F.col("y") / reach).alias("_by"))
-        spread = p.select("id", "x", "y", "_bx", "_by", F.explode(span).alias("_i")).select("id", "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), "_by", F.explode(span).alias("_j")).select("id", "x", "y", "_bx", (F.col("_by") + F.col("_j")).alias("_by"))
-        c = rest.select("row", "col", F.floor(F.col("col") / reach).cast("long").alias("_bx"), F.floor(F.col("row") / reach).cast("long").alias("_by"))
-        near = c.join(spread, ["_bx", "_by"]).withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
-        # Beyond the reach less a cell's half, a point of a block farther off may be nearer.
-        near = _shared(near.where(F.col("b._d") <= float((reach - 0.5) ** 2) if reach < extent else F.lit(True)).select("row", "col", F.col("b.id").alias("id")), "near")
-        out = near if out is None else out.unionByName(near)
-        rest = _shared(rest.join(near, ["row", "col"], "left_anti"), "far")
-        if reach >= extent or rest.isEmpty():
-            return out
-        reach *= 4
+    # Of points in one place the smallest id is enough.
+    points = _shared(points.groupBy("x", "y").agg(F.min("id").alias("id")), "points")
+    p = points.select("id", "x", "y", F.floor(F.col("x") / reach).alias("_bx"), F.floor(F.col("y") / reach).alias("_by"))
+    spread = p.select("id", "x", "y", "_bx", "_by", F.explode(span).alias("_i")).select("id", "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), "_by", F.explode(span).alias("_j")).select("id", "x", "y", "_bx", (F.col("_by") + F.col("_j")).alias("_by"))
+    cells = _shared(cells.select("row", "col"), "cells")
+    c = cells.select("row", "col", F.floor(F.col("col") / reach).cast("long").alias("_bx"), F.floor(F.col("row") / reach).cast("long").alias("_by"))
+    near = c.join(spread, ["_bx", "_by"]).withColumn("_d", d).groupBy("row", "col").agg(F.min(F.struct("_d", "id")).alias("b"))
+    # Beyond the reach less a cell's half, a point of a block farther off may be nearer.
+    near = _shared(near.where(F.col("b._d") <= float((reach - 0.5) ** 2) if reach < extent else F.lit(True)).select("row", "col", F.col("b.id").alias("id")), "near")
+    rest = _shared(cells.join(near, ["row", "col"], "left_anti"), "far")
+    return near if rest.isEmpty() else near.unionByName(far_nearest(rest, points, reach, extent))
 
 
 def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4) -> DataFrame:
@@ -404,7 +446,7 @@ def tiled_sieve(grid: DataFrame, cls: str, min_cells: int, tile: int = TILE, mar
 
 
 def stored_parts(grid: DataFrame, part: str, name: str | None = None) -> DataFrame:
-    """Writes one folder per part to the shared folder and reads them all. With a name, parts that an earlier run under that name has finished stay as they are, and only the others are computed and added."""
+    """Writes the parts to the shared folder and reads them all; a part's rows are together and files hold whole parts, unless one is so large that several tasks write it, so files grow with the rows and not with parts times tasks. With a name, parts that an earlier run under that name has finished stay as they are, and only the others are computed and added."""
     import uuid
 
     from pyspark.errors import AnalysisException
