@@ -458,5 +458,5 @@ def stored_parts(grid: DataFrame, part: str, name: str | None = None) -> DataFra
         grid = grid.join(done, grid[part].cast("string") == done[part].cast("string"), "left_anti")
     except AnalysisException:  # nothing is there yet
         pass
-    grid.write.mode("append").partitionBy(part).parquet(path)
+    grid.hint("rebalance", F.col(part)).sortWithinPartitions(part).write.mode("append").parquet(path)
     return spark.read.parquet(path)
