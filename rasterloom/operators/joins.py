@@ -47,12 +47,70 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame
     return a.join(b, ["cx", "cy"]).where("a < b").withColumn("dist", d).where(F.col("dist") <= radius).select("a", "b", "dist")
 
 
-def nearest(left: DataFrame, right: DataFrame, on: str, reach: float | None = None) -> DataFrame:
-    """(id, near, dist, inside): for each left point the nearest right point of the same key, ties by the smaller id, and all within reach."""
-    r = right.select(on, F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    pairs = left.join(r, on).withColumn("_d", F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2))
-    inside = F.count(F.when(F.col("_d") <= (reach if reach is not None else 0.0), 1))
-    return pairs.groupBy("id").agg(F.min_by("_id", F.struct("_d", "_id")).alias("near"), F.min("_d").alias("dist"), inside.alias("n_inside"))
+def nearest(left: DataFrame, right: DataFrame, on: str, reach: float | None = None, size: int = 2048) -> DataFrame:
+    """(id, near, dist, n_inside): for each left point the nearest right point of the same key, ties by the smaller id, and how many are within reach (without one: in the same place). Points with a null key or coordinate, and left points whose key has no right point, have no row.
+
+    Right points of a key are cut along x into blocks of about `size` rows, by ranges over the whole table, which are
+    described by their smallest and largest x and y. A left point goes to the blocks that may have its nearest point or
+    the edge of its reach; blocks wholly inside the reach only add their number of rows. In a block, rows are ordered by
+    y and x, and ends of runs within reach are found by binary search.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..ship import ship, stored
+
+    reach = 0.0 if reach is None else reach
+    kind, key = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    right = right.select(F.col(on).alias("_on"), F.col("id").alias("_id"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).where("_on IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    left = left.select(F.col(on).alias("_on"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    place = F.row_number().over(W.partitionBy("_on").orderBy("_x", "_id"))
+    right = stored(right.withColumn("_block", F.floor((place - 1) / size)), "right")
+    ends = [f(c).alias(f"{c}{i}") for c in ("_x", "_y") for i, f in ((0, F.min), (1, F.max))]
+    blocks = right.groupBy("_on", "_block").agg(F.count(F.lit(1)).alias("_n"), *ends)
+    apart = lambda c: F.greatest(F.col(f"_{c}0") - F.col(c), F.col(c) - F.col(f"_{c}1"), F.lit(0.0))
+    over = lambda c: F.greatest(F.col(c) - F.col(f"_{c}0"), F.col(f"_{c}1") - F.col(c))
+    met = left.join(blocks, "_on").withColumns({"_least": F.sqrt(apart("x") ** 2 + apart("y") ** 2), "_most": F.sqrt(over("x") ** 2 + over("y") ** 2)})
+    met = met.withColumn("_bound", F.min("_most").over(W.partitionBy("id")))
+    may, whole = F.col("_least") <= F.col("_bound"), F.col("_most") <= reach
+    met = stored(met.where(may | (F.col("_least") <= reach)).select("_on", "_block", "id", "x", "y", "_n", (whole & ~may).alias("_whole")), "met")
+
+    def search(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        x, y, n, m = asked.x.to_numpy(), asked.y.to_numpy(), len(asked), len(have)
+        best, near, inside = np.full(n, np.inf), np.full(n, -1), np.zeros(n, np.int64)
+        if not n or not m:
+            return pd.DataFrame({"id": asked.id[:0], "near": have._id[:0], "dist": best[:0], "n_inside": inside[:0]})
+        have = have.sort_values(["_y", "_x", "_id"], ignore_index=True)
+        hx, hy, ids = have._x.to_numpy(), have._y.to_numpy(), have._id.to_numpy()
+        starts = np.flatnonzero(np.append(True, hy[1:] != hy[:-1]))
+        for a, b in zip(starts.tolist(), np.append(starts[1:], m).tolist()):
+            line, dy2 = hx[a:b], (y - hy[a]) ** 2
+            far = lambda i: np.sqrt((x - line[i]) ** 2 + dy2)
+            # The first of equal x has the smallest id; of the two sides the nearer.
+            after = np.searchsorted(line, x)
+            for i in (np.minimum(after, b - a - 1), np.searchsorted(line, line[np.maximum(after - 1, 0)])):
+                d = far(i)
+                better = (d < best) | ((d == best) & (ids[a + i] < ids[near]))
+                best[better], near[better] = d[better], (a + i)[better]
+            # Distances grow to both sides of x, so the ends of what is within reach are found by halving, by the distance itself.
+            low, high = np.zeros(n, np.int64), after.copy()
+            while (open_ := low < high).any():
+                mid = (low + high) // 2
+                ok = far(np.minimum(mid, b - a - 1)) <= reach
+                low, high = np.where(open_ & ~ok, mid + 1, low), np.where(open_ & ok, mid, high)
+            first, low, high = low, after.copy(), np.full(n, b - a)
+            while (open_ := low < high).any():
+                mid = (low + high) // 2
+                ok = far(np.minimum(mid, b - a - 1)) <= reach
+                low, high = np.where(open_ & ok, mid + 1, low), np.where(open_ & ~ok, mid, high)
+            inside += low - first
+        return pd.DataFrame({"id": asked.id.to_numpy(), "near": ids[near], "dist": best, "n_inside": inside})
+
+    ship(left.sparkSession)
+    asked = met.where("NOT _whole").groupBy("_on", "_block").cogroup(right.groupBy("_on", "_block"))
+    found = asked.applyInPandas(search, f"id {kind}, near {key}, dist double, n_inside long")
+    found = found.unionByName(met.where("_whole").select("id", F.lit(None).cast(key).alias("near"), F.lit(None).cast("double").alias("dist"), F.col("_n").alias("n_inside")))
+    return found.groupBy("id").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "near"))).alias("b"), F.sum("n_inside").alias("n_inside")).select("id", F.col("b.near").alias("near"), F.col("b.dist").alias("dist"), "n_inside")
 
 
 def cells_of_boxes(zones: DataFrame, touched: bool = True, keep: tuple[str, ...] = ("zone",)) -> DataFrame:

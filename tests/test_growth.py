@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import lattice, polygons, windows
+from rasterloom.operators import joins, lattice, polygons, windows
 from rasterloom.ship import stored
 
 
@@ -77,3 +77,17 @@ def test_cells_far_from_all_points_look_at_few(spark, monkeypatch):
     assert len(got) == len(cells) and joined
     for r, c in cells:
         assert got[r, c] == min((round((c + 0.5 - x) ** 2 + (r + 0.5 - y) ** 2, 6), i) for i, x, y in pts)[1]
+
+
+def test_nearest_looks_at_blocks_not_at_all_pairs(spark):
+    a = [(i, i % 3, float(i * 37 % 101), float(i * 11 % 7)) for i in range(60)] + [(99, 8, 0.0, 0.0)]
+    b = [(i, i % 2, float(i * 53 % 97), float(i * 29 % 8)) for i in range(300)] + [(400 - i, 1, 5.0, 5.0) for i in range(3)]
+    left, right = (spark.createDataFrame(x, "id long, g int, x double, y double") for x in (a, b))
+    for reach, size in ((20.0, 16), (None, 40), (1000.0, 7)):
+        df = joins.nearest(left, right, "g", reach, size)
+        assert "flatmapcogroupsinpandas" in plan_of(df)
+        want = {}
+        for i, g, x, y in a:
+            if d := [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, h, u, v in b if h == g]:
+                want[i] = (min(d)[1], min(d)[0], sum(e <= (reach or 0.0) for e, _ in d))
+        assert {r["id"]: (r["near"], r["dist"], r["n_inside"]) for r in df.collect()} == want
