@@ -211,7 +211,12 @@ def overlay(targets: list[DataFrame], base: DataFrame, cls: str) -> DataFrame:
     layers = [t.select("row", "col", cls, F.lit(i + 1).alias("src"), F.lit(i).alias("_p")) for i, t in enumerate(targets)]
     layers.append(base.select("row", "col", cls, F.lit(0).alias("src"), F.lit(len(targets)).alias("_p")))
     u = reduce(DataFrame.unionByName, layers)
-    return u.groupBy("row", "col").agg(F.min_by(F.struct(cls, "src"), F.struct("_p", cls)).alias("b")).select("row", "col", f"b.{cls}", "b.src")
+    # One column for each layer, as a struct of place and class can't be hashed together and would be sorted. A null class comes first in its layer.
+    own = lambda i, x: F.when(F.col("_p") == i, x)
+    each = [f(own(i, x)).alias(f"{n}{i}") for i in range(len(layers)) for n, f, x in (("_c", F.min, F.col(cls)), ("_v", F.bool_or, F.col(cls).isNull()))]
+    won = u.groupBy("row", "col").agg(F.min("_p").alias("_p"), *each)
+    value = F.coalesce(*[F.when((F.col("_p") == i) & ~F.col(f"_v{i}"), F.col(f"_c{i}")) for i in range(len(layers))])
+    return won.select("row", "col", value.alias(cls), F.when(F.col("_p") < len(targets), F.col("_p") + 1).otherwise(0).alias("src"))
 
 
 def no_overlap(cells: DataFrame, key: str, is_target: str, area: str) -> DataFrame:

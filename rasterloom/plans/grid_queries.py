@@ -397,8 +397,8 @@ def _(s, d):
 @query("ge21_topology_correction")
 def _(s, d):
     z = J.cells_of_boxes(T.zones(s, d), keep=("zone", "cls")).select("row", "col", (F.col("cls").cast("int") + 10).alias("cls"))
-    base = T.cls(s, d).where("(row * 7 + col * 13) % 17 <> 0")
-    return L.correct([z], base, T.cls(s, d).select("row", "col"), "cls")
+    g = L._shared(T.cls(s, d), "classes")
+    return L.correct([z], g.where("(row * 7 + col * 13) % 17 <> 0"), g.select("row", "col"), "cls")
 
 
 @query("ge23_overlap_removal", sql("zones", f"+{_TOUCHED} SELECT row, col, zone FROM (SELECT t.*, (x1 - x0) * (y1 - y0) AS area FROM touched t JOIN zones USING (zone)) QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY zone % 5 <> 0, area DESC, zone) = 1"))

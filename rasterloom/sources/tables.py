@@ -29,8 +29,11 @@ def cls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, cls): a class grid, the commonest flag of each cell as 1, 2, 3."""
     li = read(spark, sf_dir, "lineitem")
     n = li.groupBy(F.floor(F.col("l_partkey") / 10).cast("int").alias("row"), (F.col("l_suppkey") % 25).cast("int").alias("col"), "l_returnflag").count()
-    best = n.groupBy("row", "col").agg(F.min_by("l_returnflag", F.struct(-F.col("count"), F.col("l_returnflag"))).alias("flag"))
-    return best.select("row", "col", F.when(F.col("flag") == "A", 1).when(F.col("flag") == "N", 2).otherwise(3).alias("cls"))
+    # The count and the flag's place among A and N make one number, which a hash aggregate can hold; strings and structs would be sorted.
+    f = F.col("l_returnflag")
+    place = F.when(f < "A", 4).when(f == "A", 3).when(f < "N", 2).when(f == "N", 1).otherwise(0)
+    best = n.groupBy("row", "col").agg(F.pmod(F.max(F.col("count") * 5 + place), F.lit(5)).alias("place"))
+    return best.select("row", "col", F.when(F.col("place") == 3, 1).when(F.col("place") == 1, 2).otherwise(3).alias("cls"))
 
 
 def sar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,19 @@ def test_nearest_looks_at_blocks_not_at_all_pairs(spark):
             if d := [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, h, u, v in b if h == g]:
                 want[i] = (min(d)[1], min(d)[0], sum(e <= (reach or 0.0) for e, _ in d))
         assert {r["id"]: (r["near"], r["dist"], r["n_inside"]) for r in df.collect()} == want
+
+
+def test_class_grid_and_overlay_are_hashed_not_sorted(spark, tmp_path):
+    """Rows of a cell are added up in hash tables; ties go to the first flag, a missing flag comes last, the first layer wins."""
+    from rasterloom.sources import tables
+
+    flags = {0: "AAN", 1: "NA", 2: "RRN", 3: "NR", 4: "BBA", 5: "BN", 6: "ZZNN", 7: [None, None, "N", "N"], 8: "5A"}
+    rows = [(k * 10, 0, f) for k, v in flags.items() for f in v]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = tables.cls(spark, str(tmp_path))
+    assert "sortaggregate" not in plan_of(g)
+    assert {r["row"]: r["cls"] for r in g.collect()} == {0: 1, 1: 1, 2: 3, 3: 2, 4: 3, 5: 3, 6: 2, 7: 2, 8: 3}
+    a, b, base = (spark.createDataFrame(x, "row int, col int, cls int") for x in ([(0, 0, 7), (0, 0, 5), (1, 0, None), (1, 0, 2)], [(0, 0, 1), (2, 0, 4)], [(0, 0, 9), (3, 0, 9)]))
+    got = lattice.overlay([a, b], base, "cls")
+    assert "sortaggregate" not in plan_of(got)
+    assert {tuple(r) for r in got.collect()} == {(0, 0, 5, 1), (1, 0, None, 1), (2, 0, 4, 2), (3, 0, 9, 0)}
