@@ -82,8 +82,8 @@ def _(s, d):
 
 @query("ge22_gap_fill")
 def _(s, d):
-    g = T.cls(s, d).where("(row * 7 + col * 13) % 17 <> 0")
-    return PO.reattach(L.nearest_fill(g, T.cls(s, d).select("row", "col"), "cls"), "cls")
+    g = L._shared(T.cls(s, d), "classes")
+    return PO.reattach(L.nearest_fill(g.where("(row * 7 + col * 13) % 17 <> 0"), g.select("row", "col"), "cls"), "cls")
 
 
 @query("ge27_half_plane", sql("dem", "SELECT row, col FROM dem WHERE (col + 0.5::DOUBLE - 6) ** 2 + (row + 0.5::DOUBLE - 8) ** 2 <= (col + 0.5::DOUBLE - 18) ** 2 + (row + 0.5::DOUBLE - 30) ** 2"))
