@@ -109,15 +109,85 @@ def patches(grid: DataFrame, cls: str, steps=FOUR, cell_area: float = 1.0) -> Da
     return cell_components(grid, cls, steps).groupBy("comp", cls).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 
-def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int | None = None, forced: tuple[int, ...] = (), group: str | None = None) -> DataFrame:
+def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int | None = None, forced: tuple[int, ...] = (), group: str | None = None, tile: int = TILE) -> DataFrame:
     """(row, col, cls): components of fewer than min_cells cells take the class most of their border edges touch.
 
     First only neighbours that are large enough vote. Where no small component has such a neighbour, a small one joins
     the senior of its small neighbours (more cells; then the smaller label). forced: classes that are always small.
     group: only cells of the same group vote. Ties: the larger class code. Stops when nothing changes: each round
-    joins components, so there are fewer than at first; rounds: stop after so many.
+    joins components, so there are fewer than at first; rounds: stop after so many. Cells without a class stay as they
+    are and don't vote.
+
+    What a round makes of a cell depends on cells less than 2 * min_cells away, so tiles with a margin are taken through
+    several rounds in one task each. Where that doesn't hold (forced classes, min_cells beyond a third of a tile), rounds
+    are jobs over the whole grid.
+    """
+    kept = grid.select("row", "col", cls, *([group] if group else []))
+    now = _shared(kept.where(F.col(cls).isNotNull()), "sieve")
+    void = kept.where(F.col(cls).isNull()).select("row", "col", cls)
+    done = sieve_jobs(now, cls, min_cells, steps, rounds, forced, group) if forced or 3 * min_cells > tile else sieve_tiles(now, cls, min_cells, steps, rounds, group, tile)
+    return done.select("row", "col", cls).unionByName(void)
+
+
+def sieve_tiles(now: DataFrame, cls: str, min_cells: int, steps, rounds: int | None, group: str | None, tile: int) -> DataFrame:
+    """sieve() in passes of several rounds; a group is one tile and its margin.
+
+    A vote always changes a class, so the last round in which an inner cell of any tile changed tells when the votes of
+    large neighbours ended. Rounds behind it change nothing, and the next pass begins with a round of seniors.
     """
-    now = _shared(grid.select("row", "col", cls, *([group] if group else [])), "sieve")
+    reach = 2 * min_cells - 1
+    most = max(1, min(6, tile // 4 // reach))
+    names = ["row", "col", cls, *([group] if group else [])]
+    kinds = ", ".join(f"`{c}` {now.schema[c].dataType.simpleString()}" for c in names)
+    ship(now.sparkSession)
+    senior = False
+    while rounds is None or rounds > 0:
+        turns = most if rounds is None else min(most, rounds)
+        margin = turns * reach + min_cells
+        lo, hi = (lambda c: F.floor((F.col(c) - margin) / tile)), (lambda c: F.floor((F.col(c) + margin) / tile))
+        spread = now.select(*names, F.explode(F.sequence(lo("row"), hi("row"))).alias("_tr"), lo("col").alias("_a"), hi("col").alias("_b")).select(*names, "_tr", F.explode(F.sequence("_a", "_b")).alias("_tc"))
+
+        def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+            row, col = pdf.row.to_numpy(np.int64), pdf.col.to_numpy(np.int64)
+            inner = (row // tile == pdf._tr.iloc[0]) & (col // tile == pdf._tc.iloc[0])
+            if not inner.any():
+                return pdf[names].iloc[:0].assign(_n=np.int32(0), _small=False)
+            codes, values = pd.factorize(pdf[cls], sort=True)
+            at, last, left = codes, 0, False
+            u, v = block_pairs(row, col)
+            of = pd.factorize(pdf[group])[0] if group else None
+            if group:
+                same = (of[u] == of[v]) & (of[u] >= 0)
+                u, v = u[same], v[same]
+            for turn in range(turns + 1):
+                comp = label_tile(row, col, at, steps)
+                size = np.bincount(comp, minlength=len(row))[comp]
+                left = bool((size[inner] < min_cells).any())
+                if turn == turns or not (size < min_cells).any():
+                    break
+                new = sieve_round(comp, size, at, u, v, min_cells, senior and turn == 0)
+                if (new[inner] != at[inner]).any():
+                    last = turn + 1
+                elif np.array_equal(new, at):
+                    break
+                at = new
+            out = pdf[names].assign(**{cls: values[at]})[inner]
+            return out.assign(_n=np.int32(last), _small=left)
+
+        made = _shared(spread.groupBy("_tr", "_tc").applyInPandas(clean, f"{kinds}, _n int, _small boolean"), "sieve")
+        last, small = made.agg(F.max("_n"), F.bool_or("_small")).first()
+        now = made.select(*names)
+        if not small or senior and not last:
+            break
+        if rounds is not None:
+            rounds -= last
+        senior = last < turns
+    return now
+
+
+def sieve_jobs(now: DataFrame, cls: str, min_cells: int, steps, rounds: int | None, forced: tuple[int, ...], group: str | None) -> DataFrame:
+    """sieve() in jobs over the whole grid, for reaches that no margin bounds."""
     for _ in count() if rounds is None else range(rounds):
         comps = cell_components(now, cls, steps)
         sizes = comps.groupBy("comp", cls).agg(F.count(F.lit(1)).alias("_n"))
@@ -137,7 +207,7 @@ def sieve(grid: DataFrame, cls: str, min_cells: int, steps=FOUR, rounds: int | N
             if vote.isEmpty():
                 break
         now = _shared(c.join(vote, "comp", "left").select("row", "col", F.coalesce("new", cls).alias(cls), *([group] if group else [])), "sieve")
-    return now.select("row", "col", cls)
+    return now
 
 
 def nearest_fill(grid: DataFrame, holes: DataFrame, value: str, reach: float | None = None) -> DataFrame:
@@ -412,23 +482,46 @@ def tiled(grid: DataFrame, cls: str, tile: int, margin: int, min_cells: int = 4)
     return spread.groupBy("tile_r", "tile_c").applyInPandas(clean, f"tile_r long, tile_c long, row int, col int, {cls} int")
 
 
+def block_pairs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): the places of each cell and each of its four neighbours that exist."""
+    r, c = row - row.min(), col - col.min()
+    at = np.full((r.max() + 1, c.max() + 1), -1, np.int64)
+    at[r, c] = np.arange(len(row))
+    down, right = ((x.ravel(), y.ravel()) for x, y in ((at[:-1], at[1:]), (at[:, :-1], at[:, 1:])))
+    u, v = (np.concatenate(x) for x in zip(down, right))
+    both = (u >= 0) & (v >= 0)
+    u, v = u[both], v[both]
+    return np.concatenate([u, v]), np.concatenate([v, u])
+
+
+def sieve_round(comp: np.ndarray, size: np.ndarray, codes: np.ndarray, u: np.ndarray, v: np.ndarray, min_cells: int, senior: bool) -> np.ndarray:
+    """The codes after one round: of small components, those with voters take the code with most edges, then the larger. Voters are large neighbours, or with senior small ones of more cells, then of the smaller label."""
+    asks = (comp[u] != comp[v]) & (size[u] < min_cells)
+    u, v = u[asks], v[asks]
+    votes = (size[v] > size[u]) | (size[v] == size[u]) & (comp[v] < comp[u]) if senior else size[v] >= min_cells
+    if not votes.any():
+        return codes
+    n = int(codes.max()) + 1
+    key, edges = np.unique(comp[u[votes]] * n + codes[v[votes]], return_counts=True)
+    best = np.full(len(comp), -1, np.int64)
+    np.maximum.at(best, key // n, edges * n + key % n)
+    won = best[comp]
+    return np.where(won >= 0, won % n, codes)
+
+
 def sieve_block(row: np.ndarray, col: np.ndarray, cls: np.ndarray, min_cells: int) -> np.ndarray:
     """sieve() of a block of cells, ordered by row and column, in one task."""
-    n, at = len(row), {p: i for i, p in enumerate(zip(row.tolist(), col.tolist()))}
-    pairs = np.array([(i, at[p]) for (r, c), i in at.items() for a, b in FOUR if (p := (r + a, c + b)) in at], np.int64).reshape(-1, 2)
-    cls = cls.copy()
+    codes, values = pd.factorize(cls, sort=True)
+    u, v = block_pairs(row, col)
     while True:
-        comp = label_tile(row, col, cls, FOUR)
-        size = np.bincount(comp, minlength=n)[comp]
-        u, v = pairs[(comp[pairs[:, 0]] != comp[pairs[:, 1]]) & (size[pairs[:, 0]] < min_cells)].T
-        large = size[v] >= min_cells
-        if not large.any():
-            large = (size[v] > size[u]) | (size[v] == size[u]) & (comp[v] < comp[u])
-        if not large.any():
-            return cls
-        votes = pd.DataFrame({"comp": comp[u[large]], "cls": cls[v[large]]}).value_counts().reset_index(name="k").sort_values(["comp", "k", "cls"]).groupby("comp").cls.last()
-        new = votes.reindex(comp).to_numpy()
-        cls = np.where(pd.isna(new), cls, new).astype(cls.dtype)
+        comp = label_tile(row, col, codes, FOUR)
+        size = np.bincount(comp, minlength=len(row))[comp]
+        new = sieve_round(comp, size, codes, u, v, min_cells, False)
+        if np.array_equal(new, codes):
+            new = sieve_round(comp, size, codes, u, v, min_cells, True)
+        if np.array_equal(new, codes):
+            return values[codes].astype(cls.dtype)
+        codes = new
 
 
 def tiled_sieve(grid: DataFrame, cls: str, min_cells: int, tile: int = TILE, margin: int = 16) -> DataFrame:

@@ -193,3 +193,28 @@ def test_sieve_by_brute_force(spark):
     g = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "row int, col int, cls int")
     got = {(x["row"], x["col"]): x["cls"] for x in lattice.sieve(g, "cls", 5).collect()}
     assert got == brute_sieve(cells, 5)
+
+
+def test_sieve_in_tiles_by_brute_force(spark, monkeypatch):
+    """Tiles that components and chains of votes cross give what the whole grid gives, in few passes; cells without a class stay."""
+    import random
+
+    r, made = random.Random(11), []
+    monkeypatch.setattr(lattice, "_shared", lambda df, what, f=lattice._shared: (made.append(what), f(df, what))[1])
+    for least, colours, tile in ((3, (1, 1, 2, 3), 9), (4, tuple(range(9)), 12), (6, (1, 2, 3), 32)):
+        cells = {(i - 20, j): r.choice(colours) for i in range(60) for j in range(14) if r.random() > 0.05}
+        rows = [(i, j, v) for (i, j), v in cells.items()] + [(100, 3, None)]
+        g = spark.createDataFrame(rows, "row int, col int, cls int")
+        made.clear()
+        got = {(x["row"], x["col"]): x["cls"] for x in lattice.sieve(g, "cls", least, tile=tile).collect()}
+        assert got.pop((100, 3)) is None and got == brute_sieve(cells, least)
+        assert set(made) == {"sieve"}
+    assert len(made) < 6
+
+
+def test_sieve_in_tiles_counts_rounds(spark):
+    rows = [(0, c, 1 if c < 3 else 10 + c) for c in range(36)]
+    g = spark.createDataFrame(rows, "row int, col int, cls int")
+    for n in (0, 1, 7, 20):
+        got = lattice.sieve(g, "cls", 3, rounds=n, tile=20).collect()
+        assert sum(x["cls"] == 1 for x in got) == 3 + n
