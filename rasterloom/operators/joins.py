@@ -22,6 +22,11 @@ def neighbours(grid: DataFrame, value: str, steps: tuple[tuple[int, int], ...] =
     return here.join(there, ["_r", "_c"]).drop("_r", "_c")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as shuffles have, by hash of the columns. Rows that multiply afterwards, or compress well, are else left to one task: a small file is one, partitions are merged by their stored size, and a side that looks small is broadcast."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def sample_at(points: DataFrame, grid: DataFrame, how: str = "inner") -> DataFrame:
     return points.join(grid, ["row", "col"], how)
 
@@ -39,12 +44,14 @@ def cell_of(x: Column, size: float) -> Column:
 
 
 def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """(a, b, dist), a < b: pairs of points within radius. Points meet on grid cells of that size, nine for one side."""
+    """(a, b, dist), a < b: pairs of points within radius. Points meet on grid cells of that size; one side looks at its own cell and at four of the eight around, the others look at it. A task holds the points of its cells once; the repeated side streams by."""
     a = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell_of(F.col("x"), radius).alias("cx"), cell_of(F.col("y"), radius).alias("cy"))
     b = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell_of(F.col("x"), radius).alias("row"), cell_of(F.col("y"), radius).alias("col"))
-    b = offsets(b, EIGHT + ((0, 0),)).select("b", "bx", "by", (F.col("row") + F.col("dr")).alias("cx"), (F.col("col") + F.col("dc")).alias("cy"))
+    b = offsets(b, tuple(s for s in EIGHT if s > (0, 0)) + ((0, 0),)).select("b", "bx", "by", (F.col("row") + F.col("dr")).alias("cx"), (F.col("col") + F.col("dc")).alias("cy"), ((F.col("dr") == 0) & (F.col("dc") == 0)).alias("same"))
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return a.join(b, ["cx", "cy"]).where("a < b").withColumn("dist", d).where(F.col("dist") <= radius).select("a", "b", "dist")
+    once = F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    met = dealt(b, "cx", "cy").join(dealt(a, "cx", "cy").hint("shuffle_hash"), ["cx", "cy"]).where(once).withColumn("dist", d).where(F.col("dist") <= radius)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
 
 
 def nearest(left: DataFrame, right: DataFrame, on: str, reach: float | None = None, size: int = 2048) -> DataFrame:
@@ -122,7 +129,7 @@ def cells_of_boxes(zones: DataFrame, touched: bool = True, keep: tuple[str, ...]
         r0, r1 = F.ceil(F.col("y0") - 0.5), F.ceil(F.col("y1") - 0.5) - 1
         c0, c1 = F.ceil(F.col("x0") - 0.5), F.ceil(F.col("x1") - 0.5) - 1
     span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-    out = zones.select(*keep, F.explode(span(r0, r1)).alias("row"), c0.alias("_c0"), c1.alias("_c1"))
+    out = dealt(zones, "y0", "x0").select(*keep, F.explode(span(r0, r1)).alias("row"), c0.alias("_c0"), c1.alias("_c1"))
     out = out.select(*keep, "row", F.explode(span(F.col("_c0"), F.col("_c1"))).alias("col"))
     return out.withColumns({c: F.col(c).cast("int") for c in ("row", "col")})
 

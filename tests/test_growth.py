@@ -107,3 +107,31 @@ def test_class_grid_and_overlay_are_hashed_not_sorted(spark, tmp_path):
     got = lattice.overlay([a, b], base, "cls")
     assert "sortaggregate" not in plan_of(got)
     assert {tuple(r) for r in got.collect()} == {(0, 0, 5, 1), (1, 0, None, 1), (2, 0, 4, 2), (3, 0, 9, 0)}
+
+
+def test_radius_pairs_hold_one_side_once(spark):
+    """No side is broadcast or sorted, points are repeated five times and not nine, and tasks are as many as shuffles have."""
+    import random
+
+    r = random.Random(5)
+    pts = [(i, r.randint(-9, 9) / 2, r.randint(-9, 9) / 2) for i in range(150)] + [(200, None, 1.0)]
+    df = joins.radius_pairs(spark.createDataFrame(pts, "id long, x double, y double"), 1.5)
+    plan = plan_of(df).split("physical plan")[-1]
+    assert "shuffledhashjoin" in plan and "broadcasthashjoin" not in plan and "sortmergejoin" not in plan
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted((i, j) for i, x, y in pts for j, u, v in pts if i < j and None not in (x, u) and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 1.5)
+    assert sorted((q["a"], q["b"]) for q in df.collect()) == want
+
+
+def test_cells_of_boxes_and_halves_are_dealt(spark):
+    from rasterloom.operators import masks
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    z = spark.createDataFrame([(i, i % 3 + 0.0, i + 0.0, i % 3 + 2.5, i + 1.5) for i in range(40)], "zone int, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    c = joins.cells_of_boxes(z)
+    assert c.rdd.getNumPartitions() == n
+    mid = z.select("zone", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    got = masks.split_by_half_planes(c, mid, "zone")
+    assert "broadcasthashjoin" not in plan_of(got).split("physical plan")[-1]
+    at = {(r["zone"], r["row"], r["col"]) for r in c.collect()}
+    assert {(r["row"], r["col"], r["a"], r["b"]) for r in got.collect()} == {(r, k, a, b) for a, r, k in at for b, r2, k2 in at if a < b and (r, k) == (r2, k2)}
