@@ -589,8 +589,10 @@ def _(s, d):
 def _(s, d):
     a = T.cls(s, d).where("cls = 1").select("row", "col")
     b = J.cells_of_boxes(T.zones(s, d)).select("row", "col")
-    one = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("op"), "n")
-    return one(a.union(b).distinct(), "union").unionByName(one(a.intersect(b), "intersect")).unionByName(one(a.subtract(b), "except"))
+    mark = lambda df, x, y: df.select("row", "col", F.lit(x).alias("a"), F.lit(y).alias("b"))
+    cells = mark(a, True, False).unionByName(mark(b, False, True)).groupBy("row", "col").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    n = cells.agg(F.count(F.lit(1)).alias("union"), F.count_if(F.expr("a AND b")).alias("intersect"), F.count_if(F.expr("a AND NOT b")).alias("except"))
+    return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("op"), F.col(c).alias("n")) for c in ("union", "intersect", "except")])))
 
 
 @query("s6_upsert", "SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
