@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import dealt
+
 
 def disc_cells(points: DataFrame, radius: float) -> DataFrame:
     """(id, row, col): the cells whose centre is within radius of a point. Each point is expanded to its own box of cells."""
@@ -15,10 +17,10 @@ def disc_cells(points: DataFrame, radius: float) -> DataFrame:
 
 def split_by_half_planes(cells: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """(row, col, a, b, owner): for each cell that two objects claim, the one on whose side of the line halfway between their centres it is; ties: the smaller key."""
-    a, b = (cells.select("row", "col", F.col(key).alias(n)) for n in "ab")
-    both = a.join(b, ["row", "col"]).where("a < b")
+    a, b = (dealt(cells.select("row", "col", F.col(key).alias(n)), "row", "col") for n in "ab")
+    both = a.join(b.hint("merge"), ["row", "col"]).where("a < b")
     for n in "ab":
-        both = both.join(centres.select(F.col(key).alias(n), F.struct("x", "y").alias(f"_{n}")), n)
+        both = dealt(both, n).join(dealt(centres.select(F.col(key).alias(n), F.struct("x", "y").alias(f"_{n}")), n).hint("shuffle_hash"), n)
     far = lambda n: F.round((F.col("col") + 0.5 - F.col(f"_{n}.x")) ** 2 + (F.col("row") + 0.5 - F.col(f"_{n}.y")) ** 2, 9)
     return both.select("row", "col", "a", "b", F.when(far("a") <= far("b"), F.col("a")).otherwise(F.col("b")).alias("owner"))
 
