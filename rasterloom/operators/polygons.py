@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ship import by_group, ship
-from .lattice import _shared, components
+from .lattice import TILE, _shared, components
 
 
 def inside_ring(ring: Column, x: Column, y: Column) -> Column:
@@ -109,55 +110,170 @@ def reattach(grid: DataFrame, cls: str, steps=None) -> DataFrame:
     return c.join(vote.select("comp", "vote"), "comp", "left").select("row", "col", F.coalesce("vote", cls).alias(cls))
 
 
-def rings(segments: DataFrame, smooth: int = 0) -> DataFrame:
-    """(ring, cls, n, area, points, inside) of directed or undirected segments(cls, x1, y1, x2, y2) in half-cell units: closed rings, chained within their connected set, smoothed by Chaikin's corner cutting so many times.
+def ring_pieces(segments: DataFrame, tile: int = TILE) -> DataFrame:
+    """(piece, cls, closed, x, y, xx, yy, n, twice, points): segments walked together tile by tile, in half-cell units; a group is one tile.
 
-    area is of the unsmoothed ring and positive; inside: how many other rings of the class hold it, so even ones are
-    outer borders and odd ones holes. A group is one connected set of segments.
+    Open pieces run from (x, y) to (xx, yy), which are on a tile's rim or loose; twice is the sum of their segments'
+    cross products. Where more than two segments of a class meet in a tile, they are paired in order. piece is the
+    smallest number of its segments.
     """
     import numpy as np
     import pandas as pd
 
+    wide = 2 * tile
     e = segments.select("cls", *[F.round(F.col(c) * 2).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    e = _shared(e.withColumn("id", F.xxhash64("cls", "x1", "y1", "x2", "y2")), "segments")
-    ends = e.select("id", "cls", F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select("id", "cls", F.col("x2").alias("x"), F.col("y2").alias("y")))
-    met = ends.groupBy("cls", "x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    joined = e.join(components(met, e.select("id")), "id")
+    # Rims are half a tile off the origin, so that a grid's first row and column aren't one.
+    at = lambda c: F.floor((F.least(f"{c}1", f"{c}2") + tile) / wide)
+    e = e.withColumns({"id": F.xxhash64("cls", "x1", "y1", "x2", "y2"), "_tr": at("y"), "_tc": at("x")})
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for a, b, c, d in pdf.sort_values(["y1", "x1", "y2", "x2"])[["x1", "y1", "x2", "y2"]].itertuples(index=False):
-            near.setdefault((a, b), []).append((c, d))
-            near.setdefault((c, d), []).append((a, b))
-        out = []
-        while near:
-            start = min(near)
-            line, at = [start], start
-            while near.get(at):
-                to = near[at].pop(0)
-                near[to].remove(at)
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y1", "x1", "y2", "x2"], ignore_index=True)
+        kinds = pd.factorize(pdf.cls, use_na_sentinel=False)[0]
+        n = len(pdf)
+        ex, ey = pdf[["x1", "x2"]].to_numpy().ravel(), pdf[["y1", "y2"]].to_numpy().ravel()
+        low = lambda v, t: v - (t * wide - tile)
+        lx, ly = low(ex, pdf._tc.iloc[0]), low(ey, pdf._tr.iloc[0])
+        of = np.repeat(kinds, 2)
+        inside = np.flatnonzero((lx > 0) & (lx < wide) & (ly > 0) & (ly < wide))
+        order = inside[np.lexsort((inside, lx[inside], ly[inside], of[inside]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (of[order][1:] != of[order][:-1]) | (ly[order][1:] != ly[order][:-1]) | (lx[order][1:] != lx[order][:-1])
+        starts = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        first = np.flatnonzero((place % 2 == 0)[:-1] & ~new[1:])
+        mate = np.full(2 * n, -1)
+        mate[order[first]], mate[order[first + 1]] = order[first + 1], order[first]
+        mates, done, out, xs, ys, ids, cls = mate.tolist(), [False] * n, [], ex.tolist(), ey.tolist(), pdf.id.tolist(), pdf.cls.tolist()
+        for begin in [*np.flatnonzero(mate < 0).tolist(), *range(0, 2 * n, 2)]:
+            if done[begin >> 1]:
+                continue
+            end, line, least, twice = begin, [begin], ids[begin >> 1], 0
+            while True:
+                done[end >> 1] = True
+                least = min(least, ids[end >> 1])
+                to = end ^ 1
+                twice += xs[end] * ys[to] - xs[to] * ys[end]
                 line.append(to)
-                at = to
-            near = {p: n for p, n in near.items() if n}
-            if line[0] == line[-1] and len(line) > 3:
-                p = np.array(line[:-1], float) / 2
-                area = abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)))) / 2
-                for _ in range(smooth):
-                    q = np.roll(p, -1, axis=0)
-                    p = np.stack([0.75 * p + 0.25 * q, 0.25 * p + 0.75 * q], axis=1).reshape(-1, 2)
-                out.append((f"{line[0][0]}:{line[0][1]}:{len(out)}:{pdf.comp.iloc[0]}", pdf.cls.iloc[0], len(line) - 1, area, [{"x": float(x), "y": float(y)} for x, y in p]))
-        return pd.DataFrame(out, columns=["ring", "cls", "n", "area", "points"])
+                end = mates[to]
+                if end < 0 or done[end >> 1]:
+                    break
+            out.append((least, cls[begin >> 1], end >= 0, xs[begin], ys[begin], xs[to], ys[to], len(line) - 1, twice, [xs[i] for i in line], [ys[i] for i in line]))
+        return pd.DataFrame(out, columns=["piece", "cls", "closed", "x", "y", "xx", "yy", "n", "twice", "px", "py"])
 
     ship(segments.sparkSession)
     kind = segments.schema["cls"].dataType.simpleString()
-    made = _shared(joined.groupBy("comp").applyInPandas(chain, f"ring string, cls {kind}, n long, area double, points array<struct<x:double,y:double>>"), "rings")
-    span = lambda c, f: f(F.transform("points", lambda q: q[c]))
-    box = made.select("ring", "cls", "area", "points", *[span(c, f).alias(f"{n}{c}") for c in "xy" for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))])
-    tile = 32
-    on = lambda df, c: F.explode(F.sequence(F.floor(F.col(f"lo{c}") / tile), F.floor(F.col(f"hi{c}") / tile)))
-    outer = box.withColumn("ty", on(box, "y")).withColumn("tx", on(box, "x")).select("cls", "ty", "tx", F.col("ring").alias("o"), F.col("points").alias("op"), F.col("area").alias("oa"))
-    first = F.element_at("points", 1)
-    inner = made.select("ring", "cls", "area", first["x"].alias("px"), first["y"].alias("py")).withColumns({"ty": F.floor(F.col("py") / tile), "tx": F.floor(F.col("px") / tile)})
-    held = inner.join(outer, ["cls", "ty", "tx"]).where((F.col("ring") != F.col("o")) & (F.col("oa") > F.col("area"))).where(inside_ring(F.col("op"), F.col("px"), F.col("py")))
-    depth = held.groupBy("ring").agg(F.count(F.lit(1)).alias("inside"))
-    return made.join(depth, "ring", "left").withColumn("inside", F.coalesce("inside", F.lit(0)).cast("long"))
+    return _shared(e.groupBy("_tr", "_tc").applyInPandas(walk, f"piece long, cls {kind}, closed boolean, x long, y long, xx long, yy long, n long, twice long, px array<long>, py array<long>"), "pieces")
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """(ring, cls, n, twice, piece, seq, back) of ring_pieces(): closed rings as the pieces that make them, in order; back: a piece runs against its ring. Pieces that close alone are rings. A group is one ring's pieces, without their points."""
+    own = pieces.where("closed").select(F.col("piece").alias("ring"), "cls", "n", "twice", "piece", F.lit(0).alias("seq"), F.lit(False).alias("back"))
+    loose = pieces.where("NOT closed").drop("px", "py")
+    ends = loose.select("piece", "cls", "x", "y").unionByName(loose.select("piece", "cls", F.col("xx").alias("x"), F.col("yy").alias("y")))
+    w = W.partitionBy("cls", "x", "y")
+    ends = ends.withColumn("_i", F.floor((F.row_number().over(w.orderBy("piece")) - 1) / 2))
+    met = ends.groupBy("cls", "x", "y", "_i").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a <> b")
+    named = loose.join(components(met.select("a", "b"), loose.select(F.col("piece").alias("id"))), F.col("piece") == F.col("id")).withColumnRenamed("comp", "ring")
+
+    def order(rows: list[dict]) -> list[dict]:
+        at: dict[tuple[int, int], list[int]] = {}
+        for i, r in enumerate(sorted(rows, key=lambda r: r["piece"])):
+            for p in ((r["x"], r["y"]), (r["xx"], r["yy"])):
+                at.setdefault(p, []).append(i)
+        rows = sorted(rows, key=lambda r: r["piece"])
+        out, left = [], set(range(len(rows)))
+        for first in range(len(rows)):
+            if first not in left:
+                continue
+            i, start, line = first, (rows[first]["x"], rows[first]["y"]), []
+            end = start
+            while i is not None:
+                left.discard(i)
+                r = rows[i]
+                back = (r["x"], r["y"]) != end
+                end = (r["x"], r["y"]) if back else (r["xx"], r["yy"])
+                line.append((i, back))
+                i = next((j for j in at[end] if j in left), None)
+            if end == start:
+                ring, n = min(rows[i]["piece"] for i, _ in line), sum(rows[i]["n"] for i, _ in line)
+                twice = sum(-rows[i]["twice"] if back else rows[i]["twice"] for i, back in line)
+                out += [{"ring": ring, "cls": rows[i]["cls"], "n": n, "twice": twice, "piece": rows[i]["piece"], "seq": k, "back": back} for k, (i, back) in enumerate(line)]
+        return out
+
+    kind = pieces.schema["cls"].dataType.simpleString()
+    put = by_group(named.drop("id", "closed"), "ring", order, f"ring long, cls {kind}, n long, twice long, piece long, seq int, back boolean")
+    return _shared(own.unionByName(put).where("n > 2"), "rings")
+
+
+def ring_measures(pieces: DataFrame, joined: DataFrame, band: int = 64) -> DataFrame:
+    """(ring, cls, n, area, inside) of rings as pieces. No ring is gathered.
+
+    Along a line through a ring's leftmost point, the sides of other rings to its right are counted: an odd number holds
+    it. Sides and points meet in bands of rows, and a group is a class's band, so work grows with the sides.
+    """
+    import numpy as np
+    import pandas as pd
+
+    lines = pieces.select("piece", "cls", "px", "py").join(joined.select("ring", "piece", (F.abs("twice") / 8).alias("area")), "piece").select("ring", "cls", "area", "px", "py")
+    k = F.posexplode(F.slice("px", 1, F.size("px") - 1)).alias("_i", "x1")
+    sides = lines.select("ring", "cls", "area", "px", "py", k).select("ring", "cls", "area", "x1", F.get("py", F.col("_i")).alias("y1"), F.get("px", F.col("_i") + 1).alias("x2"), F.get("py", F.col("_i") + 1).alias("y2")).where("y1 <> y2")
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2") - 1
+    sides = sides.withColumn("_b", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
+    first = lines.select("ring", "cls", "area", F.array_min(F.arrays_zip("px", "py")).alias("p")).groupBy("ring").agg(F.first("cls").alias("cls"), F.first("area").alias("area"), F.min("p").alias("p"))
+    points = first.select("ring", "cls", "area", F.col("p.px").alias("x1"), F.col("p.py").alias("y1"), F.lit(None).cast("long").alias("x2"), F.lit(None).cast("long").alias("y2"), F.floor(F.col("p.py") / band).alias("_b"))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf.x2.isna().to_numpy()
+        q, s = pdf[asks], pdf[~asks]
+        if q.empty:
+            return pd.DataFrame({"ring": [], "inside": []})
+        at = np.unique(q.y1.to_numpy())
+        y1, y2 = s.y1.to_numpy(), s.y2.to_numpy()
+        a, b = np.searchsorted(at, np.minimum(y1, y2)), np.searchsorted(at, np.maximum(y1, y2))
+        side = np.repeat(np.arange(len(s)), b - a)
+        line = np.arange(len(side)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[side]
+        x1, x2 = s.x1.to_numpy()[side], s.x2.to_numpy()[side]
+        x = (x2 - x1) * (at[line] - y1[side]) / (y2[side] - y1[side]) + x1
+        lines, xs = np.append(line, np.searchsorted(at, q.y1)), np.append(x, q.x1)
+        ask, ring, area = np.append(np.zeros(len(x), bool), np.ones(len(q), bool)), np.append(s.ring.to_numpy()[side], q.ring), np.append(s.area.to_numpy()[side], q.area)
+        order = np.lexsort((~ask, -xs, lines))
+        out, now, open_ = [], -1, {}
+        for i, asked, r, size in zip(lines[order].tolist(), ask[order].tolist(), ring[order].tolist(), area[order].tolist()):
+            if i != now:
+                now, open_ = i, {}
+            if asked:
+                out.append((r, sum(other > size for o, other in open_.items() if o != r)))
+            elif open_.pop(r, None) is None:
+                open_[r] = size
+        return pd.DataFrame(out, columns=["ring", "inside"])
+
+    depth = sides.unionByName(points.select(*sides.columns)).groupBy("cls", "_b").applyInPandas(sweep, "ring long, inside long")
+    return joined.where("seq = 0").select("ring", "cls", "n", (F.abs("twice") / 8).alias("area")).join(depth, "ring")
+
+
+def rings(segments: DataFrame, smooth: int = 0, tile: int = TILE) -> DataFrame:
+    """(ring, cls, n, area, points, inside) of directed or undirected segments(cls, x1, y1, x2, y2) in half-cell units: closed rings, smoothed by Chaikin's corner cutting so many times.
+
+    n, area and inside are of the unsmoothed ring: inside says how many other, larger rings of the class hold it, so even
+    ones are outer borders and odd ones holes. Rings are walked in tiles and joined at their rims; only their points are
+    put together in one task a ring. ring_measures() does without.
+    """
+    import numpy as np
+
+    pieces = ring_pieces(segments, tile)
+    joined = joined_pieces(pieces)
+
+    def put(rows: list[dict]) -> dict:
+        line: list[tuple[int, int]] = []
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            part = list(zip(r["px"], r["py"]))
+            line += (part[::-1] if r["back"] else part)[:-1]
+        i = line.index(min(line))
+        p = np.array(line[i:] + line[:i], float) / 2
+        for _ in range(smooth):
+            q = np.roll(p, -1, axis=0)
+            p = np.stack([0.75 * p + 0.25 * q, 0.25 * p + 0.75 * q], axis=1).reshape(-1, 2)
+        return {"ring": rows[0]["ring"], "points": [{"x": x, "y": y} for x, y in p.tolist()]}
+
+    points = by_group(joined.select("ring", "piece", "seq", "back").join(pieces.select("piece", "px", "py"), "piece"), "ring", put, "ring long, points array<struct<x:double,y:double>>")
+    return ring_measures(pieces, joined).join(points, "ring").select("ring", "cls", "n", "area", "points", "inside")

@@ -31,7 +31,8 @@ _QUADS = "q AS (SELECT row + dr AS row, col + dc AS col, cls, CAST(sum(w) AS INT
 
 @query("ge16_rings", sql("cls", f"+ {_QUADS} SELECT cls, CAST(sum(CASE WHEN kind IN (5, 10) THEN 2 WHEN kind < 15 THEN 1 ELSE 0 END) AS BIGINT) AS n_segments, round(sum(CASE WHEN kind = 15 THEN 1 WHEN kind IN (7, 11, 13, 14) THEN 0.875 WHEN kind IN (5, 10) THEN 0.75 WHEN kind IN (1, 2, 4, 8) THEN 0.125 ELSE 0.5 END::DOUBLE), 3) AS area FROM q GROUP BY cls"))
 def _(s, d):
-    r = PO.rings(L.segments(T.cls(s, d), "cls"))
+    pieces = PO.ring_pieces(L.segments(T.cls(s, d), "cls"))
+    r = PO.ring_measures(pieces, PO.joined_pieces(pieces))
     signed = F.when(F.col("inside") % 2 == 0, F.col("area")).otherwise(-F.col("area"))
     return r.groupBy("cls").agg(F.sum("n").alias("n_segments"), F.round(F.sum(signed), 3).alias("area"))
 
