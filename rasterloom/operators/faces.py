@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..ship import by_group
+from ..ship import by_group, ship
 from ..ship import stored as _shared
-from .lattice import FOUR, cell_components, components
+from .lattice import FOUR, TILE, cell_components, chained, components, label_edges
 from .polygons import peucker
 
 #: The face of what is outside the grid; no cell has this number.
@@ -40,7 +40,7 @@ def border_edges(cells: DataFrame, face: str = "comp") -> DataFrame:
     return at.select(F.col("face").alias("left"), F.inline(kept))
 
 
-def face_chains(grid: DataFrame, cls: str, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def face_chains(grid: DataFrame, cls: str, tolerance: float = 0.0, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(cells, chains): the grid with comp, its faces; and (chain, left, right, first, last, points), points an array<struct<x, y>> in order with the face `left` on the left; first and last are the directions of the first and last side before points went.
 
     Chains are simplified by Douglas and Peucker's rule; those of the grid's outline lose only points on straight lines,
@@ -48,13 +48,8 @@ def face_chains(grid: DataFrame, cls: str, tolerance: float = 0.0) -> tuple[Data
     over, keep their corners, which is looked at again until no such face is left. A chain is walked in one task;
     borders between the same two faces end where a third face is met.
     """
-    cells = _shared(cell_components(grid.select("row", "col", cls), cls, FOUR), "faces")
-    e = _shared(border_edges(cells).withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), "edges")
-    ends = e.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select("id", F.col("x2").alias("x"), F.col("y2").alias("y")))
-    met = _shared(ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")), "vertices")
-    nodes = met.where("n <> 2").select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.lit(True).alias("node"))
-    named = e.join(components(met.where("n = 2").select("a", "b"), e.select("id")), "id").join(nodes, ["x1", "y1"], "left")
-    named = named.select(F.col("comp").alias("chain"), "left", "right", "x1", "y1", "x2", "y2", F.col("node").isNotNull().alias("node"))
+    cells = _shared(cell_components(grid.select("row", "col", cls), cls, FOUR, tile=tile), "faces")
+    named = chained(border_edges(cells).withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), tile).drop("id")
 
     def walk(rows: list[dict]) -> dict:
         after = {(r["x1"], r["y1"]): (r["x2"], r["y2"]) for r in rows}
@@ -127,7 +122,30 @@ def polygonise(grid: DataFrame, cls: str, tolerance: float = 0.0) -> tuple[DataF
     return out.select("face", F.coalesce("vote", "own").alias(cls), "area", F.coalesce("n_cells", F.lit(0).cast("long")).alias("n_cells")), chains
 
 
-def face_rings(chains: DataFrame) -> DataFrame:
+def cycles(steps: DataFrame) -> DataFrame:
+    """(id, comp) of steps(id, next, _ty, _tx): the smallest id of each cycle. Steps inside a tile are joined in one task (a group is one tile); components() sees those between tiles."""
+    import numpy as np
+    import pandas as pd
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ids, to = pdf.id.to_numpy(), pdf.next.to_numpy()
+        at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+        held = ids[at] == to
+        part = ids[label_edges(len(ids), np.flatnonzero(held), at[held])]
+        out = pd.array(to, "Int64")
+        out[held] = pd.NA
+        return pd.DataFrame({"id": ids, "part": part, "out": out})
+
+    ship(steps.sparkSession)
+    parts = _shared(steps.groupBy("_ty", "_tx").applyInPandas(join, "id long, part long, out long"), "parts")
+    met = parts.where("out IS NOT NULL").select(F.col("part").alias("a"), "out").join(parts.select("id", F.col("part").alias("b")), F.col("out") == F.col("id")).where("a <> b").select("a", "b")
+    edges = _shared(met.distinct(), "edges")
+    roots = components(edges, edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct())
+    return parts.join(roots.select(F.col("id").alias("part"), "comp"), "part", "left").select("id", F.coalesce("comp", "part").alias("comp"))
+
+
+def face_rings(chains: DataFrame, tile: int = TILE) -> DataFrame:
     """(face, ring, hole, area, points): the closed rings of each face, by half-edges; a hole's area is negative.
 
     Each chain is a half-edge of both its faces. Behind it comes the half-edge of the same face from the node where it
@@ -143,7 +161,7 @@ def face_rings(chains: DataFrame) -> DataFrame:
     # Left, straight on, right, and back.
     turn = (F.col("first") - F.col("last") + 6) % 4
     steps = _shared(a.join(b, ["face", "at"]).groupBy("id").agg(F.max_by("next", turn).alias("next")), "steps")
-    ring = components(steps.select(F.col("id").alias("a"), F.col("next").alias("b")), half.select("id"))
+    ring = cycles(steps.join(half.select("id", *[F.floor(end(1)[c] / tile).alias(f"_t{c}") for c in "xy"]), "id"))
     whole = half.join(steps, "id").join(ring, "id").select("face", F.col("comp").alias("ring"), "id", "next", "points")
 
     def put(rows: list[dict]) -> dict:

@@ -60,6 +60,11 @@ def label_tile(row: np.ndarray, col: np.ndarray, cls: np.ndarray, steps) -> np.n
         same = cls[u] == cls[v]
         edges.append((u[same], v[same]))
     u, v = (np.concatenate(x) for x in zip(*edges))
+    return label_edges(n, u, v)
+
+
+def label_edges(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n places, the smallest that the edges (u, v) reach."""
     label = np.arange(n)
     while True:
         a, b = label[u], label[v]
@@ -104,6 +109,46 @@ def cell_components(grid: DataFrame, cls: str, steps=FOUR, width: int = 1 << 31,
     return grid.join(comp, ["row", "col"])
 
 
+def chained(sides: DataFrame, tile: int = TILE) -> DataFrame:
+    """Adds chain and node to sides(id, left, right, x1, y1, x2, y2) of cells: sides of the same left and right share the smallest id where no other meets them; node: other than two meet in (x1, y1).
+
+    Sides are joined tile by tile in NumPy (a group is one tile); components() sees only what touches a tile's rim.
+    Rims are half a tile off the origin, so that a grid's first row and column aren't one.
+    """
+    half = tile // 2
+    at = lambda c: F.floor((F.least(f"{c}1", f"{c}2") + half) / tile)
+    named = sides.select("id", "left", "right", "x1", "y1", "x2", "y2", at("y").alias("_tr"), at("x").alias("_tc"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x, y = (pdf[[f"{c}1", f"{c}2"]].to_numpy(np.int64).ravel() + half - pdf[t].iloc[0] * tile for c, t in (("x", "_tc"), ("y", "_tr")))
+        key = y * (tile + 1) + x
+        inner = (x > 0) & (x < tile) & (y > 0) & (y < tile)
+        met = np.bincount(key)[key]
+        two = np.flatnonzero(inner & (met == 2))
+        u, v = np.sort(two[np.argsort(key[two], kind="stable")].reshape(-1, 2) // 2, axis=1).T
+        sort = pd.factorize(pdf.left)[0] * (len(pdf) + 1) + pd.factorize(pdf.right)[0]
+        same = sort[u] == sort[v]
+        label = label_edges(len(pdf), u[same], v[same])
+        node = pd.array(met[::2] != 2, "boolean")
+        node[~inner[::2]] = pd.NA
+        return pdf.drop(columns=["_tr", "_tc"]).assign(_part=pdf.id.to_numpy()[label], node=node)
+
+    ship(sides.sparkSession)
+    kinds = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ("id", "left", "right", "x1", "y1", "x2", "y2"))
+    parts = _shared(named.groupBy("_tr", "_tc").applyInPandas(join, f"{kinds}, _part long, node boolean"), "parts")
+    on = lambda c: F.pmod(F.col(c) + half, F.lit(tile)) == 0
+    ends = parts.select("_part", "left", "right", F.inline(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]))).where(on("x") | on("y"))
+    ends = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("_part").alias("a"), F.max("_part").alias("b"), *[f(c).alias(f"{n}{c}") for c in ("left", "right") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    ends = _shared(ends, "rims")
+    edges = ends.where("n = 2 AND a <> b AND loleft = hileft AND loright = hiright").select("a", "b")
+    roots = components(edges, edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct())
+    nodes = ends.where("n <> 2").select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.lit(True).alias("_node"))
+    rim = parts.where("node IS NULL").join(nodes, ["x1", "y1"], "left").withColumn("node", F.col("_node").isNotNull()).drop("_node")
+    both = parts.where("node IS NOT NULL").unionByName(rim)
+    return both.join(roots.select(F.col("id").alias("_part"), "comp"), "_part", "left").withColumn("chain", F.coalesce("comp", "_part")).drop("_part", "comp")
+
+
 def patches(grid: DataFrame, cls: str, steps=FOUR, cell_area: float = 1.0) -> DataFrame:
     """(comp, cls, cells, area): a class map's polygons, as sets of cells."""
     return cell_components(grid, cls, steps).groupBy("comp", cls).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ship import by_group, ship
-from .lattice import TILE, _shared, components
+from .lattice import TILE, _shared, chained, components
 
 
 def inside_ring(ring: Column, x: Column, y: Column) -> Column:
@@ -36,7 +36,7 @@ def rasterise(polygons: DataFrame, key: str = "zone", ring: str = "ring") -> Dat
     return cells.where(inside_ring(F.col(ring), F.col("col") + 0.5, F.col("row") + 0.5)).select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
-def boundary_chains(grid: DataFrame, cls: str) -> DataFrame:
+def boundary_chains(grid: DataFrame, cls: str, tile: int = TILE) -> DataFrame:
     """(chain, left, right, x1, y1, x2, y2): edges between cells of different classes, cut into chains at vertices where other than two edges meet.
 
     left and right: the two classes, the smaller first; a chain lies between the same two, so both polygons can use it.
@@ -47,11 +47,7 @@ def boundary_chains(grid: DataFrame, cls: str) -> DataFrame:
     pair = [F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")]
     e = east.select(*pair, (F.col("col") + 1).alias("x1"), F.col("row").alias("y1"), (F.col("col") + 1).alias("x2"), (F.col("row") + 1).alias("y2"))
     e = e.unionByName(south.select(*pair, F.col("col").alias("x1"), (F.col("row") + 1).alias("y1"), (F.col("col") + 1).alias("x2"), (F.col("row") + 1).alias("y2")))
-    e = _shared(e.withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), "edges")
-    ends = e.select("id", "left", "right", F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select("id", "left", "right", F.col("x2").alias("x"), F.col("y2").alias("y")))
-    met = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.countDistinct("left", "right").alias("k"))
-    chain = components(met.where("n = 2 AND k = 1").select("a", "b"), e.select("id"))
-    return e.join(chain, "id").select(F.col("comp").alias("chain"), "left", "right", "x1", "y1", "x2", "y2")
+    return chained(e.withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), tile).select("chain", "left", "right", "x1", "y1", "x2", "y2")
 
 
 def simplified(chains: DataFrame, tolerance: float) -> DataFrame:
