@@ -9,9 +9,10 @@ against the heads of all others, then what is left against the whole sets; class
 are searched in two steps. First groups of bounded size search among themselves: a set that reaches a component of its
 group is linked to it and, once some of that component are listed, isn't listed, so thousands of near copies have short
 lists. Sets in the middle of many others go to all parts of a large group in the next round. Then classes that share
-enough shingles with other components search all lists of the corpus: the short lists of a set meet by a join, are
-merged by counting, and the long ones are probed. Only sets of different components meet there, so a group of near
-copies makes no pairs of its own, and no link between components is lost.
+enough shingles with other components search all lists of the corpus: the short lists of both sets meet by a join,
+and the long ones are probed. Only sets of different components meet there whose sketches, parities of 1,024 classes of
+shingles, differ in no more bits than linked sets do in shingles; so a group of near copies makes no pairs of its own,
+a family of sets below 4/5 makes few, and no link between components is lost.
 
 Shingles are compared by hashes of 64 bits.
 """
@@ -45,6 +46,8 @@ GROUP, TOKENS, ROUNDS = 512, 1 << 20, 3
 FEW = 8
 #: Sets of a group that go to all its parts.
 HUBS = 64
+#: Longs of a sketch.
+SKETCH = 16
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -269,28 +272,52 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return stored(members.select("cls").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("label")), "labels")
 
 
+def sketches(members: DataFrame) -> DataFrame:
+    """(cls, s0, s1, ...), stored: for each of 64 * SKETCH classes of hashes whether a set has an odd number of them. Two sets that differ in d shingles differ in at most d bits."""
+    names = [f"s{i}" for i in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("tokens").value_lengths().to_numpy()
+            at = batch.column("tokens").flatten().to_numpy().view(np.uint64) % np.uint64(64 * SKETCH)
+            odd = np.bincount(np.repeat(np.arange(len(n)), n) * 64 * SKETCH + at.astype(np.int64), minlength=len(n) * 64 * SKETCH) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["cls", *names])
+
+    with batches_of(members.sparkSession, 256):
+        return stored(members.select("cls", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in ("cls", *names))), "sketches")
+
+
 def candidates(members: DataFrame) -> DataFrame:
-    """(q, y, c, q_label, y_label) of members(cls, n, tokens, label): pairs of different labels, y not smaller, that are in T - L of the short lists of q; c: in how many.
+    """(q, y, c, q_label, y_label) of members(cls, n, tokens, label): pairs of different labels, y not smaller, that share one of the short lists of both and may be linked by their sketches; c: how many they share.
 
-    Of a list, the sets of its commonest label are never joined with each other.
+    A row of a join costs more than a probe, so L is T - 1: all lists but the n - T + 1 shortest of a set are left to
+    verified(). Linked sets share T = 4/9 of both sizes; of what they share, the one with the shortest list has T - 1
+    behind it in both. Of a list, the sets of its commonest label are never joined with each other.
     """
     rows = members.select("cls", "n", "label", F.explode("tokens").alias("key"))
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("df"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = rows.join(of.where("labels > 1").drop("labels"), "key")
-    rows = stored(rows, "lists")
     own = W.partitionBy("cls")
-    t = F.floor((F.col("n") * 8 + 8) / 9)
-    skip = F.least(t - 1, F.floor(t / (MU * F.log2(F.greatest(F.max("df").over(own), F.lit(2))) + 1)))
-    asks = rows.select("*", F.count(F.lit(1)).over(own).alias("_all"), F.row_number().over(own.orderBy("df", "key")).alias("_i"), t.alias("_t"), skip.alias("_skip"))
-    asks = asks.where("_all >= _t AND _i <= _all - _skip").select("key", "main", F.col("cls").alias("q"), F.col("n").alias("q_n"), F.col("label").alias("q_label"), (F.col("_t") - F.col("_skip")).alias("need"))
-    held = rows.select("key", "main", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
+    # Lists of one label only are the shortest, as no pair is in them.
+    rows = rows.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("at", F.col("n") - F.col("_all") + F.row_number().over(own.orderBy("df", "key")))
     # A partner of at least the size of q, at most 5/4 of it; of one size, the one with the larger number.
+    larger, any_size = F.floor((F.col("n") * 8 + 8) / 9), F.floor((F.col("n") * 4 + 4) / 5)
+    rows = stored(rows.where((F.col("_all") >= any_size) & (F.col("at") <= F.col("n") - any_size + 1)).select("key", "main", "cls", "n", "label", "at", (F.col("_all") >= larger).alias("asks")), "lists")
+    rows = rows.join(small(sketches(members), 20_000), "cls")
+    bits = [f"s{i}" for i in range(SKETCH)]
+    side = lambda a: [F.col("cls").alias(a), *[F.col(c).alias(f"{a}_{c}") for c in ("n", "label", "at", *bits)]]
+    asks = rows.where(F.col("asks") & (F.col("at") <= F.col("n") - larger + 1)).select("key", "main", *side("q"))
+    held = rows.select("key", "main", *side("y"))
     size = (F.col("y_n") * 4 <= F.col("q_n") * 5) & ((F.col("y_n") > F.col("q_n")) | ((F.col("y_n") == F.col("q_n")) & (F.col("y") > F.col("q"))))
+    t = F.floor((4 * (F.col("q_n") + F.col("y_n")) + 8) / 9)
+    near = (F.col("q_at") <= F.col("q_n") - t + 1) & (F.col("y_at") <= F.col("y_n") - t + 1)
+    alike = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"q_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits]) <= F.col("q_n") + F.col("y_n") - 2 * t
     other = held.where("y_label <> main").drop("main")
     main = held.where("y_label = main").drop("main")
     met = asks.drop("main").join(other, "key").unionByName(asks.where("q_label <> main").drop("main").join(main, "key"))
-    met = met.where(size & (F.col("q_label") != F.col("y_label")))
-    return met.groupBy("q", "y").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"), F.first("q_label").alias("q_label"), F.first("y_label").alias("y_label")).where("c >= need").drop("need")
+    met = met.where(size & (F.col("q_label") != F.col("y_label")) & near & alike)
+    return met.groupBy("q", "y").agg(F.count(F.lit(1)).alias("c"), F.first("q_label").alias("q_label"), F.first("y_label").alias("y_label"))
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:

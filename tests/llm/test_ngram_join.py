@@ -106,6 +106,17 @@ def test_sets_in_a_group_of_one_label_make_no_pairs(spark):
     assert ngram_join.candidates(members).count() == 200
 
 
+def test_a_family_of_unlike_sets_makes_no_pairs(spark):
+    """Sets of 300 out of 400 shingles, 0.6 of the union shared, are told apart before a pair is made; a linked pair among them is found."""
+    r = np.random.default_rng(2)
+    pool = r.integers(-(1 << 62), 1 << 62, 400)
+    sets = {i: r.choice(pool, 300, replace=False) for i in range(60)}
+    sets[60] = np.append(sets[7][10:], np.setdiff1d(pool, sets[7])[:10])
+    members = spark.createDataFrame([(i, len(x), np.sort(x).tolist(), i) for i, x in sets.items()], "cls long, n long, tokens array<long>, label long")
+    want = [(i, j) for i in sets for j in sets if i < j and linked(set(sets[i].tolist()), set(sets[j].tolist()))]
+    assert [tuple(sorted((p["q"], p["y"]))) for p in ngram_join.candidates(members).collect()] == want == [(7, 60)]
+
+
 def test_divide_skip_finds_each_component_of_leaders():
     r = random.Random(4)
     pool = [r.sample(range(60), r.randrange(4, 30)) for _ in range(8)]
