@@ -257,6 +257,30 @@ def test_links_connect_all_within_two_bits(spark, few):
     assert [root.get(p, p) for p in prints] == want
 
 
+def test_components_of_one_task_take_one_round(spark, monkeypatch):
+    """What a task holds is joined in it; other tasks' trees meet in rounds."""
+    from rasterloom.llm import common
+
+    tables, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what: tables.append(what) or stored(df, what))
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(500)] + [(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(250)]
+    want = dict(zip(range(1300), brute_roots(edges, 1300)))
+    for limit, most in ((common.FOREST, 1), (7, 20)):
+        tables.clear()
+        monkeypatch.setattr(common, "FOREST", limit)
+        got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(edges, "u long, v long").coalesce(1)).collect()}
+        assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]} and len(tables) <= most
+
+
+def brute_roots(edges, n):
+    root = list(range(n))
+    while any(root[u] != root[v] for u, v in edges):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
+
+
 def test_components_of_a_long_chain(spark):
     from rasterloom.llm.common import components
 
